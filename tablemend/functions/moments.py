@@ -23,3 +23,9 @@ def pearson(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     u, v = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_samp(u, v), F.stddev_samp(u) * F.stddev_samp(v))
+
+
+def sketch_distinct(cell: Column) -> Column:
+    """Distinct present values from a sketch with a relative error of about 1.6 %."""
+    mark = F.when(cell.isNotNull(), F.xxhash64(cell))
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(mark, 12)), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import as_double, col, missing
-from ..functions.moments import adjusted_skew
+from ..functions.moments import adjusted_skew, sketch_distinct
 from ..functions.schema import is_numeric, is_text, numeric_columns
 from .quantiles import exact_quantiles
 
@@ -102,7 +102,7 @@ def number(df: DataFrame, column: str) -> Column:
 
 
 def distinct_counts(df: DataFrame, columns: list[str], watch: float = 200) -> dict[str, int]:
-    """Distinct present values per column: exact up to about ``watch``, a sketch (1 %) beyond.
+    """Distinct present values per column: exact up to about ``watch``, a sketch beyond.
 
     Exact counting multiplies every row by the number of columns, so only columns the sketch
     finds small are counted exactly; their values fold map-side to a few rows.
@@ -110,7 +110,7 @@ def distinct_counts(df: DataFrame, columns: list[str], watch: float = 200) -> di
     if not columns:
         return {}
     sketch = df.agg(
-        *[F.approx_count_distinct(col(c), 0.01).alias(f"d{i}") for i, c in enumerate(columns)]
+        *[sketch_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]
     ).first()
     result = {c: sketch[f"d{i}"] for i, c in enumerate(columns)}
     small = [c for c in columns if result[c] <= 1.2 * watch]
@@ -152,7 +152,7 @@ def profile_table(df: DataFrame) -> TableProfile:
     for i, f in enumerate(df.schema):
         parts.append(F.count_if(missing(f.name, f.dataType)).alias(f"missing_{i}"))
         if is_numeric(f.dataType) or is_text(f.dataType):
-            parts.append(F.approx_count_distinct(col(f.name), 0.01).alias(f"distinct_{i}"))
+            parts.append(sketch_distinct(col(f.name)).alias(f"distinct_{i}"))
         if is_numeric(f.dataType):
             x = number(df, f.name)
             parts += [

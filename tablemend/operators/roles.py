@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import col, lenient_timestamp
+from ..functions.moments import sketch_distinct
 from ..functions.schema import is_numeric, is_temporal, is_text, numeric_columns, target_of, text_columns
 from .correlate import target_correlations
 from .profile import distinct_counts, rows_frame
@@ -108,7 +109,7 @@ def detect_roles(df: DataFrame, target: str | None = None, whole_words: bool = F
                 F.count_if(col(c).rlike(starts)).alias(f"dates{i}"),
                 F.bool_and(col(c).rlike(possible)).alias(f"possible{i}"),
                 F.bool_or(F.lower(col(c)).isin(scale_words)).alias(f"ordinal{i}"),
-                F.approx_count_distinct(col(c), 0.01).alias(f"distinct{i}"),
+                sketch_distinct(col(c)).alias(f"distinct{i}"),
             ]
         row = df.agg(*parts).first().asDict()
 
@@ -127,7 +128,7 @@ def detect_roles(df: DataFrame, target: str | None = None, whole_words: bool = F
     close = [
         c
         for c in texts
-        if c not in dates and not name_marks_identifier(c, whole_words) and row["rows"] > 50 and abs(unique[c] - 0.8) < 0.05
+        if c not in dates and not name_marks_identifier(c, whole_words) and row["rows"] > 50 and abs(unique[c] - 0.8) < 0.06
     ]
     if close:
         exact = df.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(close)]).first()
