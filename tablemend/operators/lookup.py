@@ -9,6 +9,7 @@ from ..functions.cells import col
 
 HOT_SHARE = 1 / 64
 SALTS = 64
+LARGE_ROWS = 5_000_000
 
 
 def value_counts(df: DataFrame, column: str, count: str = "n") -> DataFrame:
@@ -22,24 +23,32 @@ def hot_values(df: DataFrame, column: str, rows: int, share: float = HOT_SHARE)
     return [r["value"] for r in counts.filter(F.col("n") > rows * share).select("value").collect()]
 
 
+def hot_when_large(df: DataFrame, column: str, rows: int) -> list | None:
+    """Hot values where a hot group would be more than one task handles, else None (no salting)."""
+    return hot_values(df, column, rows) if rows > LARGE_ROWS else None
+
+
 def attach_by_value(
     df: DataFrame, column: str, table: DataFrame, hot: list | None = None, salt_by: Column | None = None
 ) -> DataFrame:
     """Left join ``table`` (unique ``value`` plus statistics) on ``column``.
 
     Adaptive execution turns this into a broadcast join when the finished table turns out
-    small. Otherwise rows of the ``hot`` values are spread over SALTS keys, and those few
-    table rows are repeated once per salt.
+    small. With a list of ``hot`` values their rows, and rows without a value, are spread over
+    SALTS keys, and those few table rows are repeated once per salt.
     """
-    if not hot:
+    if hot is None:
         return df.join(table.withColumnRenamed("value", "__v"), col(column) == F.col("__v"), "left").drop("__v")
     spread = salt_by if salt_by is not None else F.xxhash64(*[col(c) for c in df.columns])
-    is_hot = col(column).isin(hot)
-    salted = df.withColumn("__salt", F.when(is_hot, F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    repeated = table.withColumnRenamed("value", "__v").withColumn(
-        "__s", F.explode(F.when(F.col("__v").isin(hot), every).otherwise(F.array(F.lit(0))))
+    is_hot = col(column).isin(hot) if hot else F.lit(False)
+    salted = df.withColumn(
+        "__salt",
+        F.when(is_hot | col(column).isNull(), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0)),
     )
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    renamed = table.withColumnRenamed("value", "__v")
+    in_table = F.col("__v").isin(hot) if hot else F.lit(False)
+    repeated = renamed.withColumn("__s", F.explode(F.when(in_table, every).otherwise(F.array(F.lit(0)))))
     return salted.join(
         repeated, (col(column) == F.col("__v")) & (F.col("__salt") == F.col("__s")), "left"
     ).drop("__v", "__s", "__salt")
