@@ -12,56 +12,74 @@ from pyspark.sql import functions as F
 from ..functions.cells import col
 from ..functions.moments import adjusted_skew
 from ..sources.sampling import seeded_sample
-from .profile import beyond_iqr, number
+from .profile import number
 from .quantiles import exact_quantiles
 
 FEWEST_VALUES = 10
 
 
-def outlier_mask(df: DataFrame, columns: list[str], method: str = "iqr") -> dict[str, Column]:
-    """Predicate per column, with the statistics as literals: ``iqr``, or ``zscore`` over 3."""
-    if method == "iqr":
-        quartiles = exact_quantiles(df, columns, [0.25, 0.75])
-        counts = df.agg(*[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-        return {
-            c: F.coalesce(beyond_iqr(number(df, c), *quartiles[c]), F.lit(False))
-            if counts[f"n{i}"] >= FEWEST_VALUES
-            else F.lit(False)
-            for i, c in enumerate(columns)
-        }
-    if method != "zscore":
-        raise ValueError(f"unknown outlier method {method!r}")
+def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr") -> dict[str, tuple[float, float]]:
+    """Lowest and highest regular value per column: 1.5 interquartile ranges beyond the quartiles,
+    or 3 population deviations around the mean. Columns of fewer than ten values have none (OUT1)."""
+    if not columns:
+        return {}
     parts = []
     for i, c in enumerate(columns):
         x = number(df, c)
         parts += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     row = df.agg(*parts).first()
-    masks = {}
-    for i, c in enumerate(columns):
-        usable = row[f"n{i}"] >= FEWEST_VALUES and row[f"s{i}"]
-        z = F.abs((number(df, c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"])) if usable else None
-        masks[c] = F.coalesce(z > 3, F.lit(False)) if usable else F.lit(False)
-    return masks
+    usable = [c for i, c in enumerate(columns) if row[f"n{i}"] >= FEWEST_VALUES]
+    if method == "iqr":
+        quartiles = exact_quantiles(df, usable, [0.25, 0.75])
+        return {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, q3) in quartiles.items()}
+    if method != "zscore":
+        raise ValueError(f"unknown outlier method {method!r}")
+    at = {c: i for i, c in enumerate(columns)}
+    return {
+        c: (row[f"m{at[c]}"] - 3 * row[f"s{at[c]}"], row[f"m{at[c]}"] + 3 * row[f"s{at[c]}"])
+        for c in usable
+        if row[f"s{at[c]}"]
+    }
 
 
-def winsorise(df: DataFrame, columns: list[str], percentile: float = 95) -> DataFrame:
-    """Clip each column to its [100-p, p] percentiles; missing cells stay missing (OUT3).
+def outlier_mask(df: DataFrame, columns: list[str], method: str = "iqr") -> dict[str, Column]:
+    """Outlier predicate per column, with the bounds as literals (OUT1)."""
+    bounds = outlier_bounds(df, columns, method)
+    return {
+        c: F.coalesce((number(df, c) < bounds[c][0]) | (number(df, c) > bounds[c][1]), F.lit(False))
+        if c in bounds
+        else F.lit(False)
+        for c in columns
+    }
+
+
+def winsor_bounds(df: DataFrame, columns: list[str], percentile: float = 95) -> dict[str, tuple[float, float]]:
+    """[100-p, p] percentiles of the columns to clip.
 
-    As a gate the isolation mask always finds a tenth of a column that varies, so the columns
-    clipped are those with more than ten values that are not constant.
+    As a gate the isolation mask always finds a tenth of a column that varies, so these are the
+    columns with more than ten values that are not constant.
     """
+    if not columns:
+        return {}
     low_high = exact_quantiles(df, columns, [1 - percentile / 100, percentile / 100])
     parts = []
     for i, c in enumerate(columns):
         x = number(df, c)
         parts += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*parts).first() if columns else {}
+    row = df.agg(*parts).first()
+    return {
+        c: tuple(low_high[c])
+        for i, c in enumerate(columns)
+        if row[f"n{i}"] > FEWEST_VALUES and row[f"lo{i}"] < row[f"hi{i}"]
+    }
+
+
+def winsorise(df: DataFrame, columns: list[str], percentile: float = 95) -> DataFrame:
+    """Clip each column to its [100-p, p] percentiles; missing cells stay missing (OUT3)."""
     clipped = {}
-    for i, c in enumerate(columns):
-        if row[f"n{i}"] > FEWEST_VALUES and row[f"lo{i}"] < row[f"hi{i}"]:
-            low, high = low_high[c]
-            x = number(df, c)
-            clipped[c] = F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    for c, (low, high) in winsor_bounds(df, columns, percentile).items():
+        x = number(df, c)
+        clipped[c] = F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
     return df.withColumns(clipped) if clipped else df
 
 
