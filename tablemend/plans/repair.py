@@ -47,9 +47,10 @@ class Repair:
     frame: DataFrame | None = None
 
     def apply(self, df: DataFrame, with_target: bool = True) -> DataFrame:
-        """Repair another table with the fitted statistics; target steps are left out without one."""
+        """Repair another table with the fitted statistics. Without a target, steps on the target and
+        steps that drop rows are left out."""
         for step in self.steps:
-            if not with_target and step.args.get("on_target"):
+            if not with_target and (step.args.get("on_target") or step.kind in ("drop_duplicates", "drop_empty_rows")):
                 continue
             df = _apply(df, step, self.tables)
         return df
