@@ -1 +1,133 @@
-"""Queries."""
+"""Source and sink queries: the given tables written as text to the shared folder and read back."""
+
+import io
+import uuid
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators.roles import detect_roles
+from ..session import shared_folder
+from ..sinks import versions
+from ..sources import csv
+from .registry import damaged_sql, defective, register, table
+
+
+def _scratch(spark) -> str:
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+CUSTOMER_SQL = "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from {0}"
+
+
+@register("csv_scan", damaged_sql("customer") + " " + CUSTOMER_SQL.format("d"))
+def csv_scan(spark, folder):
+    """Missing numbers are spelled NA and null in turn, missing text is blank."""
+    damaged = defective(spark, folder, "customer")
+    spelled = F.coalesce(F.col("c_acctbal").cast("string"), F.when(F.col("c_custkey") % 2 == 0, "NA").otherwise("null"))
+    path = _scratch(spark)
+    damaged.withColumn("c_acctbal", spelled).fillna("", ["c_mktsegment"]).write.option("emptyValue", "").csv(path, header=True)
+    return csv.scan_csv(spark, path)
+
+
+@register("csv_long_lines", CUSTOMER_SQL.format("customer where c_custkey % 7 <> 0"))
+def csv_long_lines(spark, folder):
+    cells = [F.col(c).cast("string") for c in CUSTOMER]
+    line = F.concat_ws(",", *cells, F.when(F.col("c_custkey") % 7 == 0, "spare"))
+    path = _scratch(spark)
+    rows = table(spark, folder, "customer").select(line.alias("value"))
+    header = spark.createDataFrame([(",".join(CUSTOMER),)], "value string")
+    header.unionByName(rows).coalesce(1).write.text(path)
+    return csv.scan_csv(spark, path)
+
+
+@register("csv_dialect", CUSTOMER_SQL.format("customer"))
+def csv_dialect(spark, folder):
+    path = _scratch(spark)
+    table(spark, folder, "customer").write.csv(path, header=True, sep=";")
+    return csv.scan_csv(spark, path, sep=csv.sniff_separator(spark, path))
+
+
+@register("csv_repair_scan", CUSTOMER_SQL.format("customer"))
+def csv_repair_scan(spark, folder):
+    """Quotes left open, trailing commas and blank lines between."""
+    key = F.col("c_custkey")
+    line = F.concat(
+        F.concat_ws(",", key, "c_nationkey", "c_acctbal", "c_mktsegment"),
+        F.lit(',"'), F.col("c_name"),
+        F.when(key % 3 == 0, "").otherwise('"'), F.when(key % 5 == 0, ",,").otherwise(""), F.when(key % 4 == 0, "\n").otherwise(""),
+    )
+    path = _scratch(spark)
+    table(spark, folder, "customer").select(line.alias("value")).write.text(path)
+    header = "c_custkey,c_nationkey,c_acctbal,c_mktsegment,c_name"
+    return csv.scan_broken_csv(spark, path, header=header).select(*CUSTOMER)
+
+
+@register(
+    "encoding_scan",
+    r"""select doc_id, case when doc_id % 2 = 0 or not regexp_matches(substr(text, 1, 10000), '[\x{80}-\x{FF}]')
+    then 'utf-8' else 'iso-8859-1' end as encoding from documents""",
+)
+def encoding_scan(spark, folder):
+    narrow = F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "ISO-8859-1")
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(narrow)
+    files = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("path"), F.octet_length(content).alias("length"), F.substring(content, 1, csv.SNIFFED_BYTES).alias("head")
+    )
+    return csv.encoding_of(files).select(F.col("path").alias("doc_id"), "encoding")
+
+
+@register("encoded_folder_scan", "select doc_id, lang, replace(substr(text, 1, 40), chr(10), ' ') as start from documents where lang in ('fr', 'en', 'de', 'es')")
+def encoded_folder_scan(spark, folder):
+    """Half of the rows are written as UTF-8, half as Latin-1; both come back alike."""
+    rows = table(spark, folder, "documents").filter(F.col("lang").isin("fr", "en", "de", "es")).select(
+        "doc_id", "lang", F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")).alias("start")
+    )
+    path = _scratch(spark)
+    wide = F.col("start").rlike(r"[^\x00-\xff]")
+    rows.filter((F.col("doc_id") % 2 == 0) | wide).write.csv(f"{path}/a", header=True, escape='"')
+    rows.filter((F.col("doc_id") % 2 == 1) & ~wide).write.csv(f"{path}/b", header=True, escape='"', encoding="ISO-8859-1")
+    return csv.scan_csv_folder(spark, f"{path}/*/*.csv").withColumn("start", F.coalesce("start", F.lit("")))
+
+
+@register("zip_csv_scan", CUSTOMER_SQL.format("customer"))
+def zip_csv_scan(spark, folder):
+    """One archive per thousand customers, each with a text file before its CSV member."""
+    bins = table(spark, folder, "customer").withColumn("bin", F.floor(F.col("c_custkey") / 1000).cast("string"))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("about.txt", "customers")
+            archive.writestr("customers.csv", rows[CUSTOMER].to_csv(index=False))
+        return pd.DataFrame({"path": [rows["bin"].iloc[0]], "content": [packed.getvalue()]})
+
+    return csv.zip_table(bins.groupBy("bin").applyInPandas(pack, "path string, content binary"))
+
+
+@register(
+    "table_metadata",
+    """select 'rows' as item, cast(count(*) as varchar) as value from customer union all select 'columns', '5'
+    union all select * from (values ('type of c_custkey', 'bigint'), ('type of c_name', 'string'), ('type of c_nationkey', 'int'),
+    ('type of c_acctbal', 'double'), ('type of c_mktsegment', 'string'), ('role of c_custkey', 'numerical'),
+    ('role of c_name', 'identifier'), ('role of c_nationkey', 'numerical'), ('role of c_acctbal', 'numerical'),
+    ('role of c_mktsegment', 'target'))""",
+)
+def table_metadata(spark, folder):
+    customers = table(spark, folder, "customer")
+    return csv.table_metadata(customers, detect_roles(customers))
+
+
+@register(
+    "versioned_snapshots",
+    damaged_sql("orders")
+    + """ select 'before' as version, count(*) as n from d union all select 'after', count(*) from (select distinct * from d)""",
+)
+def versioned_snapshots(spark, folder):
+    before = defective(spark, folder, "orders")
+    path = _scratch(spark)
+    versions.write_version(path, "before", {"orders": before})
+    versions.write_version(path, "after", {"orders": before.dropDuplicates()})
+    return spark.read.parquet(f"{path}/orders").groupBy("version").agg(F.count(F.lit(1)).alias("n"))

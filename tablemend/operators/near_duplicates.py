@@ -95,7 +95,7 @@ def near_links(
     id_type = dict(weights.dtypes)["id"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "near_id": [], "cosine": []})
+        empty = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("id", "near_id", "cosine")})
         if len(pdf) < 2:
             return empty
         a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]

@@ -59,7 +59,7 @@ def nearest(
         .drop("__copy")
     )
     n_donors = donors.count()
-    wanted = pivots if pivots is not None else math.ceil(n_donors / (2 * block)) if n_donors > 4 * block else 1
+    wanted = pivots if pivots is not None else math.isqrt(n_donors) if n_donors > 4 * block else 1
     wanted = max(1, min(MOST_PIVOTS, wanted))
     if wanted == 1:
         asked, donors = asked.withColumn("cell", F.lit(0)), donors.withColumn("cell", F.lit(0))
@@ -82,7 +82,7 @@ def nearest(
         F.count(F.lit(1)).alias("found"), F.array_sort(F.collect_list("distance")).alias("d")
     )  # at most k rows per chunk of one cell
     limits = kth.select("vec", F.when(F.col("found") >= k, F.get("d", F.lit(k - 1))).alias("limit"))
-    routed = _route(asked.join(limits, "vec", "left"), centres, bounds)
+    routed = settle(_route(asked.join(limits, "vec", "left"), centres, bounds))
     others = _search(routed, donors.drop("reach"), k, payload, sizes, block)
     return _first(own.unionByName(others), k)
 
@@ -156,11 +156,13 @@ def _search(
     def upto(values: list[int]) -> Column:
         return F.explode(F.sequence(F.lit(0), at(values) - 1))
 
+    # both sides may stem from one table, so their vectors get names, hence identities, of their own
     left = asked.select(
-        "vec", "cell", upto(chunks).alias("chunk"), F.pmod(F.xxhash64("vec"), at(salts)).cast("int").alias("salt")
-    )
+        F.col("vec").alias("asked"), "cell", upto(chunks).alias("chunk"),
+        F.pmod(F.xxhash64("vec"), at(salts)).cast("int").alias("salt"),
+    )
     right = donors.select(
-        "vec", "id", *[quoted(p) for p in payload], "cell",
+        F.col("vec").alias("donor"), "id", *[quoted(p) for p in payload], "cell",
         F.pmod(F.xxhash64(F.col("id"), F.col("vec")), at(chunks)).cast("int").alias("chunk"),
         upto(salts).alias("salt"),
     )
@@ -175,10 +177,10 @@ def _search(
 
     def brute(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
-            return pd.DataFrame({f.name: [] for f in shape})
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in shape})
         b = b.sort_values("id", kind="stable").reset_index(drop=True)
-        rows, cols, far = _top(np.stack(q["vec"].to_numpy()).astype(float), np.stack(b["vec"].to_numpy()).astype(float), k)
-        out = {"vec": q["vec"].to_numpy()[rows]}
+        rows, cols, far = _top(np.stack(q["asked"].to_numpy()).astype(float), np.stack(b["donor"].to_numpy()).astype(float), k)
+        out = {"vec": q["asked"].to_numpy()[rows]}
         for name in ("id", *payload):
             out[name] = b[name].to_numpy()[cols]
         out["distance"] = far

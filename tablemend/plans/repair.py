@@ -208,9 +208,9 @@ class _Fitting:
         self.df = df
         self.repair = Repair(target=target)
 
-    def do(self, kind: str, log: tuple | None = None, table: DataFrame | None = None, **args) -> None:
-        if table is not None:
-            self.repair.tables[args["table"]] = table
+    def do(self, kind: str, log: tuple | None = None, mapping: DataFrame | None = None, **args) -> None:
+        if mapping is not None:
+            self.repair.tables[args["table"]] = mapping
         step = Step(kind, args)
         self.df = _apply(self.df, step, self.repair.tables)
         self.repair.steps.append(step)

@@ -84,7 +84,8 @@ def estimator(name: str, task: str, rows: int, classes: int, options: dict | Non
         return kind(**columns, seed=42, **{"maxDepth": UNBOUNDED_DEPTH, **options})
     if name == LOGISTIC:
         c = options.pop("C", 1.0)
-        return LogisticRegression(**columns, maxIter=1000, regParam=1.0 / (c * max(1, rows)), standardization=False, **options)
+        settings = {"maxIter": 1000, "regParam": 1.0 / (c * max(1, rows)), "standardization": False, **options}
+        return LogisticRegression(**columns, **settings)
     if name == LINEAR:
         return LinearRegression(**columns, **options)
     if name == BOOSTED:

@@ -30,22 +30,25 @@ RAGGED = "_corrupt_record"
 
 
 def file_encodings(spark: SparkSession, path: str, sniff: int = SNIFFED_BYTES) -> DataFrame:
-    """Encoding per file: marked UTF-8 or UTF-16, valid UTF-8, else Latin-1 (SRC2).
+    """Encoding per file under a path (SRC2); only the first bytes of a file leave the scan."""
+    files = spark.read.format("binaryFile").load(path)
+    return encoding_of(files.select("path", "length", F.expr(f"substring(content, 1, {sniff})").alias("head")), sniff)
 
-    One row per file; only the first bytes of a file leave the scan. A multi-byte character
-    cut at the end of the sample does not count against UTF-8.
+
+def encoding_of(files: DataFrame, sniff: int = SNIFFED_BYTES) -> DataFrame:
+    """Encoding of each ``head``: marked UTF-8 or UTF-16, valid UTF-8, else Latin-1.
+
+    A multi-byte character cut at the end of the sample does not count against UTF-8.
     """
-    head = F.expr(f"substring(content, 1, {sniff})")
-    files = spark.read.format("binaryFile").load(path).select("path", "length", head.alias("head"))
     whole = F.col("length") <= sniff
     valid = F.lit(False)
     for cut in range(4):
         trimmed = F.expr(f"is_valid_utf8(cast(substring(head, 1, length(head) - {cut}) as string))")
         valid = valid | (trimmed & (F.lit(cut == 0) | ~whole))
-    marks = F.hex(F.expr("substring(head, 1, 3)"))
+    mark = F.hex(F.expr("substring(head, 1, 3)"))
     encoding = (
-        F.when(marks == "EFBBBF", "utf-8")
-        .when(marks.startswith("FFFE") | marks.startswith("FEFF"), "utf-16")
+        F.when(mark == "EFBBBF", "utf-8")
+        .when(mark.startswith("FFFE") | mark.startswith("FEFF"), "utf-16")
         .when(valid, "utf-8")
         .otherwise("iso-8859-1")
     )
@@ -95,6 +98,8 @@ def scan_csv(
     options = {
         "header": True, "sep": sep, "encoding": encoding, "multiLine": multiline, "escape": '"',
         "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True,
+        # a row can only be seen to be too long if all its cells are parsed
+        "columnPruning": False,
     }
     header = spark.read.csv(path, inferSchema=False, **options).schema
     fields = [T.StructField(f.name, T.StringType()) for f in header]
@@ -186,19 +191,21 @@ def parse_lines(lines: DataFrame, header: str, sep: str = ",") -> DataFrame:
     return infer_types(null_tokens(tidy_names(parsed.filter(F.col(spare).isNull()).drop(spare))))
 
 
-def scan_broken_csv(spark: SparkSession, path: str, encoding: str = "utf-8", sep: str = ",") -> DataFrame:
-    """Line-by-line reading of malformed files (SRC5). All files share one header line."""
+def scan_broken_csv(
+    spark: SparkSession, path: str, encoding: str = "utf-8", sep: str = ",", header: str | None = None
+) -> DataFrame:
+    """Line-by-line reading of malformed files (SRC5). All files share one header line, by default
+    the first line of the first file."""
     lines = repaired_lines(_lines(spark, path, encoding))
-    return parse_lines(lines, lines.first()["value"], sep)
+    return parse_lines(lines, header or lines.first()["value"], sep)
 
 
-def zip_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """Lines of the first CSV member of each archive: archive, number, value (SRC6).
+def zip_lines(archives: DataFrame, encoding: str = "utf-8") -> DataFrame:
+    """Lines of the first CSV member of each archive (path, content): archive, number, value (SRC6).
 
     An archive is opened by one task, for the format cannot be split; its lines are streamed out
     in batches, so only the packed bytes are held.
     """
-    archives = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,7 +224,7 @@ def zip_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFr
                         if lines:
                             yield _packed(name, start, lines)
 
-    return archives.mapInPandas(unpack, "archive string, number long, value string")
+    return archives.select("path", "content").mapInPandas(unpack, "archive string, number long, value string")
 
 
 def _packed(name: str, start: int, lines: list[str]) -> pd.DataFrame:
@@ -226,7 +233,11 @@ def _packed(name: str, start: int, lines: list[str]) -> pd.DataFrame:
 
 def scan_zip_csv(spark: SparkSession, path: str, encoding: str = "utf-8", sep: str = ",") -> DataFrame:
     """Typed table of the first CSV member of every archive; they share one header line."""
-    lines = zip_lines(spark, path, encoding)
+    return zip_table(spark.read.format("binaryFile").load(path), encoding, sep)
+
+
+def zip_table(archives: DataFrame, encoding: str = "utf-8", sep: str = ",") -> DataFrame:
+    lines = zip_lines(archives, encoding)
     header = repaired_lines(lines.filter("number = 0").select("value")).first()["value"]
     return parse_lines(repaired_lines(lines.select("value")), header, sep)
 
