@@ -47,7 +47,7 @@ def csv_long_lines(spark, folder):
 def csv_dialect(spark, folder):
     path = _scratch(spark)
     table(spark, folder, "customer").write.csv(path, header=True, sep=";")
-    return csv.scan_csv(spark, path, sep=csv.sniff_separator(spark, path))
+    return csv.scan_csv(spark, path, sep=csv.sniff_separator(spark, path), skip_initial_space=True)
 
 
 @register("csv_repair_scan", CUSTOMER_SQL.format("customer"))
@@ -87,8 +87,9 @@ def encoded_folder_scan(spark, folder):
     )
     path = _scratch(spark)
     wide = F.col("start").rlike(r"[^\x00-\xff]")
-    rows.filter((F.col("doc_id") % 2 == 0) | wide).write.csv(f"{path}/a", header=True, escape='"')
-    rows.filter((F.col("doc_id") % 2 == 1) & ~wide).write.csv(f"{path}/b", header=True, escape='"', encoding="ISO-8859-1")
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.filter((F.col("doc_id") % 2 == 0) | wide).write.options(**kept).csv(f"{path}/a")
+    rows.filter((F.col("doc_id") % 2 == 1) & ~wide).write.options(**kept, encoding="ISO-8859-1").csv(f"{path}/b")
     return csv.scan_csv_folder(spark, f"{path}/*/*.csv").withColumn("start", F.coalesce("start", F.lit("")))
 
 

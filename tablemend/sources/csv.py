@@ -17,7 +17,7 @@ from ..functions.schema import quoted
 
 # Cell texts read as missing.
 NULL_TOKENS = [
-    "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
@@ -88,7 +88,7 @@ def _lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFra
 
 def scan_csv(
     spark: SparkSession, path: str | list[str], encoding: str = "utf-8", sep: str = ",", multiline: bool = False,
-    skip_long_lines: bool = True, infer: bool = True,
+    skip_long_lines: bool = True, infer: bool = True, skip_initial_space: bool = False,
 ) -> DataFrame:
     """CSV with header as a typed table (SRC1, SRC4, SRC7, SRC11).
 
@@ -97,14 +97,15 @@ def scan_csv(
     """
     options = {
         "header": True, "sep": sep, "encoding": encoding, "multiLine": multiline, "escape": '"',
-        "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True,
+        "ignoreLeadingWhiteSpace": skip_initial_space, "ignoreTrailingWhiteSpace": False,
         # a row can only be seen to be too long if all its cells are parsed
         "columnPruning": False,
     }
-    header = spark.read.csv(path, inferSchema=False, **options).schema
+    reader = spark.read.format("csv").options(**options)
+    header = reader.load(path).schema
     fields = [T.StructField(f.name, T.StringType()) for f in header]
     schema = T.StructType([*fields, T.StructField(RAGGED, T.StringType())])
-    raw = spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=RAGGED, enforceSchema=True, **options)
+    raw = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=RAGGED).schema(schema).load(path)
     names = [f.name for f in fields]
     if skip_long_lines:
         # a marked row whose last cell is present has cells to spare; a short one lacks its last
@@ -134,7 +135,7 @@ def scan_csv_folder(spark: SparkSession, path: str, **options) -> DataFrame:
 def null_tokens(df: DataFrame) -> DataFrame:
     """Text cells that spell a missing value become null."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.when(~F.trim(col(c)).isin(NULL_TOKENS), col(c)) for c in texts}) if texts else df
+    return df.withColumns({c: F.when(~col(c).isin(NULL_TOKENS), col(c)) for c in texts}) if texts else df
 
 
 def infer_types(df: DataFrame) -> DataFrame:
