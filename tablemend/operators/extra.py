@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col, missing
 from ..functions.moments import adjusted_kurtosis, adjusted_skew
+from ..session import settle
 from ..functions.schema import is_text, numeric_columns
 from .neighbours import attach_neighbours, nearest
 from .ordering import with_row_numbers
@@ -206,16 +207,16 @@ def local_outlier_factor(
     )
     base = present.select("vec", col(key).alias("id"))
     found = nearest(present, base, k + 1, **options)
-    near = attach_neighbours(present, found, key, True, k).select(key, "id", "distance")
+    near = settle(attach_neighbours(present, found, key, True, k).select(key, "neighbour", "distance"))
     reach = near.groupBy(key).agg(F.max("distance").alias("kdist"))
     density = (
-        near.join(reach.select(F.col(key).alias("id"), "kdist"), "id")
+        near.join(reach.select(F.col(key).alias("neighbour"), "kdist"), "neighbour")
         .groupBy(key)
         .agg((1.0 / (F.avg(F.greatest("distance", "kdist")) + 1e-10)).alias("density"))
     )
-    other = density.select(F.col(key).alias("id"), F.col("density").alias("near_density"))
+    other = density.select(F.col(key).alias("neighbour"), F.col("density").alias("near_density"))
     lof = (
-        near.join(other, "id")
+        near.join(other, "neighbour")
         .groupBy(key)
         .agg(F.avg("near_density").alias("mean_density"))
         .join(density, key)

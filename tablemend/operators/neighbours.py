@@ -218,11 +218,15 @@ def _top(x: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def attach_neighbours(df: DataFrame, found: DataFrame, key: str, exclude_self: bool, k: int) -> DataFrame:
-    """Neighbours of every row of ``df`` (``vec`` plus key), by its vector; optionally without itself."""
+    """Neighbours of every row of ``df`` (``vec`` plus key), by its vector; optionally without itself.
+
+    Returns the key, ``neighbour``, payload, ``distance`` and ``place``.
+    """
     rows = df.select(col(key).alias("__key"), F.col("vec").alias("__v"))
-    paired = rows.join(found, F.col("__v") == F.col("vec")).drop("__v", "vec")
+    near = found.withColumnRenamed("id", "neighbour")
+    paired = rows.join(near, F.col("__v") == F.col("vec")).drop("__v", "vec")
     if exclude_self:
-        paired = paired.filter(F.col("id") != F.col("__key"))
-        place = F.row_number().over(Window.partitionBy("__key").orderBy("distance", "id"))
+        paired = paired.filter(F.col("neighbour") != F.col("__key"))
+        place = F.row_number().over(Window.partitionBy("__key").orderBy("distance", "neighbour"))
         paired = paired.withColumn("place", place).filter(F.col("place") <= k)
     return paired.withColumnRenamed("__key", key)
