@@ -117,8 +117,9 @@ def _strongest(table: DataFrame, top: int) -> DataFrame:
 def all_rank_correlations(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
     """Absolute Spearman correlation of every feature with the target, average ranks for ties.
 
-    Equal (feature, x, y) cells are folded first; ranks come from value counts cut into ordered
-    ranges, so neither a frequent value nor a long column sits in one task.
+    Ranks come from value counts cut into ordered ranges. A large table has its equal
+    (feature, x, y) cells folded first and frequent values salted, so neither a frequent value
+    nor a long column sits in one task.
     """
     features = features or numeric_columns(df, [target])
     rows = df.count()
@@ -128,14 +129,12 @@ def all_rank_correlations(df: DataFrame, target: str, features: list[str] | None
             F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("x")) for c in features])
         ).alias("cell"),
     ).select("cell.column", "cell.x", "y")
-    folded = (
-        cells.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("column", "x", "y")
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
+    paired = cells.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     large = rows * len(features) > SKEW_ROWS
     if large:
-        folded = settle(folded)
+        folded = settle(paired.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+    else:
+        folded = paired.withColumn("w", F.lit(1).cast("long"))
     ranked = folded
     for side in ("x", "y"):
         ranked = _attach_ranks(ranked, folded, side, rows * len(features), large)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col, missing
 from ..functions.schema import is_numeric, numeric_columns, quoted
-from .neighbours import nearest, vector
+from .neighbours import MARK, marked, nearest, vector
 from .profile import number
 from .quantiles import exact_quantiles
 
@@ -142,11 +142,11 @@ def fill_knn(df: DataFrame, column: str, context: list[str], k: int = NEIGHBOURS
     donors = df.filter(present).select(
         vector(df, context).alias("vec"), (col(key) if key else number(df, column)).alias("id"), number(df, column).alias("__value")
     )
-    holes = df.filter(~present).withColumn("vec", vector(df, context))
+    holes = marked(df.filter(~present).withColumn("vec", vector(df, context)))
     found = nearest(holes, donors, k, payload=["__value"], **options)
-    means = found.groupBy("vec").agg(F.avg("__value").alias("__fill"))
+    means = found.groupBy(*MARK).agg(F.avg("__value").alias("__fill"))
     whole = df.filter(present).withColumn(column, number(df, column))
-    mended = holes.join(means, "vec", "left").withColumn(column, F.col("__fill")).drop("vec", "__fill")
+    mended = holes.join(means, MARK, "left").withColumn(column, F.col("__fill")).drop("vec", "__fill", *MARK)
     return whole.unionByName(mended.select(*[quoted(c) for c in df.columns]))
 
 

@@ -23,7 +23,6 @@ from .lookup import attach_by_value, hot_when_large
 VOCABULARY = 2_000
 NEAREST_DISTANCE = 0.03
 BLOCK = 1_024
-SETTLE_ROWS = 200_000
 TERM = r"(?U)\b\w\w+\b"
 
 
@@ -78,7 +77,9 @@ def near_links(
         .filter(1.0 - F.col("seen") >= cosine * cosine - 1e-9)
         .select("id", "ord")
     )
-    vectors = weights.groupBy("id").agg(F.collect_list(F.struct("ord", "w")).alias("terms"))  # at most VOCABULARY
+    # at most as many terms per row as the vocabulary has
+    listed = weights.groupBy("id").agg(F.collect_list(F.struct("ord", "w")).alias("terms"))
+    vectors = listed.select("id", F.col("terms.ord").alias("ords"), F.col("terms.w").alias("ws"))
     sizes = {r["ord"]: r["n"] for r in leading.groupBy("ord").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = {o: n for o, n in sizes.items() if n > 1}
     if not shared:
@@ -99,11 +100,10 @@ def near_links(
         if len(pdf) < 2:
             return empty
         a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        sizes = pdf["terms"].map(len).to_numpy()
-        flat = [t for row in pdf["terms"] for t in row]
-        used, at = np.unique(np.array([t["ord"] for t in flat]), return_inverse=True)
+        sizes = pdf["ords"].map(len).to_numpy()
+        used, at = np.unique(np.concatenate(pdf["ords"].to_list()), return_inverse=True)
         x = np.zeros((len(pdf), len(used)))
-        x[np.repeat(np.arange(len(pdf)), sizes), at] = [t["w"] for t in flat]
+        x[np.repeat(np.arange(len(pdf)), sizes), at] = np.concatenate(pdf["ws"].to_list())
         side = pdf["chunk"].to_numpy()
         left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
         if not len(left) or not len(right):
@@ -114,7 +114,7 @@ def near_links(
         i, j = i[distinct], j[distinct]
         if not len(i):
             return empty
-        likeness = (x[i] * x[j]).sum(1)
+        likeness = np.array([x[a] @ x[b] for a, b in zip(i, j)])
         ids = pdf["id"].to_numpy()
         both = pd.DataFrame(
             {
@@ -142,12 +142,8 @@ def near_duplicate_rows(
     An exact copy counts, with cosine 1. ``key`` tells rows apart.
     """
     rows = df.count()
-    folded = _folded(df, key, columns)
-    if rows > SETTLE_ROWS:
-        folded = settle(folded)
-    weights = term_weights(folded, vocabulary)
-    if rows > SETTLE_ROWS:
-        weights = settle(weights)
+    folded = settle(_folded(df, key, columns))
+    weights = settle(term_weights(folded, vocabulary))
     links = near_links(weights, 1.0 - distance, block)
     groups = (
         folded.drop("text")

@@ -26,6 +26,7 @@ from .profile import number
 
 BLOCK = 2_048
 MOST_PIVOTS = 1_024
+FEW_BLOCKS = 16  # up to here plain chunks cost less than finding cells
 
 
 def vector(df: DataFrame, features: list[str], fill: float | None = None) -> Column:
@@ -36,6 +37,14 @@ def vector(df: DataFrame, features: list[str], fill: float | None = None) -> Col
     return F.array(*cells)
 
 
+def marked(df: DataFrame, vec: str = "vec") -> DataFrame:
+    """Add a 128-bit mark of the vector, which stands for it in shuffles and joins."""
+    return df.withColumns({"q1": F.xxhash64(vec), "q2": F.xxhash64(F.lit(1), vec)})
+
+
+MARK = ["q1", "q2"]
+
+
 def nearest(
     queries: DataFrame,
     base: DataFrame,
@@ -47,19 +56,20 @@ def nearest(
     """The ``k`` base rows nearest to each distinct query vector.
 
     ``queries`` has an array column ``vec``; ``base`` has ``vec``, ``id`` and the ``payload``
-    columns. Returns ``vec, id, payload..., distance, place``; equal distances go by id.
+    columns. Returns the mark of the query vector and ``id, payload..., distance, place``; equal
+    distances go by id.
     """
     payload = payload or []
-    asked = queries.select("vec").distinct()
-    copies = Window.partitionBy("vec").orderBy("id")
+    asked = marked(queries.select("vec")).groupBy(*MARK).agg(F.any_value("vec").alias("vec"))
+    copies = Window.partitionBy(*MARK).orderBy("id")
     donors = (
-        base.select("vec", "id", *[quoted(p) for p in payload])
+        marked(base.select("vec", "id", *[quoted(p) for p in payload]))
         .withColumn("__copy", F.row_number().over(copies))
         .filter(F.col("__copy") <= k)
-        .drop("__copy")
+        .drop("__copy", *MARK)
     )
     n_donors = donors.count()
-    wanted = pivots if pivots is not None else math.isqrt(n_donors) if n_donors > 4 * block else 1
+    wanted = pivots if pivots is not None else math.isqrt(n_donors) if n_donors > FEW_BLOCKS * block else 1
     wanted = max(1, min(MOST_PIVOTS, wanted))
     if wanted == 1:
         asked, donors = asked.withColumn("cell", F.lit(0)), donors.withColumn("cell", F.lit(0))
@@ -77,18 +87,18 @@ def nearest(
     bounds = {r["cell"]: (r["n"], r["near"], r["far"]) for r in cells.collect()}
     sizes = {c: b[0] for c, b in bounds.items()}
     asked = settle(_assign(asked, centres))
-    own = settle(_search(asked.select("vec", "cell"), donors.drop("reach"), k, payload, sizes, block))
-    kth = own.groupBy("vec").agg(
+    own = settle(_search(asked.select("vec", *MARK, "cell"), donors.drop("reach"), k, payload, sizes, block))
+    kth = own.groupBy(*MARK).agg(
         F.count(F.lit(1)).alias("found"), F.array_sort(F.collect_list("distance")).alias("d")
     )  # at most k rows per chunk of one cell
-    limits = kth.select("vec", F.when(F.col("found") >= k, F.get("d", F.lit(k - 1))).alias("limit"))
-    routed = settle(_route(asked.join(limits, "vec", "left"), centres, bounds))
+    limits = kth.select(*MARK, F.when(F.col("found") >= k, F.get("d", F.lit(k - 1))).alias("limit"))
+    routed = settle(_route(asked.join(limits, MARK, "left"), centres, bounds))
     others = _search(routed, donors.drop("reach"), k, payload, sizes, block)
     return _first(own.unionByName(others), k)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("vec").orderBy("distance", "id"))
+    place = F.row_number().over(Window.partitionBy(*MARK).orderBy("distance", "id"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
@@ -138,7 +148,7 @@ def _route(asked: DataFrame, centres: np.ndarray, bounds: dict) -> DataFrame:
         keep = np.isfinite(low) & (low <= (reach + slack)[:, None])
         return pd.Series([np.flatnonzero(row).astype("int32") for row in keep])
 
-    return asked.select("vec", F.explode(cells("vec", "cell", "limit")).alias("cell"))
+    return asked.select("vec", *MARK, F.explode(cells("vec", "cell", "limit")).alias("cell"))
 
 
 def _search(
@@ -158,8 +168,8 @@ def _search(
 
     # both sides may stem from one table, so their vectors get names, hence identities, of their own
     left = asked.select(
-        F.col("vec").alias("asked"), "cell", upto(chunks).alias("chunk"),
-        F.pmod(F.xxhash64("vec"), at(salts)).cast("int").alias("salt"),
+        F.col("vec").alias("asked"), *MARK, "cell", upto(chunks).alias("chunk"),
+        F.pmod("q1", at(salts)).cast("int").alias("salt"),
     )
     right = donors.select(
         F.col("vec").alias("donor"), "id", *[quoted(p) for p in payload], "cell",
@@ -169,7 +179,7 @@ def _search(
     base_fields = [f for f in donors.schema if f.name in ("id", *payload)]
     shape = T.StructType(
         [
-            T.StructField("vec", T.ArrayType(T.DoubleType())),
+            *[T.StructField(m, T.LongType()) for m in MARK],
             *sorted(base_fields, key=lambda f: ["id", *payload].index(f.name)),
             T.StructField("distance", T.DoubleType()),
         ]
@@ -180,7 +190,7 @@ def _search(
             return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in shape})
         b = b.sort_values("id", kind="stable").reset_index(drop=True)
         rows, cols, far = _top(np.stack(q["asked"].to_numpy()).astype(float), np.stack(b["donor"].to_numpy()).astype(float), k)
-        out = {"vec": q["asked"].to_numpy()[rows]}
+        out = {m: q[m].to_numpy()[rows] for m in MARK}
         for name in ("id", *payload):
             out[name] = b[name].to_numpy()[cols]
         out["distance"] = far
@@ -222,9 +232,8 @@ def attach_neighbours(df: DataFrame, found: DataFrame, key: str, exclude_self: b
 
     Returns the key, ``neighbour``, payload, ``distance`` and ``place``.
     """
-    rows = df.select(col(key).alias("__key"), F.col("vec").alias("__v"))
-    near = found.withColumnRenamed("id", "neighbour")
-    paired = rows.join(near, F.col("__v") == F.col("vec")).drop("__v", "vec")
+    rows = marked(df.select(col(key).alias("__key"), "vec")).drop("vec")
+    paired = rows.join(found.withColumnRenamed("id", "neighbour"), MARK).drop(*MARK)
     if exclude_self:
         paired = paired.filter(F.col("neighbour") != F.col("__key"))
         place = F.row_number().over(Window.partitionBy("__key").orderBy("distance", "neighbour"))

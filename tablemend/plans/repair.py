@@ -20,7 +20,7 @@ from ..functions.schema import is_numeric, is_text, numeric_columns, quoted, tar
 from ..operators import encode, extra, features, impute, outliers, quality
 from ..operators.correlate import redundant_pairs
 from ..operators.lookup import attach_by_value, hot_when_large, value_counts
-from ..operators.neighbours import nearest, vector
+from ..operators.neighbours import MARK, marked, nearest, vector
 from ..operators.profile import number, rows_frame
 from ..operators.quantiles import exact_quantiles
 from ..operators.roles import DATETIME, IDENTIFIER, NOMINAL, ORDINAL, Strategy, build_strategy
@@ -109,11 +109,11 @@ def _regression(df, args, tables):
 def _knn(df, args, tables):
     column, context = args["column"], args["context"]
     hole = missing(column, df.schema[column].dataType)
-    holes = df.filter(hole).withColumn("vec", vector(df, context))
+    holes = marked(df.filter(hole).withColumn("vec", vector(df, context)))
     found = nearest(holes, tables[args["table"]], args["k"], payload=["__value"])
-    means = found.groupBy("vec").agg(F.avg("__value").alias("__fill"))
+    means = found.groupBy(*MARK).agg(F.avg("__value").alias("__fill"))
     whole = df.filter(~hole).withColumn(column, number(df, column))
-    mended = holes.join(means, "vec", "left").withColumn(column, F.col("__fill")).drop("vec", "__fill")
+    mended = holes.join(means, MARK, "left").withColumn(column, F.col("__fill")).drop("vec", "__fill", *MARK)
     return whole.unionByName(mended.select(*[quoted(c) for c in df.columns]))
 
 

@@ -19,14 +19,14 @@ def points(spark):
 @pytest.mark.parametrize("options", [{}, {"block": 16, "pivots": 12}, {"block": 8, "pivots": 1}])
 def test_nearest_is_exact(points, options):
     x, df = points
-    found = neighbours.nearest(df, df, 4, **options)
+    found = neighbours.attach_neighbours(df, neighbours.nearest(df, df, 4, **options), "id", False, 4)
     got = {}
     for r in found.collect():
-        got.setdefault(tuple(r["vec"]), []).append((r["place"], r["id"], r["distance"]))
+        got.setdefault(r["id"], []).append((r["place"], r["neighbour"], r["distance"]))
     for i in range(0, len(x), 7):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         order = np.lexsort((np.arange(len(x)), d))[:4]
-        mine = sorted(got[tuple(x[i])])
+        mine = sorted(got[i])
         assert [m[1] for m in mine] == order.tolist()
         assert np.allclose([m[2] for m in mine], d[order])
 
