@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col, missing
 from ..functions.schema import is_numeric, numeric_columns, quoted
+from .lookup import join_spread
 from .neighbours import MARK, marked, nearest, vector
 from .profile import number
 from .quantiles import exact_quantiles
@@ -146,7 +147,7 @@ def fill_knn(df: DataFrame, column: str, context: list[str], k: int = NEIGHBOURS
     found = nearest(holes, donors, k, payload=["__value"], **options)
     means = found.groupBy(*MARK).agg(F.avg("__value").alias("__fill"))
     whole = df.filter(present).withColumn(column, number(df, column))
-    mended = holes.join(means, MARK, "left").withColumn(column, F.col("__fill")).drop("vec", "__fill", *MARK)
+    mended = join_spread(holes, means, MARK, "left").withColumn(column, F.col("__fill")).drop("vec", "__fill", *MARK)
     return whole.unionByName(mended.select(*[quoted(c) for c in df.columns]))
 
 

@@ -52,3 +52,25 @@ def attach_by_value(
     return salted.join(
         repeated, (col(column) == F.col("__v")) & (F.col("__salt") == F.col("__s")), "left"
     ).drop("__v", "__s", "__salt")
+
+
+def join_spread(
+    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: Column | None = None, hot: list | None = None
+) -> DataFrame:
+    """Join whose left side may hold one key on very many rows; ``table`` holds few rows per key.
+
+    On a large left side the rows of hot keys are spread over SALTS tasks and the few table rows
+    of those keys are repeated once per salt.
+    """
+    if hot is None:
+        total = rows.count()
+        hot = hot_values(rows, keys[0], total) if total > LARGE_ROWS else []
+    if not hot:
+        return rows.join(table, keys, how)
+    by = spread if spread is not None else F.xxhash64(*[col(c) for c in rows.columns])
+    left = rows.withColumn(
+        "__salt", F.when(col(keys[0]).isin(hot), F.pmod(by, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    )
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    right = table.withColumn("__salt", F.explode(F.when(col(keys[0]).isin(hot), every).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -22,6 +22,7 @@ from ..functions.cells import col
 from ..functions.schema import quoted
 from ..session import settle
 from ..sources.sampling import seeded_sample
+from .lookup import join_spread
 from .profile import number
 
 BLOCK = 2_048
@@ -233,7 +234,7 @@ def attach_neighbours(df: DataFrame, found: DataFrame, key: str, exclude_self: b
     Returns the key, ``neighbour``, payload, ``distance`` and ``place``.
     """
     rows = marked(df.select(col(key).alias("__key"), "vec")).drop("vec")
-    paired = rows.join(found.withColumnRenamed("id", "neighbour"), MARK).drop(*MARK)
+    paired = join_spread(rows, found.withColumnRenamed("id", "neighbour"), MARK, spread=F.xxhash64("__key")).drop(*MARK)
     if exclude_self:
         paired = paired.filter(F.col("neighbour") != F.col("__key"))
         place = F.row_number().over(Window.partitionBy("__key").orderBy("distance", "neighbour"))

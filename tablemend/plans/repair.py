@@ -19,7 +19,7 @@ from ..functions.cells import col, drop_empty_rows, missing, normalise, number_l
 from ..functions.schema import is_numeric, is_text, numeric_columns, quoted, target_of, text_columns
 from ..operators import encode, extra, features, impute, outliers, quality
 from ..operators.correlate import redundant_pairs
-from ..operators.lookup import attach_by_value, hot_when_large, value_counts
+from ..operators.lookup import attach_by_value, hot_when_large, join_spread, value_counts
 from ..operators.neighbours import MARK, marked, nearest, vector
 from ..operators.profile import number, rows_frame
 from ..operators.quantiles import exact_quantiles
@@ -113,7 +113,7 @@ def _knn(df, args, tables):
     found = nearest(holes, tables[args["table"]], args["k"], payload=["__value"])
     means = found.groupBy(*MARK).agg(F.avg("__value").alias("__fill"))
     whole = df.filter(~hole).withColumn(column, number(df, column))
-    mended = holes.join(means, MARK, "left").withColumn(column, F.col("__fill")).drop("vec", "__fill", *MARK)
+    mended = join_spread(holes, means, MARK, "left").withColumn(column, F.col("__fill")).drop("vec", "__fill", *MARK)
     return whole.unionByName(mended.select(*[quoted(c) for c in df.columns]))
 
 

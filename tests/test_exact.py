@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablemend.operators import correlate, labels, near_duplicates, neighbours, ordering, outliers, quantiles, resample
-from tablemend.operators.lookup import attach_by_value, hot_values, value_counts
+from tablemend.operators.lookup import attach_by_value, hot_values, join_spread, value_counts
 from tablemend.sources.sampling import seeded_sample
 
 
@@ -93,6 +93,13 @@ def test_salted_lookup(spark):
     assert plain == sorted(map(str, attach_by_value(df, "v", counts, ["hot"]).collect()))
 
 
+def test_spread_join(spark):
+    rows = spark.range(200).selectExpr("id", "case when id % 3 = 0 then 7 else id end as q1", "1 as q2")
+    table = spark.range(200).selectExpr("id as q1", "1 as q2", "id * 2 as v")
+    plain = sorted(map(str, join_spread(rows, table, ["q1", "q2"]).select("id", "v").collect()))
+    assert plain == sorted(map(str, join_spread(rows, table, ["q1", "q2"], hot=[7]).select("id", "v").collect()))
+
+
 def test_rank_correlation_large_path(spark, monkeypatch):
     df = spark.range(400).selectExpr("case when id % 3 = 0 then 0D else id * 7 % 101 end as a", "id * 13 % 89 as b", "id * id % 71 as y")
     small = {r["column"]: r["r"] for r in correlate.all_rank_correlations(df, "y").collect()}
