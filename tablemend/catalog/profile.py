@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import correlate, diagnose, profile, roles
-from .registry import DEFECTS, damaged_sql, defective, register, table, union_sql
+from .registry import damaged_sql, defective, register, table, union_sql
 
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -85,7 +85,6 @@ def imbalance_ratio(spark, folder):
     return found.withColumn("ratio", F.round("ratio", 6))
 
 
-SIZED = ["p_partkey", "p_size", "p_retailprice"]
 COPIED = "l_extendedprice * 2 + l_linenumber as price_copy"
 
 
@@ -184,9 +183,9 @@ def _information_sql(features: list[str], target: str, few: set[str], source: st
     )
     return f"""cuts as (select {cuts} from {source}), joint as ({each}),
     s as (select "column", n, sum(n) over (partition by "column") as total,
-      sum(n) over (partition by "column", x) as nx, sum(n) over (partition by "column", y) as ny from joint)
-    select "column", round(sum(n / total::double * ln(n * total / (nx * ny)::double)), 6) as mutual_information
-    from s group by "column" """
+      sum(n) over (partition by "column", x) as nx, sum(n) over (partition by "column", y) as ny from joint),
+    mi as (select "column", round(sum(n / total::double * ln(n * total / (nx * ny)::double)), 6) as mutual_information
+      from s group by "column")"""
 
 
 @register(
@@ -194,7 +193,8 @@ def _information_sql(features: list[str], target: str, few: set[str], source: st
     "with "
     + _information_sql(
         ["l_quantity", "l_discount", "l_linenumber"], "l_extendedprice", {"l_discount", "l_linenumber"}, "lineitem"
-    ),
+    )
+    + " select * from mi",
 )
 def mutual_information_binned(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_linenumber", "l_extendedprice")
@@ -205,12 +205,8 @@ def mutual_information_binned(spark, folder):
 @register(
     "leakage_flags",
     "with d as (select l_quantity, l_tax, l_extendedprice * 2 + 1 as price_copy, l_extendedprice from lineitem), "
-    + _information_sql(["l_quantity", "l_tax", "price_copy"], "l_extendedprice", {"l_tax"}, "d").replace(
-        'select "column", round(sum', 'select "column" as "column", round(sum', 1
-    ).replace(
-        "select \"column\" as \"column\", round(", ", mi as (select \"column\", round(", 1
-    )
-    + "), sp as ("
+    + _information_sql(["l_quantity", "l_tax", "price_copy"], "l_extendedprice", {"l_tax"}, "d")
+    + ", sp as ("
     + _spearman_sql(["l_quantity", "l_tax", "price_copy"], "l_extendedprice", "d")
     + "), pe as ("
     + _top_target_sql(["l_quantity", "l_tax", "price_copy"], "l_extendedprice", "d")
@@ -332,5 +328,3 @@ def task_type(spark, folder):
     ]
     return profile.rows_frame(spark, rows, "price_task string, quality_task string")
 
-
-assert set(DEFECTS["lineitem"][:4]) <= set(LINEITEM)
