@@ -47,3 +47,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op3_near_copies")
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_copies import near_copies
+
+    return near_copies(read(spark, sf_dir, "documents"))
