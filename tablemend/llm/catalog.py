@@ -54,3 +54,17 @@ def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_copies import near_copies
 
     return near_copies(read(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import languages
+
+    return languages(read(spark, sf_dir, "documents"))
