@@ -68,3 +68,13 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import languages
 
     return languages(read(spark, sf_dir, "documents"))
+
+
+@query("op8_warc")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .store import scratch
+    from .warc import read_archive, write_archive
+
+    path = scratch(spark, "archive")
+    write_archive(read(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path)

@@ -19,11 +19,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .sieve import sieve
+from .skew import attach
 from .store import written
 from .words import SPACED, Words, mix, slices, spread
 
@@ -225,18 +226,3 @@ def near_copies(docs: DataFrame, percent: int = 75, task_rows: int = 512, task_c
     found = attach(sets.select("doc_id", "n_shingles", "digest"), ends, "digest").select("doc_id", "n_shingles", "component_id")
     return found.union(lone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)).alias("kept"))
 
-
-def attach(rows: DataFrame, values: DataFrame, key: str, most: int = 10_000) -> DataFrame:
-    """Inner join of ``rows`` with ``values`` (one row a key) that no frequent key can stall.
-
-    Keys with more than 1 / ``most`` of the rows are at most ``most`` in number, so their values are broadcast.
-    """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    total = rows.count()
-    hot = counts.filter(F.col("n") > max(1000, total // most)).select(key)
-    hot = written(values.join(hot, key, "left_semi"), "hot")
-    if hot.isEmpty():
-        return rows.join(values, key)
-    common = rows.join(F.broadcast(hot), key)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return common.unionByName(others.join(values, key))
