@@ -78,3 +78,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "archive")
     write_archive(read(spark, sf_dir, "pages"), path)
     return read_archive(spark, path)
+
+
+@query("op4_line_templates")
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_lines
+
+    return drop_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))

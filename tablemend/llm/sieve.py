@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -13,25 +14,36 @@ from pyspark.sql.types import BooleanType
 BITS = 26
 
 
-def sieve(keys: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A test on values of a column: true for every non-null ``key`` of ``keys``, and by chance for a few others.
+def bitmap(hashes: DataFrame) -> Broadcast:
+    """The bits of ``hashes`` (one column of 64-bit hashes) by their leading 26 bits; nulls are left out.
 
-    The bitmap has 2^26 bits (8 MB) whatever the number of keys, so it may be broadcast; when it fills up, more rows
-    pass and nothing is lost. What passes must still be joined with the keys.
+    8 MB whatever the number of keys, so it may be broadcast. When it fills up, more rows pass and none is lost.
     """
-    spark = keys.sparkSession
-    place = F.shiftrightunsigned(F.xxhash64(key), 64 - BITS)
-    bits = keys.filter(F.col(key).isNotNull()).select(place.alias("p"))
+    name = hashes.columns[0]
+    place = F.shiftrightunsigned(F.col(name), 64 - BITS)
+    bits = hashes.filter(F.col(name).isNotNull()).select(place.alias("p"))
     bits = bits.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b"))
+    found = bits.toPandas()
     table = np.zeros(1 << (BITS - 6), np.int64)
-    for batch in bits.select(F.col("w").cast("long"), "b").toPandas().itertuples(index=False):
-        table[batch[0]] = batch[1]
-    shared = spark.sparkContext.broadcast(table.tobytes())
+    table[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    return hashes.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
+def marked(shared: Broadcast, hashes: np.ndarray) -> np.ndarray:
+    """Which signed 64-bit hashes have their bit set."""
+    place = (hashes.astype(np.int64).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (np.frombuffer(shared.value, np.int64)[place >> 6] >> (place & 63)) & 1 == 1
+
+
+def sieve(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test on a column: true for every non-null ``key`` of ``keys``, and by chance for a few other values.
+
+    What passes must still be joined with the keys.
+    """
+    shared = bitmap(keys.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")))
 
-    def passes(p: pd.Series) -> pd.Series:
-        words = np.frombuffer(shared.value, np.int64)
-        p = p.to_numpy()
-        return pd.Series((words[p >> 6] >> (p & 63)) & 1 == 1)
+    def passes(h: pd.Series) -> pd.Series:
+        return pd.Series(marked(shared, h.to_numpy()))
 
     test = F.pandas_udf(passes, BooleanType())
-    return lambda column: test(F.shiftrightunsigned(F.xxhash64(column), 64 - BITS))
+    return lambda column: test(F.xxhash64(column)) & column.isNotNull()
