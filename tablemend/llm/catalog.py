@@ -85,3 +85,24 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_lines
 
     return drop_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+  from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select * from r where rank <= 20
+"""
+
+
+@query("op2_top_products", OP2_SQL)
+def op2_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .top_products import top_products
+
+    return top_products(read(spark, sf_dir, "embeddings"))
