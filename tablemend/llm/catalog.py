@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import license_notices, twin_sql
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -106,3 +108,8 @@ def op2_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .top_products import top_products
 
     return top_products(read(spark, sf_dir, "embeddings"))
+
+
+@query("op10_licenses", twin_sql())
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_notices(read(spark, sf_dir, "documents"))
