@@ -183,5 +183,6 @@ def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, least:
     same = tested.filter("not _maybe").select(*names, n_lines, F.lit(0).cast("long").alias("n_dropped"))
     kind = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     hit = tested.filter("_maybe").select(*names, F.col("doc_id").cast("long").alias("_key"))
-    hit = hit.join(drops.withColumnRenamed("doc_id", "_key"), "_key", "left").select(*names, "drop")
+    # drops grow with the documents, so the plan is the same at every size: never a broadcast
+    hit = hit.join(drops.withColumnRenamed("doc_id", "_key").hint("merge"), "_key", "left").select(*names, "drop")
     return same.unionByName(hit.mapInArrow(partial(_without, names=names), kind))
