@@ -38,6 +38,11 @@ def words(text: Column) -> Column:
     return F.when(plain != "", F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
 
 
+def once(value: Column) -> Column:
+    """``value`` computed once a row: a generated column is not put into the expressions that use it."""
+    return F.explode(F.array(value))
+
+
 def shingles(value: Column) -> Column:
     """A hash of each run of three words, in order; none for fewer words."""
     last = F.size(value) - WIDTH
@@ -74,25 +79,27 @@ def license_notices(docs: DataFrame, notices: list[tuple[str, str]] | None = Non
     """
     spark = docs.sparkSession
     notices = NOTICES if notices is None else notices
-    lengths = sorted({len([w for w in re.split(GAP, text) if w]) for _, text in notices})
+    lengths = sorted({len([w for w in re.split(GAP, text.lower()) if w]) for _, text in notices})
     if not lengths or lengths[0] < WIDTH:
         raise ValueError(f"a notice needs at least {WIDTH} words")
     count = band_count(lengths, tenths)
     listed = F.explode(F.array(*[F.struct(F.lit(a).alias("license_id"), F.lit(b).alias("text")) for a, b in notices]))
-    templates = spark.range(1).select(listed.alias("t")).select("t.*").withColumn("w", words(F.col("text")))
-    templates = templates.select("license_id", F.size("w").alias("n"), F.array_distinct(shingles(F.col("w"))).alias("wanted"))
     # the notices are given as literals, so everything made of them may be broadcast
-    known = spark.range(1).select(listed.alias("t")).select(F.flatten(F.collect_set(shingles(words(F.col("t.text"))))).alias("known"))
+    templates = spark.range(1).select(listed.alias("t")).select("t.license_id", once(words(F.col("t.text"))).alias("w"))
+    templates = templates.select("license_id", F.size("w").alias("n"), once(F.array_distinct(shingles(F.col("w")))).alias("wanted"))
+    known = templates.select(F.flatten(F.collect_set("wanted")).alias("known"))
     cells = templates.select("license_id", "n", "wanted", F.explode(bands(F.col("wanted"), count)).alias("band"))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(words(F.col("text").cast("string"))).alias("s"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), once(words(F.col("text").cast("string"))).alias("w"))
+    rows = rows.select("doc_id", once(shingles(F.col("w"))).alias("s"))
     rows = rows.join(F.broadcast(known)).filter(F.arrays_overlap("s", "known"))
 
     def starts(n: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(n)), lambda i: F.struct(F.lit(n).alias("n"), i.alias("first")))
 
     windows = rows.select("doc_id", "s", "known", F.explode(F.concat(*map(starts, lengths))).alias("at"))
-    windows = windows.select("doc_id", "known", "at.n", "at.first", F.expr(f"slice(s, at.first + 1, 2 * at.n - {WIDTH - 1})").alias("held"))
+    held = F.expr(f"slice(s, at.first + 1, 2 * at.n - {WIDTH - 1})")
+    windows = windows.select("doc_id", "known", "at.n", "at.first", once(held).alias("held"))
     windows = windows.filter(F.arrays_overlap("held", "known")).drop("known")
     hashed = windows.select("doc_id", "n", "first", "held", F.explode(bands(F.col("held"), count)).alias("band"))
     pairs = hashed.join(F.broadcast(cells), ["n", "band"])

@@ -142,14 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
         return none
     found = rows.mapInArrow(_frequencies, "cell bigint, clean bigint, toxic bigint")
     found = found.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("clean + toxic >= 3")
-    # at most one row a cell
-    table = found.toPandas()
-    ratio = np.log((table["toxic"] + 0.5) / (size[1] + 1)) - np.log((table["clean"] + 0.5) / (size[0] + 1))
-    power = np.abs(ratio) * np.sqrt(np.minimum(table["toxic"], table["clean"] * 1.0) + np.abs(table["toxic"] - table["clean"] * size[1] / size[0]))
-    best = np.lexsort((table["cell"], -power))[:FEATURES]
+    share = lambda c, k: F.log((F.col(c) + 0.5) / (size[k] + 1))
+    apart = F.abs(F.col("toxic") - F.col("clean") * (size[1] / size[0]))
+    found = found.withColumn("ratio", share("toxic", 1) - share("clean", 0))
+    found = found.withColumn("power", F.abs("ratio") * F.sqrt(F.least("toxic", "clean") + apart))
+    table = found.orderBy(F.desc("power"), "cell").limit(FEATURES).select("cell", "ratio").collect()
+    ratio = np.array([r["ratio"] for r in table])
     feature = np.zeros(CELLS, np.uint16)
-    feature[table["cell"].to_numpy()[best]] = np.arange(1, len(best) + 1)
-    ratio = ratio.to_numpy()[best]
+    feature[[r["cell"] for r in table]] = np.arange(1, len(table) + 1)
     vectors = rows.mapInArrow(partial(_vectors, feature=feature, ratio=ratio), "label int, at array<int>, x array<double>")
     width = 2 * len(ratio)
     pack = F.udf(lambda at, x: SparseVector(width, at, x), VectorUDT())
