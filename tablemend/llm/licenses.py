@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import once
+
 #: Short notices of common licenses.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -38,11 +40,6 @@ def words(text: Column) -> Column:
     return F.when(plain != "", F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def once(value: Column) -> Column:
-    """``value`` computed once a row: a generated column is not put into the expressions that use it."""
-    return F.explode(F.array(value))
-
-
 def shingles(value: Column) -> Column:
     """A hash of each run of three words, in order; none for fewer words."""
     last = F.size(value) - WIDTH

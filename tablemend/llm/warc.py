@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .sieve import sieve
-from .skew import attach
+from .skew import attach, once
 from .store import written
 
 MAGIC = b"WARC/1.0\r\n"
@@ -30,9 +30,9 @@ LINE = (
 )
 
 
-def base32_sha1(value: Column) -> Column:
-    """Bare upper-case base32 SHA-1 of a text's UTF-8 bytes: five hexadecimal digits are four base32 digits."""
-    hexadecimal, digits = F.sha1(value.cast("binary")), []
+def base32(hexadecimal: Column) -> Column:
+    """Upper-case base32 of 40 hexadecimal digits: five of them are four base32 digits."""
+    digits = []
     for at in range(1, 41, 5):
         group = F.conv(F.substring(hexadecimal, at, 5), 16, 10).cast("int")
         digits += [F.substr(F.lit(BASE32), F.shiftright(group, bits).bitwiseAND(31) + 1, F.lit(1)) for bits in (15, 10, 5, 0)]
@@ -50,14 +50,14 @@ def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    ).withColumn("digest", base32_sha1(F.col("html")))
-    same = rows.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("digest", "head")
+    ).select("*", once(F.sha1(F.col("html").cast("binary"))).alias("sha"))
+    same = rows.groupBy("sha").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
     same = written(same, "equal-payloads")
-    passes = sieve(same, "digest")
-    rows = rows.withColumn("maybe", passes(F.col("digest")))
+    passes = sieve(same, "sha")
+    rows = rows.withColumn("maybe", passes(F.col("sha")))
     # pages without a twin stay where they are; the others meet the head of their payload
     lone = rows.filter("not maybe").withColumn("head", F.lit(None).cast("long"))
-    twins = attach(rows.filter("maybe"), same, "digest", how="left")
+    twins = attach(rows.filter("maybe"), same.select("sha", "head"), "sha", how="left", counts=same.select("sha", "n"))
     rows = lone.unionByName(twins).withColumn("revisit", F.expr("head is not null and (page_id is null or page_id < head)"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">\r\n"))
     size = F.octet_length("html").cast("string")
@@ -69,7 +69,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z
         F.lit(f"WARC-Date: {date}\r\nWARC-Target-URI: "),
         F.col("url"),
         F.lit("\r\nContent-Type: text/html\r\nWARC-Payload-Digest: sha1:"),
-        F.col("digest"),
+        base32(F.col("sha")),
         F.lit("\r\nPayload-Length: "),
         size,
         F.lit("\r\n"),
