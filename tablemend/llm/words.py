@@ -88,7 +88,8 @@ class Words:
 
 def spread(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` values."""
-    total = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
+    n = max(0, len(hashes) - width + 1)
+    total = np.zeros(n, np.uint64)
     for k in range(width):
-        total = total * MIX_1 + hashes[k : len(hashes) - width + 1 + k]
+        total = total * MIX_1 + hashes[k : k + n]
     return mix(total)
