@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, schema
 from ..operators import audit, diagnose, extra, impute, outliers, profile, quality
-from ..plans.diagnosis import diagnose_table, report_table
+from ..plans.diagnosis import DiagnosisOptions, diagnose_table, report_table
 from ..plans.policy import policy_for
 from ..plans.repair import fit_repair
 from .registry import damaged_sql, defective, register, table, union_sql
@@ -49,9 +49,13 @@ ORDER_ISSUES = (
 )
 
 
+# the checks that the SQL beside them can count; full_diagnosis and report_table run all of them
+COUNTED = DiagnosisOptions(near_duplicates=False, isolation=False, label_noise=False)
+
+
 @register("issue_list", ORDER_ISSUES + " select type, severity, score from issues")
 def issue_list(spark, folder):
-    found = diagnose_table(defective(spark, folder, "orders"))
+    found = diagnose_table(defective(spark, folder, "orders"), options=COUNTED)
     return found.issues.withColumn("score", F.round("score", 6))
 
 
@@ -64,7 +68,7 @@ def issue_list(spark, folder):
     coalesce(bool_or(type = 'Distribution Skew'), false) as distribution_skew from issues""",
 )
 def issue_taxonomy(spark, folder):
-    return diagnose.issue_taxonomy(diagnose_table(defective(spark, folder, "orders")).issues)
+    return diagnose.issue_taxonomy(diagnose_table(defective(spark, folder, "orders"), options=COUNTED).issues)
 
 
 @register(
@@ -82,7 +86,7 @@ def issue_taxonomy(spark, folder):
     from s""",
 )
 def quality_score(spark, folder):
-    scores = quality.quality_scores(diagnose_table(defective(spark, folder, "orders")).metrics)
+    scores = quality.quality_scores(diagnose_table(defective(spark, folder, "orders"), options=COUNTED).metrics)
     rounded = ("missing_penalty", "duplicate_penalty", "quality_score")
     return scores.withColumns({c: F.round(c, 6) for c in rounded})
 
@@ -96,7 +100,7 @@ def quality_score(spark, folder):
     select r.type as issue, strategy, rationale from issues join r on issues.type = r.type""",
 )
 def interventions(spark, folder):
-    return quality.interventions(diagnose_table(defective(spark, folder, "orders")).issues)
+    return quality.interventions(diagnose_table(defective(spark, folder, "orders"), options=COUNTED).issues)
 
 
 @register(
@@ -111,14 +115,20 @@ def interventions(spark, folder):
     union all select 'weakness', 'Critical ' || type || ' detected (Severity: High)' from issues where severity = 'High'""",
 )
 def strengths_and_weaknesses(spark, folder):
-    found = diagnose_table(defective(spark, folder, "orders"))
+    found = diagnose_table(defective(spark, folder, "orders"), options=COUNTED)
     return quality.strengths_and_weaknesses(found.metrics, found.issues)
 
 
 @register("report_table")
 def report(spark, folder):
-    orders = defective(spark, folder, "orders")
-    return report_table(orders, diagnose_table(orders))
+    customers = defective(spark, folder, "customer")
+    return report_table(customers, diagnose_table(customers))
+
+
+@register("full_diagnosis")
+def full_diagnosis(spark, folder):
+    """The counts of all checks, those of rows against rows included."""
+    return diagnose_table(defective(spark, folder, "customer"), options=DiagnosisOptions(key="c_custkey")).metrics
 
 
 FILLED = ["l_quantity", "l_discount", "l_tax"]
@@ -173,7 +183,7 @@ def quality_gates(spark, folder):
 def issues_resolved(spark, folder):
     before = defective(spark, folder, "orders")
     after = before.dropDuplicates()
-    return quality.issues_resolved(diagnose_table(before).issues, diagnose_table(after).issues)
+    return quality.issues_resolved(diagnose_table(before, options=COUNTED).issues, diagnose_table(after, options=COUNTED).issues)
 
 
 @register(

@@ -31,9 +31,9 @@ def humanise_dates(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: human_date(col(c)) for c in columns}) if columns else df
 
 
-def title_case_names(df: DataFrame) -> DataFrame:
-    """Title-case every text column whose name contains ``name`` (FE3)."""
-    named = [c for c in text_columns(df) if "name" in c.lower()]
+def title_case_names(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Title-case every text column, or those among ``columns``, whose name contains ``name`` (FE3)."""
+    named = [c for c in text_columns(df) if "name" in c.lower() and (columns is None or c in columns)]
     return df.withColumns({c: title_case(col(c)) for c in named}) if named else df
 
 

@@ -83,7 +83,8 @@ def near_links(
     sizes = {r["ord"]: r["n"] for r in leading.groupBy("ord").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = {o: n for o, n in sizes.items() if n > 1}
     if not shared:
-        return weights.sparkSession.createDataFrame([], "id long, near_id long, cosine double")
+        kind = dict(weights.dtypes)["id"]
+        return weights.sparkSession.createDataFrame([], f"id {kind}, near_id {kind}, cosine double")
     chunks = F.array(*[F.lit(max(1, math.ceil(shared.get(o, 0) / block))) for o in range(max(shared) + 1)])
     chunk = F.pmod(F.xxhash64("id"), F.get(chunks, F.col("ord"))).cast("int")
     meeting = leading.filter(F.col("ord").isin(list(shared))).withColumn("chunk", chunk)

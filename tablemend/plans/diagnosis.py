@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 from ..functions.cells import normalise
 from ..functions.schema import numeric_columns, target_of
 from ..operators import correlate, diagnose, labels, near_duplicates, outliers, profile, quality, roles
+from ..session import settle
+
+ROW = "__row_number"
 
 
 @dataclass(frozen=True)
 class DiagnosisOptions:
-    """The three neighbour checks compare rows with rows and cost most, so they can be left out."""
+    """The checks of rows against rows cost most, so they can be left out; what is left out is null.
+
+    ``key`` names a unique column; without one a row number is given for the time of the diagnosis.
+    """
 
-    near_duplicates: bool = False
-    isolation: bool = False
-    label_noise: bool = False
+    near_duplicates: bool = True
+    isolation: bool = True
+    label_noise: bool = True
     key: str | None = None
     skip_columns: tuple[str, ...] = ()
 
@@ -35,7 +41,7 @@ class Diagnosis:
 def diagnose_table(df: DataFrame, target: str | None = None, options: DiagnosisOptions = DiagnosisOptions()) -> Diagnosis:
     """Run the checks over all rows and score what they find.
 
-    Only counts reach the driver. ``options.key`` names a unique column for the row-to-row checks.
+    Only counts reach the driver. A check that was left out or does not apply is null, not 0.
     """
     spark = df.sparkSession
     df = normalise(df)
@@ -51,14 +57,18 @@ def diagnose_table(df: DataFrame, target: str | None = None, options: DiagnosisO
     skewed = sum(
         1 for c in numbers if summary.columns[c].skew is not None and abs(summary.columns[c].skew) > 1.0
     )
-    near = isolated = noisy = 0
-    if options.near_duplicates and options.key:
-        near = near_duplicates.near_duplicate_rows(df, options.key).count()
+    near = isolated = noisy = None
+    keyed, key = df, options.key
+    if key is None and (options.near_duplicates or options.isolation or options.label_noise):
+        # written before use, so the numbers are the same wherever they are read
+        keyed, key = settle(df.withColumn(ROW, F.monotonically_increasing_id())), ROW
+    if options.near_duplicates:
+        near = near_duplicates.near_duplicate_rows(keyed, key, [c for c in df.columns if c != key]).count()
     if options.isolation and numbers and summary.rows > 20:
-        keys = [options.key] if options.key else None
-        isolated = outliers.isolation_outliers(df, numbers, keys).filter("is_outlier").count()
-    if options.label_noise and options.key:
-        noisy = labels.label_noise_report(df, target, options.key, roles.task_type(df, target))[1] or 0
+        inputs = [c for c in numbers if c != key]
+        isolated = outliers.isolation_outliers(keyed, inputs, [key]).filter("is_outlier").count() if inputs else None
+    if options.label_noise:
+        noisy = labels.label_noise_report(keyed, target, key, roles.task_type(df, target))[1]
     row = (
         summary.rows, len(df.columns), len(numbers), summary.missing_total, copies, near,
         beyond, isolated, noisy, ratio, len(leaking), mixed, skewed,
@@ -96,7 +106,7 @@ def report_table(df: DataFrame, found: Diagnosis, results: DataFrame | None = No
         for r in quality.strengths_and_weaknesses(found.metrics, found.issues).orderBy("kind", "point").collect()
     ]
     names = ("duplicates", "missing", "outliers", "isolation_outliers", "label_noise", "near_duplicates")
-    rows += [("5 diagnostics", n, str(metrics[n])) for n in names]
+    rows += [("5 diagnostics", n, "not run" if metrics[n] is None else str(metrics[n])) for n in names]
     rows += [("5 diagnostics", "target", found.target)]
     rows += [("5 diagnostics", "leaking", c) for c in found.leaking]
     rows += [("5 diagnostics", f"role of {c}", r) for c, r in sorted(found.roles.items())]

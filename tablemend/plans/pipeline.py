@@ -42,9 +42,10 @@ def clean(
     before = diagnose_table(df, target, options)
     strategy = build_strategy(df, target)
     policy = policy or policy_for("gentle")
-    readable = fit_repair(df, target, policy, strategy, before.leaking, readable=True)
+    readable = fit_repair(df, target, policy, strategy, before.leaking, readable=True, key=options.key)
     model_ready = fit_repair(
-        df, target, policy_for("balanced", remove_duplicates=True), strategy, before.leaking, readable=False, order_by=order_by
+        df, target, policy_for("balanced", remove_duplicates=True), strategy, before.leaking, readable=False, order_by=order_by,
+        key=options.key,
     )
     after = diagnose_table(readable.frame, target, options)
     if path:

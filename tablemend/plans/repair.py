@@ -99,6 +99,12 @@ def _fill(df, args, tables):
     return impute.fill_with(df, {c: v for c, v in args["values"].items() if c in df.columns})
 
 
+def _later_fill(df, args, tables):
+    """Fill without changing a column's type."""
+    values = {c: v for c, v in args["values"].items() if c in df.columns}
+    return df.withColumns({c: F.coalesce(col(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in values.items()})
+
+
 def _regression(df, args, tables):
     guess = F.lit(args["intercept"])
     for c, slope in zip(args["context"], args["slopes"]):
@@ -161,8 +167,9 @@ def _codes(df, args, tables):
 
 def _lags(df, args, tables):
     target = args["target"]
-    names = {f"{target}_lag_1": ("lag", 1, 0), f"{target}_lag_2": ("lag", 2, 0), f"{target}_rolling_mean_3": ("avg", -2, 0)}
-    added = features.with_lookback(df, args["order_by"], args["entity"], 2, names, target)
+    # earlier rows only: a row's own target is not among its features
+    names = {f"{target}_lag_1": ("lag", 1, 0), f"{target}_lag_2": ("lag", 2, 0), f"{target}_rolling_mean_3": ("avg", -3, -1)}
+    added = features.with_lookback(df, args["order_by"], args["entity"], 3, names, target)
     return added.withColumns({n: F.coalesce(col(n).cast("double"), F.lit(args["median"])) for n in names})
 
 
@@ -175,9 +182,10 @@ _APPLY = {
     "timestamps": lambda df, a, t: features.as_timestamps(df, _only(df, a["columns"])),
     "human_dates": lambda df, a, t: features.humanise_dates(df, _only(df, a["columns"])),
     "date_parts": lambda df, a, t: features.add_date_parts(df, _only(df, a["columns"])),
-    "title_case": lambda df, a, t: features.title_case_names(df),
+    "title_case": lambda df, a, t: features.title_case_names(df, a.get("columns")),
     "to_number": lambda df, a, t: df.withColumns({c: text_to_number(col(c)) for c in _only(df, a["columns"])}),
     "fill": _fill,
+    "later_fill": _later_fill,
     "regression": _regression,
     "knn": _knn,
     "clip": _clip,
@@ -238,12 +246,16 @@ def fit_repair(
     readable: bool = True,
     order_by: list[str] | None = None,
     entity: list[str] | None = None,
+    key: str | list[str] | None = None,
 ) -> Repair:
     """Fit the repair of a table; ``result.frame`` is the repaired table.
 
     ``readable`` keeps the column list (dates as text, no encoding); otherwise the table becomes
-    model-ready. Lags of a time series need ``order_by``.
+    model-ready. Lags of a time series need ``order_by``. Columns named by ``key`` tell rows apart:
+    no step changes them, and none reads them as a number. Protected columns are never dropped for
+    their holes.
     """
+    keys = [key] if isinstance(key, str) else list(key or [])
     policy = policy or policy_for("gentle" if readable else "balanced")
     df = normalise(df)
     require_rows(df, "repair")
@@ -271,28 +283,28 @@ def fit_repair(
     for step, columns in (("flag_identifier_columns", identifiers), ("flag_leakage_columns", leaking)):
         for c in columns:
             fit.log(step, c, "quarantined")
-    sparse = [c for c in df.columns if c != target and c not in empty and holes[c] / max(1, rows) > policy.missing_column_threshold]
+    sparse = [c for c in df.columns if c != target and c not in empty and c not in keys and holes[c] / max(1, rows) > policy.missing_column_threshold]
     for c in sparse:
         fit.log("flag_high_missing_columns", c, f"over {policy.missing_column_threshold} missing, filled all the same", holes[c])
     for wanted, columns in (
         (policy.drop_identifier_columns, identifiers),
         (policy.drop_leakage_columns, leaking),
-        (policy.drop_high_missing_columns, sparse),
+        (policy.drop_high_missing_columns, [c for c in sparse if c not in strategy.protected]),
     ):
-        gone = [c for c in columns if wanted and c in fit.df.columns]
+        gone = [c for c in columns if wanted and c in fit.df.columns and c not in keys]
         if gone:
             fit.do("drop_columns", ("drop_columns", None, ", ".join(gone)), columns=gone)
             dropped += gone
 
-    dates = [c for c in strategy.with_role(DATETIME) if c in fit.df.columns and c != target]
+    dates = [c for c in strategy.with_role(DATETIME) if c in fit.df.columns and c not in (target, *keys)]
     if dates:
         fit.do("timestamps", ("datetime_normalization", None, ", ".join(dates)), columns=dates)
-    numbers = [c for c in numeric_columns(fit.df, [target])]
+    numbers = [c for c in numeric_columns(fit.df, [target, *keys])]
     if dates:
         fit.do("human_dates" if readable else "date_parts", columns=dates)
-    fit.do("title_case")
+    fit.do("title_case", columns=[c for c in fit.df.columns if c not in keys])
     if policy.convert_mixed_numeric_text:
-        texts = text_columns(fit.df, [target])
+        texts = text_columns(fit.df, [target, *keys])
         if texts:
             row = fit.df.agg(
                 *[F.count_if(number_literal(col(c))).alias(f"n{i}") for i, c in enumerate(texts)],
@@ -303,7 +315,8 @@ def fit_repair(
                 fit.do("to_number", ("mixed_type_coercion", None, ", ".join(mixed)), columns=mixed)
                 numbers += mixed
 
-    _fit_fills(fit, numbers, target, empty, policy)
+    _fit_fills(fit, numbers, [target, *keys], empty, policy)
+    _fit_later_fills(fit, [target, *keys])
     if policy.handle_outliers:
         _fit_outliers(fit, numbers, policy)
     if policy.apply_log_transform and not strategy.is_small:
@@ -321,21 +334,21 @@ def fit_repair(
     if not readable:
         _fit_features(fit, strategy, target, order_by, entity)
     if not readable and policy.encode_features:
-        _fit_encoding(fit, strategy, target)
-    _fit_sweep(fit)
+        _fit_encoding(fit, strategy, target, keys)
+    _fit_sweep(fit, keys)
 
     quality.require_no_column_loss([c for c in original if c not in dropped], fit.df.columns)
     fit.repair.weights = encode.class_weights(fit.df, target)
     if fit.repair.weights:
         fit.log("sample_weight_computation", target, "balanced")
     if not readable and policy.encode_features:
-        for r in redundant_pairs(fit.df, numeric_columns(fit.df, [target])).collect():
+        for r in redundant_pairs(fit.df, numeric_columns(fit.df, [target, *keys])).collect():
             fit.log("flag_redundant_features", r["right"], f"correlates {r['r']} with {r['left']}")
     fit.repair.frame = fit.df
     return fit.repair
 
 
-def _fit_fills(fit: _Fitting, numbers: list[str], target: str, empty: list[str], policy: RepairPolicy) -> None:
+def _fit_fills(fit: _Fitting, numbers: list[str], untouched: list[str], empty: list[str], policy: RepairPolicy) -> None:
     rows = fit.df.count()
     holes = fit.holes(numbers)
     steps = impute.plan_numeric_fill(holes, rows, numbers, policy.numeric_imputation)
@@ -358,7 +371,7 @@ def _fit_fills(fit: _Fitting, numbers: list[str], target: str, empty: list[str],
             fit.do("fill", log, values={s.column: row["m"]})
         else:
             fit.do("fill", log, values={s.column: medians[s.column][0] if s.method == "median" else 0.0})
-    texts = [c for c in text_columns(fit.df, [target]) if c not in empty]
+    texts = [c for c in text_columns(fit.df, untouched) if c not in empty]
     gaps = {c: n for c, n in fit.holes(texts).items() if n}
     modes = impute.mode_values(fit.df, list(gaps))
     for c, n in gaps.items():
@@ -424,25 +437,35 @@ def _fit_features(fit: _Fitting, strategy: Strategy, target: str, order_by, enti
         fit.do("traffic", ("domain_features", None, "traffic volume and ratio"))
 
 
-def _fit_encoding(fit: _Fitting, strategy: Strategy, target: str) -> None:
-    wide = [c for c in strategy.high_cardinality if c in fit.df.columns and is_text(fit.df.schema[c].dataType)]
+def _fit_encoding(fit: _Fitting, strategy: Strategy, target: str, keys: list[str]) -> None:
+    wide = [c for c in strategy.high_cardinality if c in fit.df.columns and c not in keys and is_text(fit.df.schema[c].dataType)]
     for c in wide:
         table = encode.fit_frequency(fit.df, c)
         fit.do("frequency", ("frequency_encoding", c, "share of rows"), table, table=f"frequency_{len(fit.repair.tables)}", column=c, rows=strategy.rows)
     nominal = [c for c in strategy.with_role(NOMINAL) if c in fit.df.columns and c not in wide and c != target]
-    nominal = [c for c in nominal if is_text(fit.df.schema[c].dataType)]
+    nominal = [c for c in nominal if c not in keys and is_text(fit.df.schema[c].dataType)]
     if nominal:
         fit.do("one_hot", ("one_hot_encoding", None, ", ".join(nominal)), categories=encode.fit_categories(fit.df, nominal))
-    ordinal = [c for c in strategy.with_role(ORDINAL) if c in fit.df.columns and c != target]
+    ordinal = [c for c in strategy.with_role(ORDINAL) if c in fit.df.columns and c not in (target, *keys)]
     for c in [c for c in ordinal if is_text(fit.df.schema[c].dataType)]:
         fit.do("codes", ("ordinal_encoding", c, "text order"), encode.fit_codes(fit.df, c), table=f"codes_{len(fit.repair.tables)}", column=c)
     if is_text(fit.df.schema[target].dataType):
         fit.do("codes", ("target_encoding", target, "class codes"), encode.fit_codes(fit.df, target), table="target_codes", column=target, on_target=True)
 
 
-def _fit_sweep(fit: _Fitting) -> None:
+def _fit_later_fills(fit: _Fitting, untouched: list[str]) -> None:
+    """Median or mode of every column, for holes that only a table repaired later has (ML18)."""
+    numbers, texts = numeric_columns(fit.df, untouched), text_columns(fit.df, untouched)
+    medians, modes = exact_quantiles(fit.df, numbers, [0.5]), impute.mode_values(fit.df, texts)
+    values = {c: medians[c][0] for c in numbers} | {c: modes[c] for c in texts}
+    values = {c: v for c, v in values.items() if v is not None}
+    if values:
+        fit.do("later_fill", values=values)
+
+
+def _fit_sweep(fit: _Fitting, keys: list[str]) -> None:
     """Nothing stays missing: blanks and nulls of text by mode, numbers by median (CST5)."""
-    gaps = [c for c, n in fit.holes(fit.df.columns).items() if n]
+    gaps = [c for c, n in fit.holes([c for c in fit.df.columns if c not in keys]).items() if n]
     texts = [c for c in gaps if is_text(fit.df.schema[c].dataType)]
     numbers = [c for c in gaps if is_numeric(fit.df.schema[c].dataType)]
     if texts:
