@@ -78,21 +78,18 @@ def cells(codes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.
             yield (mix(run) & np.uint64(CELLS - 1)).astype(np.int64), inside
 
 
-def counts(texts: list[str | None], feature: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often each text has each feature, and each text's length in letters and blanks."""
+def counts(texts: list[str | None], feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The features that occur in each text: text, feature (from 0) and density; and where each text's begin and end."""
     codes, ends = plain(texts)
-    total = np.zeros(len(texts) * width, np.int64)
+    keys = [np.zeros(0, np.int64)]
     for cell, inside in cells(codes, ends):
-        found = feature[cell].astype(np.int64)
+        found = feature[cell]
         at = np.flatnonzero((found > 0) & inside)
-        owner = np.searchsorted(ends, at, "right") - 1
-        total += np.bincount(owner * width + found[at] - 1, minlength=len(total))
-    return total.reshape(len(texts), width), np.diff(ends)
-
-
-def values(count: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Presence and density."""
-    return (count > 0).astype(np.float64), np.minimum(1.0, count * (SPAN / np.maximum(length, SPAN))[:, None])
+        keys.append((np.searchsorted(ends, at, "right") - 1) * FEATURES + found[at] - 1)
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    owner = key // FEATURES
+    density = np.minimum(1.0, count * (SPAN / np.maximum(np.diff(ends), SPAN))[owner])
+    return owner, key % FEATURES, density, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +109,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], feature: np.ndarray, ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
+    kind = pa.schema([("label", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
     for batch in batches:
-        for part in slices(batch, "text", 1 << 18):
-            one, two = values(*counts(part.column("text").to_pylist(), feature, len(ratio)))
-            rows = np.concatenate([one * ratio, two * ratio], axis=1)
-            at = [np.flatnonzero(r).tolist() for r in rows]
-            yield pa.RecordBatch.from_pydict({"label": part.column("label"), "at": at, "x": [r[a].tolist() for r, a in zip(rows, at, strict=True)]},
-                schema=pa.schema([("label", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))]))
+        for part in slices(batch, "text"):
+            _, at, density, cuts = counts(part.column("text").to_pylist(), feature)
+            span = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            places = [np.concatenate([at[a:b], at[a:b] + len(ratio)]).tolist() for a, b in span]
+            x = [np.concatenate([ratio[at[a:b]], ratio[at[a:b]] * density[a:b]]).tolist() for a, b in span]
+            yield pa.RecordBatch.from_pydict({"label": part.column("label"), "at": places, "x": x}, schema=kind)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
@@ -165,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
 def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     for batch in batches:
-        for part in slices(batch, "text", 1 << 18):
-            one, two = values(*counts(part.column("text").to_pylist(), model.feature, len(model.presence)))
-            raw = one @ model.presence + two @ model.density + model.intercept
+        for part in slices(batch, "text"):
+            owner, at, density, _ = counts(part.column("text").to_pylist(), model.feature)
+            weight = model.presence[at] + model.density[at] * density
+            raw = np.bincount(owner, weights=weight, minlength=len(part)) + model.intercept
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))], [*part.schema.names, "score"])
 
 
