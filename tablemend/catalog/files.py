@@ -38,8 +38,10 @@ def csv_long_lines(spark, folder):
     line = F.concat_ws(",", *cells, F.when(F.col("c_custkey") % 7 == 0, "spare"))
     path = _scratch(spark)
     rows = table(spark, folder, "customer").select(line.alias("value"))
-    header = spark.createDataFrame([(",".join(CUSTOMER),)], "value string")
-    header.unionByName(rows).coalesce(1).write.text(path)
+    # a file a part of the table, each with the header first
+    head = F.when(F.col("n") == 0, F.array(F.lit(",".join(CUSTOMER)), "value")).otherwise(F.array("value"))
+    first = rows.withColumn("n", F.monotonically_increasing_id() % (1 << 33))
+    first.select(F.explode(head).alias("value")).write.text(path)
     return csv.scan_csv(spark, path)
 
 
@@ -67,30 +69,28 @@ def csv_repair_scan(spark, folder):
 
 @register(
     "encoding_scan",
-    r"""select doc_id, case when doc_id % 2 = 0 or not regexp_matches(substr(text, 1, 10000), '[\x{80}-\x{FF}]')
+    r"""select doc_id, case when doc_id % 2 = 0 or not regexp_matches(text, '[\x{80}-\x{FF}]')
     then 'utf-8' else 'iso-8859-1' end as encoding from documents""",
 )
 def encoding_scan(spark, folder):
     narrow = F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "ISO-8859-1")
     content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(narrow)
     files = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("path"), F.octet_length(content).alias("length"), F.substring(content, 1, csv.SNIFFED_BYTES).alias("head")
+        F.col("doc_id").alias("path"), F.octet_length(content).alias("length"), content.alias("head")
     )
     return csv.encoding_of(files).select(F.col("path").alias("doc_id"), "encoding")
 
 
-@register("encoded_folder_scan", "select doc_id, lang, replace(substr(text, 1, 40), chr(10), ' ') as start from documents where lang in ('fr', 'en', 'de', 'es')")
+@register("encoded_folder_scan", "select doc_id, lang, replace(text, chr(10), ' ') as line from documents")
 def encoded_folder_scan(spark, folder):
     """Half of the rows are written as UTF-8, half as Latin-1; both come back alike."""
-    rows = table(spark, folder, "documents").filter(F.col("lang").isin("fr", "en", "de", "es")).select(
-        "doc_id", "lang", F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")).alias("start")
-    )
+    rows = table(spark, folder, "documents").select("doc_id", "lang", F.replace("text", F.lit("\n"), F.lit(" ")).alias("line"))
     path = _scratch(spark)
-    wide = F.col("start").rlike(r"[^\x00-\xff]")
+    wide = F.col("line").rlike(r"[^\x00-\xff]")
     kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     rows.filter((F.col("doc_id") % 2 == 0) | wide).write.options(**kept).csv(f"{path}/a")
     rows.filter((F.col("doc_id") % 2 == 1) & ~wide).write.options(**kept, encoding="ISO-8859-1").csv(f"{path}/b")
-    return csv.scan_csv_folder(spark, f"{path}/*/*.csv").withColumn("start", F.coalesce("start", F.lit("")))
+    return csv.scan_csv_folder(spark, f"{path}/*/*.csv").withColumn("line", F.coalesce("line", F.lit("")))
 
 
 @register("zip_csv_scan", CUSTOMER_SQL.format("customer"))

@@ -24,40 +24,42 @@ NULL_TOKENS = [
 # Encodings tried in turn; the last one reads any bytes.
 ENCODINGS = ["utf-8", "iso-8859-1"]
 SEPARATORS = [",", ";", "\t", "|"]
-SNIFFED_BYTES = 10_000
-SNIFFED_LINES = 50
 RAGGED = "_corrupt_record"
 
 
-def file_encodings(spark: SparkSession, path: str, sniff: int = SNIFFED_BYTES) -> DataFrame:
-    """Encoding per file under a path (SRC2); only the first bytes of a file leave the scan."""
-    files = spark.read.format("binaryFile").load(path)
-    return encoding_of(files.select("path", "length", F.expr(f"substring(content, 1, {sniff})").alias("head")), sniff)
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """Encoding per file under a path, decided by every line of it (SRC2): path, length, encoding.
 
+    Files are read as lines, in splits; a line is checked where it is read and only flags leave it.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("length"),
+        (F.col("_metadata.file_block_start") == 0).alias("first_block"),
+        F.col("value").cast("binary").alias("head"),
+    )
+    return encoding_of(lines)
 
-def encoding_of(files: DataFrame, sniff: int = SNIFFED_BYTES) -> DataFrame:
-    """Encoding of each ``head``: marked UTF-8 or UTF-16, valid UTF-8, else Latin-1.
 
-    A multi-byte character cut at the end of the sample does not count against UTF-8.
-    """
-    whole = F.col("length") <= sniff
-    valid = F.lit(False)
-    for cut in range(4):
-        trimmed = F.expr(f"is_valid_utf8(cast(substring(head, 1, length(head) - {cut}) as string))")
-        valid = valid | (trimmed & (F.lit(cut == 0) | ~whole))
-    mark = F.hex(F.expr("substring(head, 1, 3)"))
+def encoding_of(lines: DataFrame) -> DataFrame:
+    """Encoding of each ``path`` from its lines (path, length, head): marked UTF-8 or UTF-16, valid UTF-8
+    throughout, else Latin-1. A mark can only begin a file's first line; the bytes FE and FF that start
+    the UTF-16 mark never occur in UTF-8 text."""
+    start = F.hex(F.substring("head", 1, 3))
+    marked = start.startswith("FFFE") | start.startswith("FEFF")
+    if "first_block" in lines.columns:
+        marked = marked & F.col("first_block")
     encoding = (
-        F.when(mark == "EFBBBF", "utf-8")
-        .when(mark.startswith("FFFE") | mark.startswith("FEFF"), "utf-16")
-        .when(valid, "utf-8")
+        F.when(F.bool_or(marked), "utf-16")
+        .when(F.bool_and(F.is_valid_utf8(F.col("head").cast("string"))), "utf-8")
         .otherwise("iso-8859-1")
     )
-    return files.select("path", "length", encoding.alias("encoding"))
+    return lines.groupBy("path").agg(F.max("length").alias("length"), encoding.alias("encoding"))
 
 
 def sniff_separator(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
-    """Separator that occurs equally often, and most often, in the first lines (SRC3)."""
-    lines = _lines(spark, path, encoding).limit(SNIFFED_LINES)
+    """Separator that occurs equally often, and most often, in all lines (SRC3); one aggregate."""
+    lines = _lines(spark, path, encoding)
     counts = [
         F.struct(F.min(_times("value", s)).alias("low"), F.max(_times("value", s)).alias("high"), F.avg(_times("value", s)).alias("mean")).alias(f"s{i}")
         for i, s in enumerate(SEPARATORS)
@@ -106,10 +108,12 @@ def scan_csv(
     fields = [T.StructField(f.name, T.StringType()) for f in header]
     schema = T.StructType([*fields, T.StructField(RAGGED, T.StringType())])
     raw = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=RAGGED).schema(schema).load(path)
-    names = [f.name for f in fields]
     if skip_long_lines:
-        # a marked row whose last cell is present has cells to spare; a short one lacks its last
-        raw = raw.filter(F.col(RAGGED).isNull() | col(names[-1]).isNull() | (_times(RAGGED, sep) < len(names)))
+        # separators outside of quotes tell how many cells a marked row has
+        bare = raw.withColumn("__bare", F.regexp_replace(RAGGED, '"[^"]*"', ""))
+        # a named cell takes part, for Spark refuses scans that read nothing but the mark
+        spaces = F.coalesce(_times("__bare", sep), F.length(col(fields[0].name)) * 0, F.lit(0))
+        raw = bare.filter(spaces < len(fields)).drop("__bare")
     table = tidy_names(raw.drop(RAGGED))
     return infer_types(null_tokens(table)) if infer else null_tokens(table)
 
@@ -177,18 +181,18 @@ def repaired_lines(lines: DataFrame) -> DataFrame:
     quotes = F.length(F.regexp_replace(text, '[^"]', ""))
     return (
         lines.filter(F.trim("value") != "")
-        .select(F.when(quotes % 2 == 1, F.concat(text, F.lit('"'))).otherwise(text).alias("value"))
+        .withColumn("value", F.when(quotes % 2 == 1, F.concat(text, F.lit('"'))).otherwise(text))
         .filter("value != ''")
     )
 
 
 def parse_lines(lines: DataFrame, header: str, sep: str = ",") -> DataFrame:
-    """Repaired lines of one layout as a typed table; lines with too many cells leave."""
+    """Repaired lines of one layout, without header lines, as a typed table; lines with too many cells leave."""
     names = [n.strip().strip('"') for n in header.split(sep)]
     spare = "__spare"
     schema = ", ".join(f"{quoted(n)} string" for n in [*names, spare])
     options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}
-    parsed = lines.filter(F.col("value") != F.lit(header)).select(F.from_csv("value", schema, options).alias("row")).select("row.*")
+    parsed = lines.select(F.from_csv("value", schema, options).alias("row")).select("row.*")
     return infer_types(null_tokens(tidy_names(parsed.filter(F.col(spare).isNull()).drop(spare))))
 
 
@@ -196,9 +200,16 @@ def scan_broken_csv(
     spark: SparkSession, path: str, encoding: str = "utf-8", sep: str = ",", header: str | None = None
 ) -> DataFrame:
     """Line-by-line reading of malformed files (SRC5). All files share one header line, by default
-    the first line of the first file."""
-    lines = repaired_lines(_lines(spark, path, encoding))
-    return parse_lines(lines, header or lines.first()["value"], sep)
+    the first line of the first file.
+
+    One header line of each file leaves; further lines that read like it are rows. As equal lines are
+    interchangeable, it does not matter which one of them leaves.
+    """
+    lines = repaired_lines(_lines(spark, path, encoding).select("value", F.col("_metadata.file_path").alias("file")))
+    header = header or lines.first()["value"]
+    alike = lines.filter(F.col("value") == F.lit(header)).groupBy("file", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = alike.filter("n > 1").select("value", F.explode(F.expr("sequence(2, n)"))).select("value")
+    return parse_lines(lines.filter(F.col("value") != F.lit(header)).select("value").unionByName(rows), header, sep)
 
 
 def zip_lines(archives: DataFrame, encoding: str = "utf-8") -> DataFrame:
@@ -240,7 +251,7 @@ def scan_zip_csv(spark: SparkSession, path: str, encoding: str = "utf-8", sep: s
 def zip_table(archives: DataFrame, encoding: str = "utf-8", sep: str = ",") -> DataFrame:
     lines = zip_lines(archives, encoding)
     header = repaired_lines(lines.filter("number = 0").select("value")).first()["value"]
-    return parse_lines(repaired_lines(lines.select("value")), header, sep)
+    return parse_lines(repaired_lines(lines.filter("number > 0").select("value")), header, sep)
 
 
 def table_metadata(df: DataFrame, roles: dict[str, str] | None = None, bytes_read: int | None = None) -> DataFrame:
