@@ -290,12 +290,12 @@ def skewed_features_documents(spark, folder):
 @register(
     "distinct_counts",
     union_sql(
-        [f"""select '{c}' as "column", count(distinct {c}) as n from customer""" for c in ("c_nationkey", "c_mktsegment")]
+        [f"""select '{c}' as "column", count(distinct {c}) as n from customer""" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")]
     ),
 )
 def distinct_counts(spark, folder):
     customers = table(spark, folder, "customer")
-    counts = profile.distinct_counts(customers, ["c_nationkey", "c_mktsegment"])
+    counts = profile.exact_distinct_counts(customers, customers.columns)
     return profile.rows_frame(spark, list(counts.items()), "column string, n long")
 
 

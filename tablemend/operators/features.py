@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col, date_parts, human_date, lenient_timestamp, title_case
 from ..functions.schema import is_numeric, is_text, numeric_columns, text_columns
-from .lookup import attach_by_value, hot_when_large, value_counts
+from .lookup import attach_by_value, hot_values, value_counts
 from .ordering import with_lookback
 from .profile import number
 from .quantiles import exact_quantiles
@@ -62,10 +62,9 @@ def past_mean(df: DataFrame, target: str, order_by: list[str], entity: list[str]
 def entity_frequency(df: DataFrame, columns: list[str], rows: int | None = None) -> DataFrame:
     """Add how often each identifier occurs (FE6): a folded count joined back, not a window, so an
     identifier on a third of the rows does not end in one task."""
-    rows = df.count() if rows is None else rows
     for c in columns:
         counts = value_counts(df, c, f"{c}_entity_frequency")
-        df = attach_by_value(df, c, counts, hot_when_large(df, c, rows))
+        df = attach_by_value(df, c, counts, hot_values(df, c))
     return df
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col
 
-HOT_SHARE = 1 / 64
 SALTS = 64
-LARGE_ROWS = 5_000_000
+#: Rows of one value that a task handles; a value with more is dealt to as many tasks as that takes.
+TASK_ROWS = 1_000_000
+#: Values that are dealt out at most, the most frequent first; any other has under a thousandth of the rows.
+MOST_HOT = 1_000
 
 
 def value_counts(df: DataFrame, column: str, count: str = "n") -> DataFrame:
@@ -17,60 +19,52 @@ def value_counts(df: DataFrame, column: str, count: str = "n") -> DataFrame:
     return df.filter(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias(count))
 
 
-def hot_values(df: DataFrame, column: str, rows: int, share: float = HOT_SHARE) -> list:
-    """Values that hold more than ``share`` of the rows: by arithmetic at most ``1/share`` of them."""
-    counts = value_counts(df, column)
-    return [r["value"] for r in counts.filter(F.col("n") > rows * share).select("value").collect()]
+def hot_values(df: DataFrame, column: str, task_rows: int = TASK_ROWS) -> dict:
+    """Salts of each value (or null) that holds more rows than a task handles."""
+    counts = df.groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_rows)
+    return {r["value"]: -(-r["n"] // task_rows) for r in counts.orderBy(F.col("n").desc()).limit(MOST_HOT).collect()}
 
 
-def hot_when_large(df: DataFrame, column: str, rows: int) -> list | None:
-    """Hot values where a hot group would be more than one task handles, else None (no salting)."""
-    return hot_values(df, column, rows) if rows > LARGE_ROWS else None
+def _salts(cell: Column, hot: dict) -> Column:
+    """Into how many tasks the rows of a cell go."""
+    pairs = [part for v, n in hot.items() if v is not None for part in (F.lit(v), F.lit(n))]
+    present = F.coalesce(F.create_map(*pairs)[cell], F.lit(1)) if pairs else F.lit(1)
+    return F.when(cell.isNull(), F.lit(hot.get(None, 1))).otherwise(present).cast("int")
 
 
 def attach_by_value(
-    df: DataFrame, column: str, table: DataFrame, hot: list | None = None, salt_by: Column | None = None
+    df: DataFrame, column: str, table: DataFrame, hot: dict | None = None, salt_by: Column | None = None
 ) -> DataFrame:
     """Left join ``table`` (unique ``value`` plus statistics) on ``column``.
 
     Adaptive execution turns this into a broadcast join when the finished table turns out
-    small. With a list of ``hot`` values their rows, and rows without a value, are spread over
-    SALTS keys, and those few table rows are repeated once per salt.
+    small. Rows of a ``hot`` value, and rows without a value, are spread over its salts, and
+    that table row is repeated once per salt.
     """
-    if hot is None:
-        return df.join(table.withColumnRenamed("value", "__v"), col(column) == F.col("__v"), "left").drop("__v")
-    spread = salt_by if salt_by is not None else F.xxhash64(*[col(c) for c in df.columns])
-    is_hot = col(column).isin(hot) if hot else F.lit(False)
-    salted = df.withColumn(
-        "__salt",
-        F.when(is_hot | col(column).isNull(), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0)),
-    )
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     renamed = table.withColumnRenamed("value", "__v")
-    in_table = F.col("__v").isin(hot) if hot else F.lit(False)
-    repeated = renamed.withColumn("__s", F.explode(F.when(in_table, every).otherwise(F.array(F.lit(0)))))
+    if not hot:
+        return df.join(renamed, col(column) == F.col("__v"), "left").drop("__v")
+    spread = salt_by if salt_by is not None else F.xxhash64(*[col(c) for c in df.columns])
+    salted = df.withColumn("__salt", F.pmod(spread, _salts(col(column), hot)).cast("int"))
+    repeated = renamed.withColumn("__s", F.explode(F.sequence(F.lit(0), _salts(F.col("__v"), hot) - 1)))
     return salted.join(
         repeated, (col(column) == F.col("__v")) & (F.col("__salt") == F.col("__s")), "left"
     ).drop("__v", "__s", "__salt")
 
 
 def join_spread(
-    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: Column | None = None, hot: list | None = None
+    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: Column | None = None, hot: dict | None = None
 ) -> DataFrame:
     """Join whose left side may hold one key on very many rows; ``table`` holds few rows per key.
 
-    On a large left side the rows of hot keys are spread over SALTS tasks and the few table rows
-    of those keys are repeated once per salt.
+    The rows of hot keys are spread over their salts and the few table rows of those keys are
+    repeated once per salt.
     """
     if hot is None:
-        total = rows.count()
-        hot = hot_values(rows, keys[0], total) if total > LARGE_ROWS else []
+        hot = hot_values(rows, keys[0])
     if not hot:
         return rows.join(table, keys, how)
     by = spread if spread is not None else F.xxhash64(*[col(c) for c in rows.columns])
-    left = rows.withColumn(
-        "__salt", F.when(col(keys[0]).isin(hot), F.pmod(by, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    )
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    right = table.withColumn("__salt", F.explode(F.when(col(keys[0]).isin(hot), every).otherwise(F.array(F.lit(0)))))
+    left = rows.withColumn("__salt", F.pmod(by, _salts(col(keys[0]), hot)).cast("int"))
+    right = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), _salts(col(keys[0]), hot) - 1)))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

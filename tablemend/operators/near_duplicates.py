@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col, row_text
 from ..session import settle
-from .lookup import attach_by_value, hot_when_large
+from .lookup import attach_by_value, hot_values
 
 VOCABULARY = 2_000
 NEAREST_DISTANCE = 0.03
@@ -142,7 +142,6 @@ def near_duplicate_rows(
 
     An exact copy counts, with cosine 1. ``key`` tells rows apart.
     """
-    rows = df.count()
     folded = settle(_folded(df, key, columns))
     weights = settle(term_weights(folded, vocabulary))
     links = near_links(weights, 1.0 - distance, block)
@@ -154,7 +153,7 @@ def near_duplicate_rows(
         .withColumnRenamed("digest", "value")
     )
     named = df.select(col(key).alias("id"), F.sha2(row_text(df, columns), 256).alias("digest"))
-    joined = attach_by_value(named, "digest", groups, hot_when_large(named, "digest", rows), F.xxhash64("id"))
+    joined = attach_by_value(named, "digest", groups, hot_values(named, "digest"), F.xxhash64("id"))
     own = F.col("id") != F.col("first")
     return joined.filter(F.col("first").isNotNull()).select(
         F.col("id").alias(key),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import col, missing
-from ..functions.schema import is_temporal, numeric_columns, quoted, target_of, text_columns
+from ..functions.schema import is_temporal, is_text, numeric_columns, quoted, target_of, text_columns
 from ..operators import encode, features
 from ..operators.metrics import classification_metrics, composite_score, regression_metrics
 from ..operators.neighbours import attach_neighbours, nearest, vector
@@ -135,6 +135,11 @@ def prepare(
     """Matrix, split, balancing of the training part (SMOTE, then Tomek links), scaling statistics."""
     target = target_of(df, target)
     task = task or task_type(df, target)
+    if is_text(df.schema[target].dataType):
+        # class codes in text order; a missing label stays missing
+        coded = encode.encode_with(df, target, encode.fit_codes(df, target), "__code")
+        code = F.when(~missing(target, df.schema[target].dataType), F.col("__code").cast("double"))
+        df = coded.withColumn(target, code).drop("__code")
     wide, columns = training_matrix(df, target, key, quarantined)
     label = col(target).cast("double")
     present = wide.filter(~missing(target, wide.schema[target].dataType))
