@@ -14,12 +14,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from tablemend import catalog  # noqa: E402
 from tablemend.session import build_session  # noqa: E402
 
-HEADLINES = """
-missing_profile duplicate_rows numeric_stats iqr_outliers correlation_pairs spearman_with_target
-mutual_information_binned issue_list impute_mode impute_regression impute_knn winsorise cell_audit
-frequency_encode one_hot date_parts lag_rolling entity_frequency standardise near_duplicate_rows
-label_noise tomek_links isolation_outliers local_outlier_factor repair_readable model_versions
-""".split()
+HEADLINES = [
+    "missing_profile", "duplicate_rows", "numeric_stats", "iqr_outliers", "correlation_pairs",
+    "spearman_with_target", "mutual_information_binned", "issue_list", "impute_mode", "impute_regression",
+    "impute_knn", "winsorise", "cell_audit", "frequency_encode", "one_hot", "date_parts", "lag_rolling",
+    "entity_frequency", "standardise", "near_duplicate_rows", "label_noise", "tomek_links", "isolation_outliers",
+    "local_outlier_factor", "repair_readable", "model_versions",
+]
 
 
 def main() -> None:

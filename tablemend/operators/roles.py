@@ -41,27 +41,42 @@ TIME_WORDS = ["date", "timestamp", "time", "year", "month", "quarter"]
 # Domain keywords, label and industry.
 DOMAINS = {
     "aviation": (
-        "flight airport icao iata dep arr airline runway altitude aircraft terminal passenger cargo aviation atc",
+        [
+            "flight", "airport", "icao", "iata", "dep", "arr", "airline", "runway", "altitude", "aircraft",
+            "terminal", "passenger", "cargo", "aviation", "atc"
+        ],
         "Aviation / Air Transport",
         "Aviation & Aerospace",
     ),
     "finance": (
-        "amount price loan credit balance fiscal interest deal revenue profit transaction payment invoice",
+        [
+            "amount", "price", "loan", "credit", "balance", "fiscal", "interest", "deal", "revenue",
+            "profit", "transaction", "payment", "invoice"
+        ],
         "Finance / International Trade",
         "Banking & Financial Services",
     ),
     "healthcare": (
-        "age blood patient diagnosis treatment cancer medical hospital symptom drug",
+        [
+            "age", "blood", "patient", "diagnosis", "treatment", "cancer", "medical", "hospital",
+            "symptom", "drug"
+        ],
         "Healthcare / Clinical",
         "Medical Research",
     ),
     "marketing": (
-        "customer click conversion sale lead campaign churn retention engagement",
+        [
+            "customer", "click", "conversion", "sale", "lead", "campaign", "churn", "retention",
+            "engagement"
+        ],
         "E-commerce / Marketing",
         "Retail & Digital Marketing",
     ),
     "manufacturing": (
-        "machine downtime defect production assembly quality sensor temperature pressure vibration",
+        [
+            "machine", "downtime", "defect", "production", "assembly", "quality", "sensor", "temperature",
+            "pressure", "vibration"
+        ],
         "Manufacturing / IoT",
         "Industrial Manufacturing",
     ),
@@ -160,7 +175,7 @@ def column_roles(df: DataFrame, target: str | None = None) -> DataFrame:
 def infer_domain(columns: list[str]) -> tuple[str, str, str]:
     """Domain whose keywords occur most often in the joined column names; ties go to the first."""
     blob = " ".join(c.lower() for c in columns)
-    scores = {key: sum(word in blob for word in words.split()) for key, (words, _, _) in DOMAINS.items()}
+    scores = {key: sum(word in blob for word in words) for key, (words, _, _) in DOMAINS.items()}
     best = max(scores, key=scores.get)
     return (best, *DOMAINS[best][1:]) if scores[best] else GENERAL
 
@@ -222,7 +237,7 @@ def protected_columns(df: DataFrame, target: str, roles: dict[str, str], domain:
     kept = {target} | {c for c, r in roles.items() if r == IDENTIFIER}
     if target in numeric_columns(df) and len(numeric_columns(df)) > 1:
         kept |= {r["column"] for r in target_correlations(df, target).collect()}
-    words = DOMAINS[domain][0].split() if domain in DOMAINS else []
+    words = DOMAINS[domain][0] if domain in DOMAINS else []
     kept |= {c for c in df.columns if any(w in c.lower() for w in words)}
     return sorted(kept)
 

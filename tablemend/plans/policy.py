@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 
 
+# The defaults of the switches.
 @dataclass(frozen=True)
 class RepairPolicy:
     mode: str = "gentle"
