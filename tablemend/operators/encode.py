@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col, missing
 from ..functions.schema import is_numeric, quoted, target_of
-from .lookup import attach_by_value, hot_values, value_counts
+from .lookup import attach_by_value, value_salts, value_counts
 from .ordering import with_row_numbers
 from .roles import HIGH_CARDINALITY, ORDINAL_SCALES
 
@@ -23,7 +23,7 @@ def frequency_encode(df: DataFrame, columns: list[str], fitted: dict[str, DataFr
     """Add ``<column>_freq``; the column itself is kept. Unseen and missing values give 0 (ENC1)."""
     for c in columns:
         table = fitted[c] if fitted else fit_frequency(df, c)
-        joined = attach_by_value(df, c, table, hot_values(df, c))
+        joined = attach_by_value(df, c, table, value_salts(df, c))
         df = joined.withColumn(f"{c}_freq", F.coalesce("share", F.lit(0.0))).drop("share")
     return df
 
@@ -79,7 +79,7 @@ def fit_codes(df: DataFrame, column: str, semantic: bool = False) -> DataFrame:
 def encode_with(df: DataFrame, column: str, codes: DataFrame, into: str | None = None, unknown: int = -1) -> DataFrame:
     """Replace (or add) a column by its codes; values the table does not hold get ``unknown``."""
     as_text = df.withColumn("__text", col(column).cast("string"))
-    joined = attach_by_value(as_text, "__text", codes, hot_values(as_text, "__text")).drop("__text")
+    joined = attach_by_value(as_text, "__text", codes, value_salts(as_text, "__text")).drop("__text")
     return joined.withColumn(into or column, F.coalesce("code", F.lit(unknown))).drop("code")
 
 

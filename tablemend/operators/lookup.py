@@ -19,21 +19,29 @@ def value_counts(df: DataFrame, column: str, count: str = "n") -> DataFrame:
     return df.filter(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias(count))
 
 
-def hot_values(df: DataFrame, column: str, task_rows: int = TASK_ROWS) -> dict:
+def hot_values(df: DataFrame, column: str, rows: int, share: float = 1 / SALTS) -> list:
+    """Values that hold more than ``share`` of the rows: by arithmetic at most ``1/share`` of them."""
+    counts = value_counts(df, column)
+    return [r["value"] for r in counts.filter(F.col("n") > rows * share).select("value").collect()]
+
+
+def value_salts(df: DataFrame, column: str, task_rows: int = TASK_ROWS) -> dict:
     """Salts of each value (or null) that holds more rows than a task handles."""
     counts = df.groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_rows)
     return {r["value"]: -(-r["n"] // task_rows) for r in counts.orderBy(F.col("n").desc()).limit(MOST_HOT).collect()}
 
 
-def _salts(cell: Column, hot: dict) -> Column:
-    """Into how many tasks the rows of a cell go."""
+def _salts(cell: Column, hot: dict | list) -> Column:
+    """Into how many tasks the rows of a cell go; those of listed values, and of null beside them, into SALTS."""
+    if not isinstance(hot, dict):
+        hot = dict.fromkeys([*hot, None], SALTS)
     pairs = [part for v, n in hot.items() if v is not None for part in (F.lit(v), F.lit(n))]
     present = F.coalesce(F.create_map(*pairs)[cell], F.lit(1)) if pairs else F.lit(1)
     return F.when(cell.isNull(), F.lit(hot.get(None, 1))).otherwise(present).cast("int")
 
 
 def attach_by_value(
-    df: DataFrame, column: str, table: DataFrame, hot: dict | None = None, salt_by: Column | None = None
+    df: DataFrame, column: str, table: DataFrame, hot: dict | list | None = None, salt_by: Column | None = None
 ) -> DataFrame:
     """Left join ``table`` (unique ``value`` plus statistics) on ``column``.
 
@@ -53,7 +61,7 @@ def attach_by_value(
 
 
 def join_spread(
-    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: Column | None = None, hot: dict | None = None
+    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: Column | None = None, hot: dict | list | None = None
 ) -> DataFrame:
     """Join whose left side may hold one key on very many rows; ``table`` holds few rows per key.
 
@@ -61,7 +69,7 @@ def join_spread(
     repeated once per salt.
     """
     if hot is None:
-        hot = hot_values(rows, keys[0])
+        hot = value_salts(rows, keys[0])
     if not hot:
         return rows.join(table, keys, how)
     by = spread if spread is not None else F.xxhash64(*[col(c) for c in rows.columns])

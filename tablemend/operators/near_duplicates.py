@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col, row_text
 from ..session import settle
-from .lookup import attach_by_value, hot_values
+from .lookup import attach_by_value, value_salts
 
 VOCABULARY = 2_000
 NEAREST_DISTANCE = 0.03
@@ -153,7 +153,7 @@ def near_duplicate_rows(
         .withColumnRenamed("digest", "value")
     )
     named = df.select(col(key).alias("id"), F.sha2(row_text(df, columns), 256).alias("digest"))
-    joined = attach_by_value(named, "digest", groups, hot_values(named, "digest"), F.xxhash64("id"))
+    joined = attach_by_value(named, "digest", groups, value_salts(named, "digest"), F.xxhash64("id"))
     own = F.col("id") != F.col("first")
     return joined.filter(F.col("first").isNotNull()).select(
         F.col("id").alias(key),

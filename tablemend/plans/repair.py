@@ -19,7 +19,7 @@ from ..functions.cells import col, drop_empty_rows, missing, normalise, number_l
 from ..functions.schema import is_numeric, is_text, numeric_columns, quoted, target_of, text_columns
 from ..operators import encode, extra, features, impute, outliers, quality
 from ..operators.correlate import redundant_pairs
-from ..operators.lookup import attach_by_value, hot_values, join_spread, value_counts
+from ..operators.lookup import attach_by_value, value_salts, join_spread, value_counts
 from ..operators.neighbours import MARK, marked, nearest, vector
 from ..operators.profile import number, rows_frame
 from ..operators.quantiles import exact_quantiles
@@ -150,13 +150,13 @@ def _isolated_to_median(df, args, tables):
 
 def _frequency(df, args, tables):
     c = args["column"]
-    joined = attach_by_value(df, c, tables[args["table"]], hot_values(df, c))
+    joined = attach_by_value(df, c, tables[args["table"]], value_salts(df, c))
     return joined.withColumn(f"{c}_freq", F.coalesce("share", F.lit(0.0))).drop("share")
 
 
 def _entity(df, args, tables):
     c = args["column"]
-    joined = attach_by_value(df, c, tables[args["table"]], hot_values(df, c))
+    joined = attach_by_value(df, c, tables[args["table"]], value_salts(df, c))
     return joined.withColumn(f"{c}_entity_frequency", F.coalesce("n", F.lit(0))).drop("n")
 
 

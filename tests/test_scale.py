@@ -9,7 +9,7 @@ from tablemend.plans import training
 
 def test_hot_values_are_spread(spark):
     df = spark.range(500).selectExpr("id", "case when id < 200 then 'hot' when id < 350 then null else concat('v', id % 40) end as v")
-    hot = lookup.hot_values(df, "v", 50)
+    hot = lookup.value_salts(df, "v", 50)
     assert hot == {"hot": 4, None: 3}
     table = lookup.value_counts(df, "v")
     plain = sorted(lookup.attach_by_value(df, "v", table).collect(), key=str)
