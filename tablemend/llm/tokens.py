@@ -22,7 +22,7 @@ PIECES = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
 class Encoder:
     """Encode texts to little-endian unsigned 32-bit ids; keeps the ids of at most ``keep`` pieces."""
 
-    def __init__(self, path: str, keep: int = 800_000) -> None:
+    def __init__(self, path: str, keep: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

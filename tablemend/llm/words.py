@@ -37,7 +37,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``size`` bytes in ``name`` each, or one value if it is longer."""
     if not len(batch):
         return
