@@ -131,7 +131,7 @@ def _grow(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
 def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, total, gone = [], [], []
-        for text, drop in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist(), strict=True):
+        for text, drop in zip(batch.column("text").to_pylist(), batch.column("__drop").to_pylist(), strict=True):
             lines, out = (text or "").split("\n") if text else [], set(drop or ())
             kept = [line for k, line in enumerate(lines) if k not in out]
             texts.append("\n".join(kept) if out else text)
@@ -158,12 +158,13 @@ def split_leaves(lines: DataFrame, depth: int, most: int) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, least: int = 5, most: int = 4096) -> DataFrame:
-    """``docs`` (doc_id, text, any others but n_lines, n_dropped) with recurring lines dropped, n_lines and n_dropped.
+    """``docs`` (doc_id, text, any others) with recurring lines dropped, n_lines and n_dropped (in place of such columns).
 
     A line recurs if its template occurs in documents with different doc_ids; it stays in the one with the least. Lines
     of fewer than ``least`` words stay. Lines end at a line feed; what stays is joined by line feeds. Null and empty
     texts stay as they are, with no lines. Rows that repeat a doc_id are one document; rows without doc_id keep their lines.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").filter("doc_id is not null")
     places = rows.mapInArrow(partial(_leaves, depth=depth, least=least), "leaf bigint, doc_id bigint")
     several = places.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("leaf")
@@ -174,15 +175,15 @@ def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, least:
     dealt = lines.repartition("leaf").sortWithinPartitions("leaf", "line", "hash")
     recurring = written(dealt.mapInArrow(partial(_grow, similarity=similarity), "hash bigint, keeper bigint"), "recurring")
     drops = attach(found.select("hash", "doc_id", "nth"), recurring, "hash").filter("doc_id != keeper")
-    drops = written(drops.groupBy("doc_id").agg(F.collect_set("nth").alias("drop")), "drops")
+    drops = written(drops.groupBy("doc_id").agg(F.collect_set("nth").alias("__drop")), "drops")
     passes = sieve(drops, "doc_id")
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    tested = docs.withColumn("_maybe", passes(F.col("doc_id").cast("long")))
+    tested = docs.withColumn("__maybe", passes(F.col("doc_id").cast("long")))
     names = docs.columns
     n_lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines")
-    same = tested.filter("not _maybe").select(*names, n_lines, F.lit(0).cast("long").alias("n_dropped"))
+    same = tested.filter("not __maybe").select(*names, n_lines, F.lit(0).cast("long").alias("n_dropped"))
     kind = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    hit = tested.filter("_maybe").select(*names, F.col("doc_id").cast("long").alias("_key"))
+    hit = tested.filter("__maybe").select(*names, F.col("doc_id").cast("long").alias("__key"))
     # drops grow with the documents, so the plan is the same at every size: never a broadcast
-    hit = hit.join(drops.withColumnRenamed("doc_id", "_key").hint("merge"), "_key", "left").select(*names, "drop")
+    hit = hit.join(drops.withColumnRenamed("doc_id", "__key").hint("merge"), "__key", "left").select(*names, "__drop")
     return same.unionByName(hit.mapInArrow(partial(_without, names=names), kind))

@@ -160,24 +160,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
     return Model(feature, weight[: len(ratio)] * ratio, weight[len(ratio) :] * ratio, float(learned.intercept))
 
 
-def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], shared, name: str) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     for batch in batches:
         for part in slices(batch, "text"):
             owner, at, density, _ = counts(part.column("text").to_pylist(), model.feature)
             weight = model.presence[at] + model.density[at] * density
             raw = np.bincount(owner, weights=weight, minlength=len(part)) + model.intercept
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))], [*part.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))], [*part.schema.names, name])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (text and any other columns but ``score``) with ``score``, 0 to 1: higher, label 1 likelier.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` (text and any other columns but ``name``) with the column ``name``, 0 to 1: higher, label 1 likelier.
 
     Whole texts count; null is scored like an empty text. Repeated rows get equal scores; no rows give none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by CELLS and FEATURES
-    kind = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(partial(_scores, shared=shared), kind)
+    kind = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(partial(_scores, shared=shared, name=name), kind)
 
 
 def held_out(key: str = "doc_id") -> Column:

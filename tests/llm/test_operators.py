@@ -324,3 +324,13 @@ def test_license_notices(spark, docs, none):
     found = rows_of(license_notices(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "license_id", "containment"))
     assert found == [(1, "Apache-2.0", 1.0), (2, "all-rights-reserved", 1.0), (6, "CC-BY-NC-4.0", 1.0), (6, "MIT", 1.0)]
     assert license_notices(docs).count() == 0 and license_notices(none).count() == 0
+
+
+def test_clashing_columns(spark, docs):
+    import corpus_pipeline
+
+    extra = docs.selectExpr("*", "score as drop", "score as n_dropped", "score as hash", "score as component", "score as label", "score as leader")
+    before = sorted(extra.columns)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        extra = stage(spark, extra, FOLDER)
+        assert sorted(extra.columns) == before and extra.count() > 0
