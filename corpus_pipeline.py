@@ -25,16 +25,16 @@ from tablemend.llm.toxicity import fit, held_out, score
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the doc_ids of ``gone``; only rows that may match are shuffled."""
     gone = written(gone.select("doc_id").distinct(), "gone")
-    maybe = docs.withColumn("_maybe", sieve(gone, "doc_id")(F.col("doc_id").cast("long")))
-    kept = maybe.filter("not _maybe or _maybe is null").drop("_maybe")
-    return kept.unionByName(maybe.filter("_maybe").drop("_maybe").join(gone, "doc_id", "left_anti"))
+    maybe = docs.withColumn("__maybe", sieve(gone, "doc_id")(F.col("doc_id").cast("long")))
+    kept = maybe.filter("not __maybe or __maybe is null").drop("__maybe")
+    return kept.unionByName(maybe.filter("__maybe").drop("__maybe").join(gone, "doc_id", "left_anti"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.7."""
     labels = read(spark, sf_dir, "labels").filter(~held_out()).selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) label")
     model = fit(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), labels)
-    return score(docs, model).filter("score < 0.7").select(*docs.columns)
+    return score(docs, model, "__toxicity").filter("__toxicity < 0.7").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
