@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import twins
 from .licenses import license_notices, twin_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,14 +45,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
-@query("op9_decontaminate")
+@query("op9_decontaminate", twins.CONTAMINATION)
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-@query("op3_near_copies")
+@query("op3_near_copies", twins.COMPONENTS)
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_copies import near_copies
 
@@ -72,7 +73,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read(spark, sf_dir, "documents"))
 
 
-@query("op8_warc")
+@query("op8_warc", twins.ARCHIVE)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .store import scratch
     from .warc import read_archive, write_archive
