@@ -8,7 +8,7 @@ occurs in more than one document is dropped from all of them but the first.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -26,6 +26,9 @@ from .words import slices
 ANY = "<*>"
 DIGIT = re.compile(r"\d")
 LINES = "leaf bigint, hash bigint, doc_id bigint, nth int, line string"
+FOUND = {"hash": pa.int64(), "keeper": pa.int64()}
+CHUNK = {"hash": pa.int64(), "head": pa.int64(), "leaf": pa.int64(), "line": pa.string(), "first": pa.int64(), "last": pa.int64()}
+GROWN = "hash bigint, head bigint, leaf bigint, line string, first bigint, last bigint"
 
 
 def _hash(text: str) -> int:
@@ -79,53 +82,139 @@ def _lines(batches: Iterator[pa.RecordBatch], shared, depth: int, least: int) ->
                 )
 
 
-def templates(lines: list[str], similarity: float) -> list[int]:
-    """The template number of each line of a leaf: the most similar one so far if similar enough, else a new one."""
+class _Alike:
+    """The templates that may agree with a row in all but ``miss`` words, found by blocks of words.
+
+    One more block than words may differ: in one of them all words agree, or are variable in the row or the template.
+    """
+
+    def __init__(self, rows: np.ndarray, miss: int):
+        self.blocks = [b for b in np.array_split(np.arange(rows.shape[1]), miss + 1) if len(b)]
+        self.masks = [set(map(bytes, rows[:, b] == 0)) for b in self.blocks]
+        self.tables: list[dict[bytes, dict]] = [{} for _ in self.blocks]
+
+    def _keys(self, k: int, row: np.ndarray, own: bytes, others: Iterable[bytes]) -> Iterator[tuple]:
+        """Per mask of ``others``: the mask, and the words of block ``k`` that are variable in neither."""
+        words = row[self.blocks[k]]
+        for other in others:
+            free = np.frombuffer(own, bool) | np.frombuffer(other, bool)
+            yield other, bytes(np.where(free, 0, words))
+
+    def put(self, n: int, row: np.ndarray) -> None:
+        for k, b in enumerate(self.blocks):
+            own = bytes(row[b] == 0)
+            table = self.tables[k].setdefault(own, {})
+            for mask, key in self._keys(k, row, own, self.masks[k]):
+                table.setdefault((mask, key), set()).add(n)
+
+    def take(self, n: int, row: np.ndarray) -> None:
+        for k, b in enumerate(self.blocks):
+            own = bytes(row[b] == 0)
+            for mask, key in self._keys(k, row, own, self.masks[k]):
+                self.tables[k][own][mask, key].discard(n)
+
+    def get(self, row: np.ndarray) -> np.ndarray:
+        found: set[int] = set()
+        for k, b in enumerate(self.blocks):
+            own = bytes(row[b] == 0)
+            for mask, key in self._keys(k, row, own, self.tables[k]):
+                found |= self.tables[k][mask].get((own, key), set())
+        return np.array(sorted(found), np.int64)
+
+
+def templates(lines: list[str], similarity: float) -> tuple[list[int], list[str]]:
+    """The template number of each line of a leaf, and the templates.
+
+    A line joins the most similar template so far that is similar enough and gets no new variable field by it, or has
+    at most half of its words variable then; else it is a new one. A variable field agrees with any word, on either side, so templates join like lines.
+    """
     names: dict[str, int] = {ANY: 0}
     rows = np.array([[names.setdefault(w, len(names)) for w in line.split(" ")] for line in lines], np.int32)
     made = np.empty_like(rows)
+    miss = next(k for k in range(rows.shape[1], -1, -1) if 1 - k / rows.shape[1] >= similarity - 1e-9)
+    alike = _Alike(rows, miss) if len(rows) > 256 else None  # the same templates as by comparing with each
     n, out = 0, []
     for row in rows:
-        # a variable field agrees with any word
-        alike = ((made[:n] == row) | (made[:n] == 0)).mean(axis=1) if n else np.zeros(0)
-        if n and alike.max() >= similarity:
-            best = int(alike.argmax())
-            made[best] = np.where(made[best] == row, row, 0)
-            if (made[best] == 0).mean() > 0.5:
-                made[best] = np.where(made[best] == 0, -1, made[best])  # too general to take in more lines
+        near = alike.get(row) if alike else np.arange(n)
+        old = made[near]
+        agree = ((old == row) | (old == 0) | (row == 0)).sum(axis=1)
+        free = (old != row) | (row == 0)
+        fits = (agree >= rows.shape[1] - miss) & ((free.mean(axis=1) <= 0.5) | (free == (old == 0)).all(axis=1))
+        if fits.any():
+            best = int(near[np.where(fits, agree, -1).argmax()])
+            wider = np.where(made[best] == row, row, 0)
+            if alike and (wider != made[best]).any():
+                alike.take(best, made[best])
+                alike.put(best, wider)
+            made[best] = wider
         else:
             best = n
             made[n] = row
             n += 1
+            if alike:
+                alike.put(best, row)
         out.append(best)
-    return out
+    words = list(names)
+    return out, [" ".join(words[w] for w in row) for row in made[:n].tolist()]
 
 
 def _grow(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows (leaf, hash, line, first, last) sorted by leaf and line: hash and first document of recurring lines."""
-    at, held = None, []
-
-    def close() -> list[tuple[int, int]]:
+    out: list[tuple] = []
+    for held in _groups(batches, "leaf"):
         if len(held) == 1:
-            return [(held[0][0], held[0][2])] if held[0][2] != held[0][3] else []
-        number = templates([h[1] for h in held], similarity)
-        first: dict[int, int] = {}
-        last: dict[int, int] = {}
-        for k, (_, _, a, b) in zip(number, held, strict=True):
-            first[k], last[k] = min(first.get(k, a), a), max(last.get(k, b), b)
-        return [(h[0], first[k]) for k, h in zip(number, held, strict=True) if first[k] != last[k]]
+            out += [(held[0][1], held[0][3])] if held[0][3] != held[0][4] else []
+        else:
+            number, _ = templates([h[2] for h in held], similarity)
+            first, last = _span(number, held)
+            out += [(h[1], first[k]) for k, h in zip(number, held, strict=True) if first[k] != last[k]]
+        if len(out) > 10_000:
+            yield _batch(out, FOUND)
+            out = []
+    yield _batch(out, FOUND)
+
+
+def _chunk(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows of parts of leaves, sorted by part and line: each line's hash and that of its template's first line.
+
+    The rows of first lines have the leaf, template, first and last document as well.
+    """
+    for held in _groups(batches, "part"):
+        number, texts = templates([h[2] for h in held], similarity)
+        first, last = _span(number, held)
+        heads: dict[int, int] = {}
+        rows = []
+        for k, h in zip(number, held, strict=True):
+            new = heads.setdefault(k, h[1]) == h[1]
+            rows.append((h[1], heads[k], *((h[5], texts[k], first[k], last[k]) if new else (None,) * 4)))
+        yield _batch(rows, CHUNK)
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[tuple]]:
+    """Rows (key, hash, line, first, last, leaf) of each run of equal keys."""
+    at, held = None, []
     for batch in batches:
-        out: list[tuple[int, int]] = []
-        for key, *rest in zip(*(batch.column(c).to_pylist() for c in ("leaf", "hash", "line", "first", "last")), strict=True):
-            if key != at:
-                out += close() if held else []
-                at, held = key, []
-            held.append(rest)
-        yield pa.RecordBatch.from_pydict({"hash": pa.array([o[0] for o in out], pa.int64()), "keeper": pa.array([o[1] for o in out], pa.int64())})
+        for row in zip(*(batch.column(c).to_pylist() for c in (key, "hash", "line", "first", "last", "leaf")), strict=True):
+            if row[0] != at:
+                if held:
+                    yield held
+                at, held = row[0], []
+            held.append(row)
     if held:
-        out = close()
-        yield pa.RecordBatch.from_pydict({"hash": pa.array([o[0] for o in out], pa.int64()), "keeper": pa.array([o[1] for o in out], pa.int64())})
+        yield held
+
+
+def _span(number: list[int], held: list[tuple]) -> tuple[dict[int, int], dict[int, int]]:
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for k, h in zip(number, held, strict=True):
+        first[k], last[k] = min(first.get(k, h[3]), h[3]), max(last.get(k, h[4]), h[4])
+    return first, last
 
 
 def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -142,19 +231,34 @@ def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
 
 
 def split_leaves(lines: DataFrame, depth: int, most: int) -> DataFrame:
-    """``lines`` with leaves of more than ``most`` different lines split by further leading words.
+    """``lines`` with leaves of more than ``most`` different lines dealt by hash into parts of about half of that."""
+    counts = written(lines.groupBy("leaf").agg(F.count("*").alias("n")), "leaf-counts")
+    large = counts.filter(F.col("n") > most).withColumnRenamed("n", "count")
+    part = F.pmod(F.xxhash64("hash", F.lit(depth)), F.ceil(F.col("count") * 2 / most))
+    deeper = F.when(F.col("count").isNotNull(), F.xxhash64("leaf", F.lit(depth), part)).otherwise(F.col("leaf"))
+    return attach(lines, large, "leaf", how="left", counts=counts).withColumn("leaf", deeper).drop("count")
+
+
+def recurring_lines(lines: DataFrame, similarity: float, most: int) -> DataFrame:
+    """``lines`` (leaf, hash, line, first, last): hash and first document of the lines of recurring templates.
 
-    Lines that agree in twelve leading words and are still more than that are dealt by hash: equal ones stay together.
+    Templates of a leaf of more than ``most`` different lines are grown in parts of it. Then the parts' templates are
+    its lines, for 16 times as many lines a part, until the leaf is one part; the first document is carried back.
     """
-    for level in range(depth, depth + 10):
-        large = lines.groupBy("leaf").count().filter(F.col("count") > most)
-        if large.isEmpty():
-            return lines
-        large = written(large, "large-leaves")  # fewer than 1 / most of the lines
-        word = F.expr(f"split(line, ' ')[{level}]") if level < depth + 9 else F.expr(f"pmod(hash, cast(ceil(count / {most / 2}) as bigint))")
-        deeper = F.when(F.col("count").isNotNull(), F.xxhash64("leaf", F.lit(level), word)).otherwise(F.col("leaf"))
-        lines = written(lines.join(large, "leaf", "left").withColumn("leaf", deeper).drop("count"), "leaves")
-    return lines
+    whole, parts = lines, None
+    if not lines.groupBy("leaf").count().filter(F.col("count") > most).isEmpty():
+        dealt = split_leaves(lines.withColumn("root", F.col("leaf")), most, most)
+        dealt = written(dealt.withColumnsRenamed({"leaf": "part"}).withColumnRenamed("root", "leaf"), "leaf-parts")
+        whole = dealt.filter("part = leaf").drop("part")
+        dealt = dealt.filter("part != leaf").repartition("part").sortWithinPartitions("part", "line", "hash")
+        parts = written(dealt.mapInArrow(partial(_chunk, similarity=similarity), GROWN), "parts")
+    dealt = whole.repartition("leaf").sortWithinPartitions("leaf", "line", "hash")
+    found = written(dealt.mapInArrow(partial(_grow, similarity=similarity), "hash bigint, keeper bigint"), "recurring")
+    if parts is None:
+        return found
+    heads = parts.filter("line is not null").select("leaf", F.col("head").alias("hash"), "line", "first", "last")
+    kept = recurring_lines(heads, similarity, most * 16).withColumnRenamed("hash", "head")
+    return written(found.unionByName(attach(parts.select("hash", "head"), kept, "head").select("hash", "keeper")), "recurring")
 
 
 def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, least: int = 5, most: int = 4096) -> DataFrame:
@@ -171,9 +275,7 @@ def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, least:
     found = rows.mapInArrow(partial(_lines, shared=bitmap(several), depth=depth, least=least), LINES)
     found = written(found, "lines")
     lines = found.groupBy("leaf", "hash").agg(F.min("line").alias("line"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    lines = split_leaves(written(lines, "leaves"), depth, most)
-    dealt = lines.repartition("leaf").sortWithinPartitions("leaf", "line", "hash")
-    recurring = written(dealt.mapInArrow(partial(_grow, similarity=similarity), "hash bigint, keeper bigint"), "recurring")
+    recurring = recurring_lines(written(lines, "leaves"), similarity, most)
     drops = attach(found.select("hash", "doc_id", "nth"), recurring, "hash").filter("doc_id != keeper")
     drops = written(drops.groupBy("doc_id").agg(F.collect_set("nth").alias("__drop")), "drops")
     passes = sieve(drops, "doc_id")

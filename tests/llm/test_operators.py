@@ -334,3 +334,36 @@ def test_clashing_columns(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         extra = stage(spark, extra, FOLDER)
         assert sorted(extra.columns) == before and extra.count() > 0
+
+
+def test_large_leaves(spark):
+    """Templates of a leaf that is grown in parts are those of the leaf grown whole."""
+    names = [f"{a}{b}" for a in "abcdefghijklmnop" for b in ("ana", "ob", "eth", "im")]
+    rows = [(i, f"Posted by user {n} on the forum today\n{n} wrote this line alone for {n}") for i, n in enumerate(names)]
+    rows += [(100 + i, f"Posted by user group of {n} with {n} and others {n}") for i, n in enumerate(names[:40])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = {r.doc_id: r.text for r in lines.drop_lines(df).collect()}
+    assert {r.doc_id: r.text for r in lines.drop_lines(df, most=8).collect()} == whole
+    assert all(("Posted" in whole[i]) == (i == 0) for i in range(len(names)))
+
+
+def test_templates_by_blocks():
+    """Above 256 lines templates are looked up by blocks of words, with the result of comparing each."""
+    rng = random.Random(1)
+    some = [" ".join(["a", "b", "c", *(rng.choice("xyz") + rng.choice("12345") if rng.random() < 0.7 else "<*>" for _ in range(8))]) for _ in range(600)]
+    number, texts = lines.templates(some, 0.8)
+    made = []
+    for line, k in zip((s.split() for s in some), number, strict=True):
+        fits = []
+        for n, t in enumerate(made):
+            agree = sum(a == b or "<*>" in (a, b) for a, b in zip(t, line, strict=True))
+            free = [a != b or a == "<*>" for a, b in zip(t, line, strict=True)]
+            if agree >= 9 and (sum(free) <= 5 or sum(free) == t.count("<*>")):
+                fits.append((-agree, n))
+        best = min(fits)[1] if fits else len(made)
+        if fits:
+            made[best] = [a if a == b else "<*>" for a, b in zip(made[best], line, strict=True)]
+        else:
+            made.append(line)
+        assert k == best
+    assert texts == [" ".join(t) for t in made] and len(texts) < 590
