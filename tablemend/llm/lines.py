@@ -1,7 +1,7 @@
 """Line dedup by a fixed-depth tree of line templates.
 
-A line's place in the tree is its number of words and its leading words; words with a digit are variable fields. Lines
-of a leaf that agree in most words are one template, whose differing words become variable as well. A template that
+A line's place in the tree is its number of words and its leading words; words with a digit are variable fields if at
+least as many are constant. Lines of a leaf that agree in most words are one template, whose differing words become variable as well. A template that
 occurs in more than one document is dropped from all of them but the first.
 """
 
@@ -25,6 +25,7 @@ from .words import slices
 
 ANY = "<*>"
 DIGIT = re.compile(r"\d")
+LETTER = re.compile(r"[^\W\d_]")
 LINES = "leaf bigint, hash bigint, doc_id bigint, nth int, line string"
 FOUND = {"hash": pa.int64(), "keeper": pa.int64()}
 CHUNK = {"hash": pa.int64(), "head": pa.int64(), "leaf": pa.int64(), "line": pa.string(), "first": pa.int64(), "last": pa.int64()}
@@ -35,38 +36,50 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def masked(line: str) -> list[str]:
-    """The words of a line, those with a digit as variable fields."""
+def masked(line: str, least: int = 5) -> list[str]:
+    """The words of a line, those with a digit as variable fields if at least ``least`` words and half of them are constant."""
     words = line.split()
-    if DIGIT.search(line):
-        words = [ANY if DIGIT.search(w) else w for w in words]
+    if len(words) >= least and DIGIT.search(line):
+        fields = [ANY if DIGIT.search(w) else w for w in words]
+        if fields.count(ANY) * 2 <= len(words):
+            return fields
     return words
 
 
+def compared(text: str | None, least: int, letters: int) -> Iterator[tuple[int, list[str]]]:
+    """Number and words of each line that has ``least`` words or ``letters`` characters without white space."""
+    for nth, line in enumerate((text or "").split("\n")):
+        words = masked(line, least)
+        if len(words) >= least or sum(map(len, words)) >= letters:
+            yield nth, words
+
+
 def leaf(words: list[str], depth: int) -> int:
-    return _hash(f"{len(words)} {' '.join(words[:depth])}")
+    """A line's leaf; figures that are no variable fields, words with digits and no letters, have to be equal in it."""
+    text = " ".join(words)
+    figures = [w for w in words if DIGIT.search(w) and not LETTER.search(w)] if DIGIT.search(text) else []
+    return _hash(" ".join([str(len(words)), *words[:depth], *figures]))
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Iterator[pa.RecordBatch]:
+def _leaves(batches: Iterator[pa.RecordBatch], depth: int, least: int, letters: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             keys, docs = [], []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                own = {leaf(w, depth) for w in map(masked, (text or "").split("\n")) if len(w) >= least}
+                own = {leaf(w, depth) for _, w in compared(text, least, letters)}
                 keys += own
                 docs += [doc] * len(own)
             yield pa.RecordBatch.from_pydict({"leaf": pa.array(keys, pa.int64()), "doc_id": pa.array(docs, pa.int64())})
 
 
-def _lines(batches: Iterator[pa.RecordBatch], shared, depth: int, least: int) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch], shared, depth: int, least: int, letters: int) -> Iterator[pa.RecordBatch]:
     """The lines of leaves that occur in several documents, masked."""
     for batch in batches:
         for part in slices(batch, "text"):
             rows = [
                 (leaf(w, depth), doc, nth, " ".join(w))
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)
-                for nth, w in enumerate(map(masked, (text or "").split("\n")))
-                if len(w) >= least
+                for nth, w in compared(text, least, letters)
             ]
             if rows:
                 keys, docs, nth, lines = zip(*rows, strict=True)
@@ -261,18 +274,20 @@ def recurring_lines(lines: DataFrame, similarity: float, most: int) -> DataFrame
     return written(found.unionByName(attach(parts.select("hash", "head"), kept, "head").select("hash", "keeper")), "recurring")
 
 
-def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, least: int = 5, most: int = 4096) -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, least: int = 5, most: int = 4096, letters: int = 12) -> DataFrame:
     """``docs`` (doc_id, text, any others) with recurring lines dropped, n_lines and n_dropped (in place of such columns).
 
     A line recurs if its template occurs in documents with different doc_ids; it stays in the one with the least. Lines
-    of fewer than ``least`` words stay. Lines end at a line feed; what stays is joined by line feeds. Null and empty
+    of fewer than ``least`` words and ``letters`` characters stay; shorter ones than ``least`` words, and lines of which
+    more than half the words have digits, are compared unmasked. Lines end at a line feed; what stays is joined by line
+    feeds. Null and empty
     texts stay as they are, with no lines. Rows that repeat a doc_id are one document; rows without doc_id keep their lines.
     """
     docs = docs.drop("n_lines", "n_dropped")
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").filter("doc_id is not null")
-    places = rows.mapInArrow(partial(_leaves, depth=depth, least=least), "leaf bigint, doc_id bigint")
+    places = rows.mapInArrow(partial(_leaves, depth=depth, least=least, letters=letters), "leaf bigint, doc_id bigint")
     several = places.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("leaf")
-    found = rows.mapInArrow(partial(_lines, shared=bitmap(several), depth=depth, least=least), LINES)
+    found = rows.mapInArrow(partial(_lines, shared=bitmap(several), depth=depth, least=least, letters=letters), LINES)
     found = written(found, "lines")
     lines = found.groupBy("leaf", "hash").agg(F.min("line").alias("line"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     recurring = recurring_lines(written(lines, "leaves"), similarity, most)

@@ -367,3 +367,11 @@ def test_templates_by_blocks():
             made.append(line)
         assert k == best
     assert texts == [" ".join(t) for t in made] and len(texts) < 590
+
+
+def test_figures_and_short_lines(spark):
+    """Different rows of figures stay, equal ones and short recurring lines go."""
+    texts = ["12 34 56 78 90\n1.5 2.5 3.5 4.5 5.5", "5 6 7 8 9", "12 34 56 78 91", "12 34 56 78 90", "この記事の無断転載を固く禁じます", "この記事の無断転載を固く禁じます"]
+    texts += ["Chapter 12 Introduction", "Chapter 13 Introduction", "All rights reserved", "all\nAll rights  reserved", "all"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.n_dropped for r in sorted(lines.drop_lines(df).collect())] == [0, 0, 0, 1, 0, 1, 0, 0, 0, 1, 0]
