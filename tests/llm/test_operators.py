@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tablemend.llm import lines, packing, token_file, top_products
+from tablemend.llm import licenses, lines, packing, token_file, top_products
 from tablemend.llm.decontaminate import contamination
 from tablemend.llm.graph import components
 from tablemend.llm.language import Automaton, languages
@@ -375,3 +375,19 @@ def test_figures_and_short_lines(spark):
     texts += ["Chapter 12 Introduction", "Chapter 13 Introduction", "All rights reserved", "all\nAll rights  reserved", "all"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert [r.n_dropped for r in sorted(lines.drop_lines(df).collect())] == [0, 0, 0, 1, 0, 1, 0, 0, 0, 1, 0]
+
+
+def test_close_licenses(spark):
+    """Licenses that differ in a word are told apart, and license texts are found."""
+    work = "This work is licensed under the GNU {}General Public License, version {}".format
+    texts = [work("", 3), work("", 2), work("Lesser ", 3), work("Affero ", 3), "This work is licensed under the Free General Public License, version 3"]
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License".format
+    texts += [cc(""), cc("-NonCommercial"), cc("-ShareAlike"), cc("-NonCommercial-ShareAlike"), cc("-Other")]
+    mit = dict(licenses.TEXTS)["MIT"]
+    texts += [mit, mit.replace("the above copyright notice", "the copyright notice"), " ".join(mit.split()[:40])]
+    texts += ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."]
+    found = license_notices(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert sorted((r.doc_id, r.license_id) for r in found.collect()) == [
+        *enumerate(["GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0"]), *enumerate(["CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-NC-SA-4.0"], 5),
+        (10, "MIT"), (11, "MIT"), (13, "LGPL-3.0"),
+    ]
