@@ -114,3 +114,24 @@ def op2_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licenses", twin_sql())
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_notices(read(spark, sf_dir, "documents"))
+
+
+@query("op11_collocations", twins.PHRASES)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op13_repeated_passages", twins.REPEATS)
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import drop_repeats
+
+    return drop_repeats(read(spark, sf_dir, "documents")).selectExpr("doc_id", "n_words", "n_removed", "sha2(cast(kept as binary), 256) kept_sha256")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"))

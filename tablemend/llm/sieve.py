@@ -14,25 +14,26 @@ from pyspark.sql.types import BooleanType
 BITS = 26
 
 
-def bitmap(hashes: DataFrame) -> Broadcast:
-    """The bits of ``hashes`` (one column of 64-bit hashes) by their leading 26 bits; nulls are left out.
+def bitmap(hashes: DataFrame, width: int = BITS) -> Broadcast:
+    """The bits of ``hashes`` (one column of 64-bit hashes) by their leading ``width`` bits; nulls are left out.
 
-    8 MB whatever the number of keys, so it may be broadcast. When it fills up, more rows pass and none is lost.
+    With 26 bits 8 MB whatever the number of keys, so it may be broadcast. When it fills up, more rows pass and none is lost.
     """
     name = hashes.columns[0]
-    place = F.shiftrightunsigned(F.col(name), 64 - BITS)
+    place = F.shiftrightunsigned(F.col(name), 64 - width)
     bits = hashes.filter(F.col(name).isNotNull()).select(place.alias("p"))
     bits = bits.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b"))
     found = bits.toPandas()
-    table = np.zeros(1 << (BITS - 6), np.int64)
+    table = np.zeros(1 << (width - 6), np.int64)
     table[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
     return hashes.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
 def marked(shared: Broadcast, hashes: np.ndarray) -> np.ndarray:
     """Which signed 64-bit hashes have their bit set."""
-    place = (hashes.astype(np.int64).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
-    return (np.frombuffer(shared.value, np.int64)[place >> 6] >> (place & 63)) & 1 == 1
+    table = np.frombuffer(shared.value, np.int64)
+    place = (hashes.astype(np.int64).view(np.uint64) >> np.uint64(59 - len(table).bit_length())).astype(np.int64)
+    return (table[place >> 6] >> (place & 63)) & 1 == 1
 
 
 def sieve(keys: DataFrame, key: str) -> Callable[[Column], Column]:

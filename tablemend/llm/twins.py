@@ -50,3 +50,35 @@ select doc_id, cast(len(s) as bigint) as n_shingles, coalesce(component_id, doc_
 coalesce(component_id, doc_id) = doc_id as kept
 from s left join g on len(s) > 0 and list_sort(s) = k left join z using (node)
 """
+
+PHRASES = rf"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents),
+p as (select lang, row_number() over () as id, regexp_extract_all(piece, '[^\x20\x09]+') as w
+  from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+t as (select lang, cast(sum(len(w)) as bigint) as n from p group by lang),
+g as (select lang, m, w[k : k + m - 1] as g from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as k
+  from p, (select unnest(range(1, 6)) as m) where len(w) >= m)),
+f as (select lang, m, g, count(*) as a from g group by all having count(*) >= 100),
+c as (select f.lang, f.m, f.g, f.a, k from f, (select unnest(range(1, 5)) as k) where k < f.m),
+s as (select c.lang, c.m, c.g, c.a, c.k, x.a as l, y.a as r, t.n,
+  cast((cast(1000 as hugeint) * c.a * t.n) // (cast(x.a as hugeint) * y.a) as bigint) as score
+  from c join t using (lang) join f x on x.lang = c.lang and x.g = c.g[1 : c.k] join f y on y.lang = c.lang and y.g = c.g[c.k + 1 : c.m]),
+b as (select * from s qualify row_number() over (partition by lang, g order by score, k) = 1),
+i as (select distinct f.lang, f.g[j : j + h - 1] as g, f.a from f, (select unnest(range(2, 5)) as h), (select unnest(range(1, 5)) as j)
+  where h < f.m and j + h - 1 <= f.m),
+k as (select b.* from b where not exists (select 1 from i where i.lang = b.lang and i.g = b.g and i.a >= b.a)),
+z as (select lang, cast(row_number() over (partition by lang order by score desc, a desc, encode(array_to_string(g, ' '))) as bigint) as rank,
+  array_to_string(g, ' ') as phrase, a, l, r, n, score from k)
+select * from z where rank <= 2000
+"""
+
+REPEATS = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (select doc_id, k, array_to_string(w[k : k + 19], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 18)) as k from d where len(w) >= 20)),
+r as (select doc_id, k from x qualify row_number() over (partition by g order by doc_id, k) > 1),
+c as (select distinct doc_id, p from (select doc_id, unnest(range(k, k + 20)) as p from r)),
+e as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
+s as (select e.doc_id, count(*) as n, string_agg(w[p], ' ' order by p) as t from e left join c using (doc_id, p) where c.p is null group by e.doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join s using (doc_id)
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ ODD, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Letters as they are.
+SAME = np.arange(256, dtype=np.uint8)
 #: Bytes of words between white space: all but blank and 9 to 13.
 SPACED = np.ones(256, bool)
 SPACED[[32, *range(9, 14)]] = False
@@ -50,12 +53,12 @@ def slices(batch: pa.RecordBatch, name: str, size: int = 1 << 19) -> Iterator[pa
 
 
 class Words:
-    """The words of a column of texts, ASCII letters lower-cased.
+    """The words of a column of texts, ASCII letters lower-cased unless ``letters`` says otherwise.
 
     ``first[i]`` to ``first[i + 1]`` are the words of text i; ``hash``, ``start`` and ``end`` describe each word.
     """
 
-    def __init__(self, column: pa.Array, kind: np.ndarray) -> None:
+    def __init__(self, column: pa.Array, kind: np.ndarray, letters: np.ndarray = LOWER) -> None:
         self.data, ends = flat(column)
         inside = kind[self.data]
         n = len(inside)
@@ -75,12 +78,17 @@ class Words:
             gaps = np.diff(np.append(self.start, n))
             place = np.arange(self.start[0], n) - np.repeat(self.start, gaps)
             part = inside[self.start[0] :]
-            value = np.where(part, LOWER[self.data[self.start[0] :]].astype(np.uint64) + np.uint64(1), np.uint64(0))
+            value = np.where(part, letters[self.data[self.start[0] :]].astype(np.uint64) + np.uint64(1), np.uint64(0))
             value *= powers[np.where(part, place, 0)]
             self.hash = mix(np.add.reduceat(value, self.start - self.start[0]) + length.astype(np.uint64))
         else:
             self.hash = np.zeros(0, np.uint64)
 
+    @cached_property
+    def raw(self) -> bytes:
+        """The bytes of all texts."""
+        return self.data.tobytes()
+
     def text(self, a: int, b: int) -> bytes:
         """Words a to b (exclusive), joined by blanks."""
         return b" ".join(LOWER[self.data[s:e]].tobytes() for s, e in zip(self.start[a:b], self.end[a:b], strict=True))
