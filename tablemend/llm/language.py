@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
+from .worker import frugal, held
 
 BLOCK = 512
 GAP = re.compile(r"[\W\d_]+")
@@ -130,15 +131,10 @@ class Parser:
         return out
 
 
-_PARSERS: dict[str, Parser | None] = {}
-
-
+@frugal("parser")
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     name, learnt = shared.value
-    if name not in _PARSERS:  # a worker builds the automata once
-        _PARSERS.clear()
-        _PARSERS[name] = Parser(learnt) if learnt else None
-    parser = _PARSERS[name]
+    parser = held("parser", name, lambda: Parser(learnt) if learnt else None)  # a worker builds the automata once
     for batch in batches:
         texts = batch.column(1).to_pylist()
         lang, sure = ["und"] * len(texts), [0.0] * len(texts)

@@ -27,6 +27,7 @@ from .sieve import sieve
 from .skew import attach
 from .store import written
 from .words import SPACED, Words, mix, slices, spread
+from .worker import frugal, release
 
 PLACES, ROWS, WIDTH = 128, 4, 5
 BITS = 25
@@ -75,6 +76,7 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     return out
 
 
+@frugal()
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -104,6 +106,7 @@ def _linked(one: int, other: np.ndarray, common: np.ndarray, percent: int) -> np
     return 100 * common >= percent * (one + other - common)
 
 
+@frugal()
 def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (leader, salt, doc_id, is_member, text), leaders before their members: the links of members to leaders."""
     group, heads = None, []
@@ -150,6 +153,7 @@ def _block(table: pa.Table, percent: int) -> pa.Table:
                 if bands[p][same.argmax()] == key:  # another shared band reports it otherwise
                     u.append(int(doc[p]))
                     v.append(int(doc[q]))
+    release()
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 

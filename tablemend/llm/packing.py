@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from .store import written
 from .tokens import default_vocabulary, encoder
+from .worker import frugal
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 SLOT = "length bigint, rank_from bigint, rank_to bigint, first_sequence bigint, each bigint, first_offset bigint"
 
 
+@frugal("encoder")
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
     for batch in batches:

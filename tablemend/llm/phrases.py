@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .sieve import bitmap, marked
 from .store import written
 from .words import LOWER, MIX_2, Words, mix, slices, spread
+from .worker import frugal
 
 #: Bytes that end a piece, and bytes of words: all but these, blank and tab.
 BREAKS = np.zeros(256, bool)
@@ -37,6 +38,7 @@ EVERY = 64
 AT_ONCE = 1 << 22
 
 
+@frugal()
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """(lang, chunk, tail, n): chunks as lower-cased bytes, the words at the end that the next chunk holds as well, and their number here."""
     for batch in batches:
@@ -99,6 +101,7 @@ def _total(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[begins], np.add.reduceat(weight[order], begins) if len(keys) else weight[:0]
 
 
+@frugal()
 def _count(batches: Iterator[pa.RecordBatch], length: int, shorter: Broadcast | None) -> Iterator[pa.RecordBatch]:
     """(key, n) of the phrases of a length that may be frequent by those one word shorter."""
     for batch in batches:
@@ -115,6 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch], length: int, shorter: Broadcast |
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys[ok].view(np.int64)[first]), "n": pa.array(n)})
 
 
+@frugal()
 def _texts(batches: Iterator[pa.RecordBatch], shared: list[Broadcast]) -> Iterator[pa.RecordBatch]:
     """(lang, size, phrase, a) of the phrases whose hash may be frequent."""
     for batch in batches:
@@ -197,6 +201,7 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 20
     return kept.select("lang", "rank", "phrase", "a", "s.l", "s.r", "n", "s.score")
 
 
+@frugal()
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n): words of each chunk, those of its overlap left out, by how often it was parsed."""
     for batch in batches:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .sieve import bitmap, marked, sieve
 from .store import written
 from .words import SAME, SPACED, Words, mix, slices, spread
+from .worker import frugal
 
 #: Words of a prefix's last run and of a symbol, by which suffixes are compared.
 GRAM, SYMBOL = 8, 5
@@ -62,6 +63,7 @@ class Prefixes:
         self.every = runs[~least(~padded, width) == runs]
 
 
+@frugal()
 def _ends(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 22):
@@ -69,6 +71,7 @@ def _ends(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_pydict({"prefix": pa.array(ends.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
+@frugal()
 def _records(batches: Iterator[pa.RecordBatch], window: int, shared: Broadcast, large: Broadcast) -> Iterator[pa.RecordBatch]:
     """Runs of suffixes with one prefix end, with all the words of their windows."""
     hot, pieces = (np.frombuffer(x, np.int64) for x in large.value)
@@ -165,6 +168,7 @@ def _subtrees(table: pa.Table, window: int) -> pa.RecordBatch:
     )
 
 
+@frugal()
 def _grown(batches: Iterator[pa.RecordBatch], window: int, most: int = 16_384) -> Iterator[pa.RecordBatch]:
     """Subtrees of the records (sorted by key), whole prefixes at a time."""
     held, rows = [], 0
@@ -183,6 +187,7 @@ def _grown(batches: Iterator[pa.RecordBatch], window: int, most: int = 16_384) -
         yield _subtrees(pa.Table.from_batches(held), window)
 
 
+@frugal()
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Each text without the words of its repeats (start, mark): a mark of another text of the same doc_id is none of its own."""
     for batch in batches:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tokens import default_vocabulary, encoder
+from .worker import frugal
 
 BLOCK = 512
 LEVEL = pa.struct([("chunks", pa.binary()), ("bitmap", pa.binary()), ("ranks", pa.binary())])
@@ -86,6 +87,7 @@ def ids_at(levels: list[dict[str, bytes]], positions: np.ndarray) -> np.ndarray:
     return ids
 
 
+@frugal("encoder")
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
     part, segment, first = TaskContext.get().partitionId(), 0, 0
@@ -141,6 +143,7 @@ def _located(spark: SparkSession, path: str) -> DataFrame:
     return segments.join(F.broadcast(directory), "part").withColumn("first", F.expr("base + first")).drop("base")
 
 
+@frugal()
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(len(batch)):
@@ -164,6 +167,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return _located(spark, path).mapInArrow(_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+@frugal()
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(len(batch)):

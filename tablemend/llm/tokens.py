@@ -1,9 +1,10 @@
 """Token ids of whole texts with a byte-level vocabulary of the tokenizers library.
 
 A byte-level tokenizer merges within pre-tokens only, and a pre-token never crosses the gap before a blank that
-precedes other text. Texts are cut at such gaps, each distinct piece is encoded once per worker, and a text's ids are
-its pieces' ids in a row. Texts for which that does not hold (added tokens, control separators that the two regular
-expression dialects class differently) and other kinds of tokenizer are encoded as they stand.
+precedes other text. Texts are cut at such gaps, a piece into its pre-tokens, and each of these goes through the library's
+model once while a worker remembers it; a text's ids are its pieces' ids in a row. Texts for which that does not hold
+(added tokens, control separators that the regular expression dialects class differently), pieces beyond Latin letters,
+which may be of another Unicode version, and other kinds of tokenizer are encoded by the library as they stand.
 """
 
 from __future__ import annotations
@@ -14,75 +15,101 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
+import regex
+
+from .worker import held
 
 #: A blank with what follows, white space before the last blank of a gap, other white space.
 PIECES = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
+#: Fixed value: the pre-tokens of byte-level vocabularies.
+WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+FOREIGN = re.compile("[^\x00-\u024f]")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it is visible Latin, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Encode texts to little-endian unsigned 32-bit ids; keeps the ids of at most ``keep`` pieces."""
+    """Encode texts to little-endian unsigned 32-bit ids.
+
+    The ids of recently used pieces are kept in two generations of about ``keep``: a full young one becomes the old one, and
+    a hit in the old one moves the piece up, so frequent pieces stay.
+    """
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    def __init__(self, path: str, keep: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep = keep
-        self.known: dict[str, bytes] = {}
-        spec = json.loads(self.tokenizer.to_str())
+        self.model, self.keep = self.tokenizer.model, keep
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
-        self.by_piece = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not spec.get("normalizer")
+        self.by_piece = (
+            before.get("type") == "ByteLevel"
+            and before.get("use_regex", True)
+            and not before.get("add_prefix_space")
+            and not spec.get("normalizer")
+            and spec["model"].get("type", "BPE") == "BPE"
+        )
         special = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
         self.odd = re.compile("|".join([*special, "[\x1c-\x1f]"]))
-        vocabulary = self.tokenizer.get_vocab()
-        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
-        for token, number in vocabulary.items():
-            self.width[number] = len(token)
+        self.letters = byte_letters()
+        self.raw = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        """The ids of one pre-token."""
+        if word.isascii() and word.isalpha():
+            return b"".join([self.raw[t.id] for t in self.model.tokenize(word)])
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return b"".join([self.raw[t.id] for t in tokens])
+
+    def piece(self, piece: str) -> bytes:
+        if not piece.isascii() and FOREIGN.search(piece):
+            return self.whole(piece)
+        if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()):
+            return self.word(piece)
+        out = []
+        for word in WORDS.findall(piece):
+            value = self.young.get(word) or self.old.get(word) or self.word(word)
+            self.young[word] = value
+            out.append(value)
+        return b"".join(out)
+
     def learn(self, pieces: Iterable[str]) -> None:
-        """Encode pieces that are not known yet, those that begin with a blank in one run."""
-        run = []
+        """Have all ``pieces`` in the young generation."""
+        if len(self.young) > self.keep:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
         for piece in pieces:
-            if len(piece) > 1 and piece[0] == " " and not piece[1].isspace():
-                run.append(piece)
-            else:
-                self.known[piece] = self.whole(piece)
-        for at in range(0, len(run), 4096):
-            part = run[at : at + 4096]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum(self.width[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part])) + 1
-            raw, left = ids.tobytes(), 0
-            for piece, right in zip(part, (cuts * 4).tolist(), strict=True):
-                self.known[piece] = raw[left:right]
-                left = right
+            if piece not in young:
+                young[piece] = old.get(piece) or self.piece(piece)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         if not self.by_piece:
             return [self.whole(t or "") for t in texts]
         out = []
-        for at in range(0, len(texts), 256):
-            cut = [None if t and self.odd.search(t) else PIECES.findall(t or "") for t in texts[at : at + 256]]
-            if len(self.known) > self.keep:
-                self.known.clear()
-            self.learn(set().union(*(c for c in cut if c)).difference(self.known))
-            get = self.known.__getitem__
-            out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[at : at + 256], cut, strict=True)]
+        for at in range(0, len(texts), 64):
+            cut = [None if t and self.odd.search(t) else PIECES.findall(t or "") for t in texts[at : at + 64]]
+            self.learn(set().union(*(c for c in cut if c)))
+            get = self.young.__getitem__
+            out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[at : at + 64], cut, strict=True)]
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file; it outlives the task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held("encoder", path, lambda: Encoder(path))
 
 
 def default_vocabulary() -> str:

@@ -23,6 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .store import written
 from .words import mix, slices
+from .worker import frugal
 
 CELLS = 1 << 20
 SIZES = range(3, 8)
@@ -92,6 +93,7 @@ def counts(texts: list[str | None], feature: np.ndarray) -> tuple[np.ndarray, np
     return owner, key % FEATURES, density, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+@frugal()
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class in which a cell occurs; cells of one document only are left out when they are many."""
     total = np.zeros((2, CELLS), np.int64)
@@ -108,6 +110,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "clean": pa.array(total[0][cell]), "toxic": pa.array(total[1][cell])})
 
 
+@frugal()
 def _vectors(batches: Iterator[pa.RecordBatch], feature: np.ndarray, ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     kind = pa.schema([("label", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
     for batch in batches:
@@ -160,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
     return Model(feature, weight[: len(ratio)] * ratio, weight[len(ratio) :] * ratio, float(learned.intercept))
 
 
+@frugal()
 def _scores(batches: Iterator[pa.RecordBatch], shared, name: str) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     for batch in batches:

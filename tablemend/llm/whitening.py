@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
+from .worker import frugal
 
 ROUND = np.finfo(np.float64).eps / 2
 #: Rows that a task turns into doubles at a time.
@@ -25,6 +26,7 @@ ROWS = 4096
 OUT = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double"
 
 
+@frugal()
 def _scaled(batches: Iterator[pa.RecordBatch], factor: int) -> Iterator[pa.RecordBatch]:
     """(vec_id, x): floor(factor * c) of each component as little-endian longs, without the zeros at the end."""
     for batch in batches:
@@ -63,6 +65,7 @@ def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray
             yield matrix(batch.column("x").slice(at, ROWS), width)
 
 
+@frugal()
 def _sums(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Per dimension the sums of the upper and lower 32 bits: exact whatever the components."""
     high, low = np.zeros(width, np.int64), np.zeros(width, np.int64)
@@ -82,6 +85,7 @@ def centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
     return (x.astype(np.float64) - whole) - np.array([r / n for _, r in mean])
 
 
+@frugal()
 def _gram(batches: Iterator[pa.RecordBatch], n: int, sums: list[int], solve: np.ndarray, columns: int) -> Iterator[pa.RecordBatch]:
     """The rows of the Gram matrix of this task's centred vectors times ``solve``."""
     total = np.zeros((columns, columns))
@@ -132,6 +136,7 @@ def factor_of(gram: Callable[[np.ndarray], np.ndarray], n: int, width: int, pass
     return (np.sqrt(np.clip(values, 0, None))[:, None] * vectors.T) @ r
 
 
+@frugal()
 def _whitened(batches: Iterator[pa.RecordBatch], n: int, sums: list[int], axes: np.ndarray, explained: list[float]) -> Iterator[pa.RecordBatch]:
     width, top = len(sums), axes.shape[1]
     offsets = np.array(sums, object)
