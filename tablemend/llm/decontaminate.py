@@ -8,7 +8,6 @@ usual length (of short items) are searched with tables of their own.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .words import ALNUM, Words, mix, slices, spread
+from .store import fresh, written
+from .words import ALNUM, Words, mix, slices
+from .worker import frugal
 
 TABLE = 1 << 20
 LANE = 512
-RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-STATE = "doc_id bigint, text string, marks binary, items array<string>"
 
 
 class Windows:
@@ -78,38 +78,41 @@ class Windows:
                 yield f, s
 
 
-def tables(items: list[tuple[str, str]], width: int) -> list[Windows]:
+def tables(items: list[tuple[str | None, str]], width: int) -> list[Windows]:
     """Search tables of the windows of ``width`` words of all items; a shorter item is one window."""
     words = Words(pa.array([t for _, t in items], pa.string()), ALNUM)
     found: dict[int, dict[bytes, tuple[np.ndarray, set[str]]]] = defaultdict(dict)
     for (name, _), a, b in zip(items, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         m = min(width, b - a)
         for f in range(a, b - m + 1) if m else ():
-            found[m].setdefault(words.text(f, f + m), (words.hash[f : f + m], set()))[1].add(name)
+            found[m].setdefault(words.text(f, f + m), (words.hash[f : f + m], set()))[1].update([name] if name is not None else [])
     return [Windows(m, x) for m, x in sorted(found.items())]
 
 
-def item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of at most about ``limit`` characters."""
-    block, size = [], 0
-    for row in items.select(items["item_id"].cast("string"), items["text"].cast("string")).toLocalIterator():
-        if row[1] is not None:
-            block.append((str(row[0]), row[1]))
-            size += len(row[1])
-            if size >= limit:
-                yield block
-                block, size = [], 0
-    if block:
-        yield block
+def _build(table: pa.Table, width: int) -> pa.Table:
+    """The pickled search tables of one block of items."""
+    items = list(zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True))
+    return pa.table({"block": table.column("block")[:1], "tables": pa.array([pickle.dumps(tables(items, width))], pa.binary())})
 
 
-def _search(batches: Iterator[pa.RecordBatch], shared: Broadcast, last: bool) -> Iterator[pa.RecordBatch]:
-    windows = pickle.loads(shared.value)
+def item_blocks(items: DataFrame, width: int, limit: int) -> DataFrame:
+    """(block, tables): the items dealt into blocks of about ``limit`` characters, each block's tables built in a task of its own."""
+    rows = items.selectExpr("cast(item_id as string) item", "cast(text as string) text").filter("length(text) > 0").distinct()
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, -(-size // limit))).cast("long")))
+    return written(dealt.groupBy("block").applyInArrow(lambda table: _build(table, width), "block bigint, tables binary"), "item-tables")
+
+
+@frugal()
+def _search(batches: Iterator[pa.RecordBatch], shared: Broadcast | None, text: int) -> Iterator[pa.RecordBatch]:
+    """Rows of any columns, that at ``text`` the texts, then the marks, items, words and hits so far."""
+    windows = pickle.loads(shared.value) if shared is not None else []
     for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(part.column("text"), ALNUM)
+        for part in slices(batch, batch.schema.names[text]):
+            words = Words(part.column(text), ALNUM)
             n = len(words.hash)
-            edges, items = np.zeros(n + 1, np.int32), [set(x or ()) for x in part.column("items").to_pylist()]
+            marks, names = part.columns[-4:-2]
+            edges, items = np.zeros(n + 1, np.int32), [set(x or ()) for x in names.to_pylist()]
             for w in windows:
                 hits = list(w.search(words))
                 if hits:
@@ -121,30 +124,38 @@ def _search(batches: Iterator[pa.RecordBatch], shared: Broadcast, last: bool) ->
                         items[doc].update(w.items[slot])
             marked = np.cumsum(edges)[:n] > 0
             span = list(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True))
-            old = part.column("marks").to_pylist()
-            for k, (a, b) in enumerate(span):
-                if old[k] is not None:
-                    marked[a:b] |= np.unpackbits(np.frombuffer(old[k], np.uint8), count=b - a) == 1
-            names = [sorted(x) for x in items]
-            if last:
-                total = np.concatenate([[0], np.cumsum(marked)])
-                n_hit = [int(total[b] - total[a]) for a, b in span]
-                made = {
-                    "doc_id": part.column("doc_id"),
-                    "n_words": pa.array([b - a for a, b in span], pa.int64()),
-                    "n_hit": pa.array(n_hit, pa.int64()),
-                    "n_items": pa.array([len(x) for x in names], pa.int64()),
-                    "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names],
-                    "contaminated": [x > 0 for x in n_hit],
-                }
-            else:
-                made = {
-                    "doc_id": part.column("doc_id"),
-                    "text": part.column("text"),
-                    "marks": pa.array([np.packbits(marked[a:b]).tobytes() for a, b in span], pa.binary()),
-                    "items": pa.array(names, pa.list_(pa.string())),
-                }
-            yield pa.RecordBatch.from_pydict(made)
+            for k, ((a, b), old) in enumerate(zip(span, marks.to_pylist(), strict=True)):
+                if old is not None:
+                    marked[a:b] |= np.unpackbits(np.frombuffer(old, np.uint8), count=b - a) == 1
+            made = [
+                pa.array([np.packbits(marked[a:b]).tobytes() if marked[a:b].any() else None for a, b in span], pa.binary()),
+                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                pa.array([b - a for a, b in span], pa.int64()),
+                pa.array([int(marked[a:b].sum()) for a, b in span], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-4], *made], part.schema.names)
+
+
+def searched(docs: DataFrame, items: DataFrame, width: int, block_chars: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` (text and any other columns) with four more columns, whose names are returned: the bits of hit words, the
+    items whose windows occur, the numbers of words and of hit ones.
+
+    One block's tables are broadcast at a time, and what was found so far is written before the next one, so neither the
+    driver nor a task holds more of a large benchmark.
+    """
+    names = [fresh(docs, name) for name in ("marks", "items", "n_words", "n_hit")]
+    kinds = ("binary", "array<string>", "bigint", "bigint")
+    state = docs.withColumn("text", F.col("text").cast("string"))
+    state = state.select("*", *(F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)))
+    spark, blocks = docs.sparkSession, item_blocks(items, width, block_chars)
+    numbers = sorted(r["block"] for r in blocks.select("block").collect())
+    for k, number in enumerate(numbers or [None]):
+        tables_ = None if number is None else spark.sparkContext.broadcast(bytes(blocks.filter(F.col("block") == number).first()["tables"]))
+        state = state.mapInArrow(partial(_search, shared=tables_, text=docs.columns.index("text")), state.schema)
+        if k < len(numbers) - 1:
+            state = written(state, "searched")
+            tables_.destroy()
+    return state, names
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, block_chars: int = 4_000_000) -> DataFrame:
@@ -152,23 +163,24 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, block_char
 
     A window is ``width`` consecutive words of an item (item_id, text); an item of fewer words is one window. Null texts
     and texts without words have no words and no hits; items without words have no windows; items that repeat an id
-    count once; repeated documents give a row each; without items nothing is hit. Other columns are not read.
-    Items are read in blocks of ``block_chars`` characters, and each block's tables are broadcast on their own; the
-    documents pass through the blocks one after the other in one stage, so a large benchmark needs no more memory.
+    count once; an item without id hits words, but is neither counted nor named; repeated documents give a row each;
+    without items nothing is hit. Other columns are not read. Items are searched in blocks of about ``block_chars``
+    characters, see ``searched``.
     """
-    spark = docs.sparkSession
-    state = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(null as binary) marks", "cast(null as array<string>) items")
-    blocks = list(item_blocks_broadcast(spark, items, width, block_chars))
-    for k, shared in enumerate(blocks):
-        last = k == len(blocks) - 1
-        state = state.mapInArrow(partial(_search, shared=shared, last=last), RESULT if last else STATE)
-    return state
-
-
-def item_blocks_broadcast(spark, items: DataFrame, width: int, limit: int) -> Iterator[Broadcast]:
-    empty = True
-    for block in item_blocks(items, limit):
-        empty = False
-        yield spark.sparkContext.broadcast(pickle.dumps(tables(block, width)))
-    if empty:
-        yield spark.sparkContext.broadcast(pickle.dumps([]))
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    state, (_, names, words, hits) = searched(rows, items, width, block_chars)
+    joined = F.array_join(names, ",")
+    return state.select(
+        "doc_id",
+        F.col(words).alias("n_words"),
+        F.col(hits).alias("n_hit"),
+        F.size(names).cast("long").alias("n_items"),
+        F.sha2(joined.cast("binary"), 256).alias("items_sha256"),
+        (F.col(hits) > 0).alias("contaminated"),
+    )
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = 10, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) without a hit word, see ``contamination``; each row on its own."""
+    state, names = searched(docs, items, width, block_chars)
+    return state.filter(F.col(names[3]) == 0).select(*docs.columns)

@@ -1,14 +1,16 @@
 """Line dedup by a fixed-depth tree of line templates.
 
-A line's place in the tree is its number of words and its leading words; words with a digit are variable fields if at
-least as many are constant. Lines of a leaf that agree in most words are one template, whose differing words become variable as well. A template that
-occurs in more than one document is dropped from all of them but the first.
+A line's leaf is its number of words and its leading words. Words with a digit are variable fields if at least as many are
+constant. Below the leaf a line belongs to one template for each place of one more variable field, a run of words of which
+two tenths of the line may differ. So the templates of a line follow from the line alone: no order and no size of a leaf
+changes them, and what occurs in several documents is found by counting templates. A line that shares a template with an
+earlier document is dropped.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -20,16 +22,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .sieve import bitmap, marked, sieve
 from .skew import attach
-from .store import written
+from .store import fresh, written
 from .words import slices
+from .worker import frugal
 
 ANY = "<*>"
 DIGIT = re.compile(r"\d")
 LETTER = re.compile(r"[^\W\d_]")
-LINES = "leaf bigint, hash bigint, doc_id bigint, nth int, line string"
-FOUND = {"hash": pa.int64(), "keeper": pa.int64()}
-CHUNK = {"hash": pa.int64(), "head": pa.int64(), "leaf": pa.int64(), "line": pa.string(), "first": pa.int64(), "last": pa.int64()}
-GROWN = "hash bigint, head bigint, leaf bigint, line string, first bigint, last bigint"
+LINES = "doc_id bigint, nth int, templates array<bigint>"
 
 
 def _hash(text: str) -> int:
@@ -61,6 +61,7 @@ def leaf(words: list[str], depth: int) -> int:
     return _hash(" ".join([str(len(words)), *words[:depth], *figures]))
 
 
+@frugal()
 def _leaves(batches: Iterator[pa.RecordBatch], depth: int, least: int, letters: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -72,168 +73,43 @@ def _leaves(batches: Iterator[pa.RecordBatch], depth: int, least: int, letters:
             yield pa.RecordBatch.from_pydict({"leaf": pa.array(keys, pa.int64()), "doc_id": pa.array(docs, pa.int64())})
 
 
-def _lines(batches: Iterator[pa.RecordBatch], shared, depth: int, least: int, letters: int) -> Iterator[pa.RecordBatch]:
-    """The lines of leaves that occur in several documents, masked."""
+def templates(words: list[str], depth: int, similarity: float, least: int) -> list[int]:
+    """The hashes of a line's templates: one for each place of a field of the words that may differ, or the line's own.
+
+    The leading words, lines of fewer than ``least`` words and lines in which fewer than half the words would be left are
+    not generalised.
+    """
+    place, size = leaf(words, depth), len(words)
+    free = next(k for k in range(size, -1, -1) if 1 - k / size >= similarity - 1e-9)
+    starts = range(depth, size - free + 1) if free and size >= least else ()
+    gap = [ANY] * free
+    fields = [(k, [*words[:k], *gap, *words[k + free :]]) for k in starts]
+    found = [_hash(f"{place} {k} {' '.join(f)}") for k, f in fields if f.count(ANY) * 2 <= size]
+    return found or [_hash(f"{place} {' '.join(words)}")]
+
+
+@frugal()
+def _lines(batches: Iterator[pa.RecordBatch], shared, depth: int, similarity: float, least: int, letters: int) -> Iterator[pa.RecordBatch]:
+    """The templates of the lines of leaves that occur in several documents."""
     for batch in batches:
         for part in slices(batch, "text"):
             rows = [
-                (leaf(w, depth), doc, nth, " ".join(w))
+                (doc, nth, w)
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)
                 for nth, w in compared(text, least, letters)
             ]
-            if rows:
-                keys, docs, nth, lines = zip(*rows, strict=True)
-                keep = np.flatnonzero(marked(shared, np.array(keys, np.int64)))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "leaf": pa.array(keys, pa.int64()).take(keep),
-                        "hash": pa.array([_hash(lines[k]) for k in keep.tolist()], pa.int64()),
-                        "doc_id": pa.array(docs, pa.int64()).take(keep),
-                        "nth": pa.array(nth, pa.int32()).take(keep),
-                        "line": pa.array([lines[k] for k in keep.tolist()], pa.string()),
-                    }
-                )
-
-
-class _Alike:
-    """The templates that may agree with a row in all but ``miss`` words, found by blocks of words.
-
-    One more block than words may differ: in one of them all words agree, or are variable in the row or the template.
-    """
-
-    def __init__(self, rows: np.ndarray, miss: int):
-        self.blocks = [b for b in np.array_split(np.arange(rows.shape[1]), miss + 1) if len(b)]
-        self.masks = [set(map(bytes, rows[:, b] == 0)) for b in self.blocks]
-        self.tables: list[dict[bytes, dict]] = [{} for _ in self.blocks]
-
-    def _keys(self, k: int, row: np.ndarray, own: bytes, others: Iterable[bytes]) -> Iterator[tuple]:
-        """Per mask of ``others``: the mask, and the words of block ``k`` that are variable in neither."""
-        words = row[self.blocks[k]]
-        for other in others:
-            free = np.frombuffer(own, bool) | np.frombuffer(other, bool)
-            yield other, bytes(np.where(free, 0, words))
-
-    def put(self, n: int, row: np.ndarray) -> None:
-        for k, b in enumerate(self.blocks):
-            own = bytes(row[b] == 0)
-            table = self.tables[k].setdefault(own, {})
-            for mask, key in self._keys(k, row, own, self.masks[k]):
-                table.setdefault((mask, key), set()).add(n)
-
-    def take(self, n: int, row: np.ndarray) -> None:
-        for k, b in enumerate(self.blocks):
-            own = bytes(row[b] == 0)
-            for mask, key in self._keys(k, row, own, self.masks[k]):
-                self.tables[k][own][mask, key].discard(n)
-
-    def get(self, row: np.ndarray) -> np.ndarray:
-        found: set[int] = set()
-        for k, b in enumerate(self.blocks):
-            own = bytes(row[b] == 0)
-            for mask, key in self._keys(k, row, own, self.tables[k]):
-                found |= self.tables[k][mask].get((own, key), set())
-        return np.array(sorted(found), np.int64)
-
-
-def templates(lines: list[str], similarity: float) -> tuple[list[int], list[str]]:
-    """The template number of each line of a leaf, and the templates.
-
-    A line joins the most similar template so far that is similar enough and gets no new variable field by it, or has
-    at most half of its words variable then; else it is a new one. A variable field agrees with any word, on either side, so templates join like lines.
-    """
-    names: dict[str, int] = {ANY: 0}
-    rows = np.array([[names.setdefault(w, len(names)) for w in line.split(" ")] for line in lines], np.int32)
-    made = np.empty_like(rows)
-    miss = next(k for k in range(rows.shape[1], -1, -1) if 1 - k / rows.shape[1] >= similarity - 1e-9)
-    alike = _Alike(rows, miss) if len(rows) > 256 else None  # the same templates as by comparing with each
-    n, out = 0, []
-    for row in rows:
-        near = alike.get(row) if alike else np.arange(n)
-        old = made[near]
-        agree = ((old == row) | (old == 0) | (row == 0)).sum(axis=1)
-        free = (old != row) | (row == 0)
-        fits = (agree >= rows.shape[1] - miss) & ((free.mean(axis=1) <= 0.5) | (free == (old == 0)).all(axis=1))
-        if fits.any():
-            best = int(near[np.where(fits, agree, -1).argmax()])
-            wider = np.where(made[best] == row, row, 0)
-            if alike and (wider != made[best]).any():
-                alike.take(best, made[best])
-                alike.put(best, wider)
-            made[best] = wider
-        else:
-            best = n
-            made[n] = row
-            n += 1
-            if alike:
-                alike.put(best, row)
-        out.append(best)
-    words = list(names)
-    return out, [" ".join(words[w] for w in row) for row in made[:n].tolist()]
-
-
-def _grow(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (leaf, hash, line, first, last) sorted by leaf and line: hash and first document of recurring lines."""
-    out: list[tuple] = []
-    for held in _groups(batches, "leaf"):
-        if len(held) == 1:
-            out += [(held[0][1], held[0][3])] if held[0][3] != held[0][4] else []
-        else:
-            number, _ = templates([h[2] for h in held], similarity)
-            first, last = _span(number, held)
-            out += [(h[1], first[k]) for k, h in zip(number, held, strict=True) if first[k] != last[k]]
-        if len(out) > 10_000:
-            yield _batch(out, FOUND)
-            out = []
-    yield _batch(out, FOUND)
-
-
-def _chunk(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows of parts of leaves, sorted by part and line: each line's hash and that of its template's first line.
-
-    The rows of first lines have the leaf, template, first and last document as well.
-    """
-    for held in _groups(batches, "part"):
-        number, texts = templates([h[2] for h in held], similarity)
-        first, last = _span(number, held)
-        heads: dict[int, int] = {}
-        rows = []
-        for k, h in zip(number, held, strict=True):
-            new = heads.setdefault(k, h[1]) == h[1]
-            rows.append((h[1], heads[k], *((h[5], texts[k], first[k], last[k]) if new else (None,) * 4)))
-        yield _batch(rows, CHUNK)
-
-
-def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
-
-
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[tuple]]:
-    """Rows (key, hash, line, first, last, leaf) of each run of equal keys."""
-    at, held = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in (key, "hash", "line", "first", "last", "leaf")), strict=True):
-            if row[0] != at:
-                if held:
-                    yield held
-                at, held = row[0], []
-            held.append(row)
-    if held:
-        yield held
-
-
-def _span(number: list[int], held: list[tuple]) -> tuple[dict[int, int], dict[int, int]]:
-    first: dict[int, int] = {}
-    last: dict[int, int] = {}
-    for k, h in zip(number, held, strict=True):
-        first[k], last[k] = min(first.get(k, h[3]), h[3]), max(last.get(k, h[4]), h[4])
-    return first, last
+            keep = np.flatnonzero(marked(shared, np.array([leaf(w, depth) for _, _, w in rows], np.int64)))
+            rows = [rows[k] for k in keep.tolist()]
+            made = [templates(w, depth, similarity, least) for _, _, w in rows]
+            columns = (pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(made, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "nth", "templates"])
 
 
+@frugal()
 def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, total, gone = [], [], []
-        for text, drop in zip(batch.column("text").to_pylist(), batch.column("__drop").to_pylist(), strict=True):
+        for text, drop in zip(batch.column("text").to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             lines, out = (text or "").split("\n") if text else [], set(drop or ())
             kept = [line for k, line in enumerate(lines) if k not in out]
             texts.append("\n".join(kept) if out else text)
@@ -243,64 +119,42 @@ def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
 
 
-def split_leaves(lines: DataFrame, depth: int, most: int) -> DataFrame:
-    """``lines`` with leaves of more than ``most`` different lines dealt by hash into parts of about half of that."""
-    counts = written(lines.groupBy("leaf").agg(F.count("*").alias("n")), "leaf-counts")
-    large = counts.filter(F.col("n") > most).withColumnRenamed("n", "count")
-    part = F.pmod(F.xxhash64("hash", F.lit(depth)), F.ceil(F.col("count") * 2 / most))
-    deeper = F.when(F.col("count").isNotNull(), F.xxhash64("leaf", F.lit(depth), part)).otherwise(F.col("leaf"))
-    return attach(lines, large, "leaf", how="left", counts=counts).withColumn("leaf", deeper).drop("count")
-
-
-def recurring_lines(lines: DataFrame, similarity: float, most: int) -> DataFrame:
-    """``lines`` (leaf, hash, line, first, last): hash and first document of the lines of recurring templates.
-
-    Templates of a leaf of more than ``most`` different lines are grown in parts of it. Then the parts' templates are
-    its lines, for 16 times as many lines a part, until the leaf is one part; the first document is carried back.
-    """
-    whole, parts = lines, None
-    if not lines.groupBy("leaf").count().filter(F.col("count") > most).isEmpty():
-        dealt = split_leaves(lines.withColumn("root", F.col("leaf")), most, most)
-        dealt = written(dealt.withColumnsRenamed({"leaf": "part"}).withColumnRenamed("root", "leaf"), "leaf-parts")
-        whole = dealt.filter("part = leaf").drop("part")
-        dealt = dealt.filter("part != leaf").repartition("part").sortWithinPartitions("part", "line", "hash")
-        parts = written(dealt.mapInArrow(partial(_chunk, similarity=similarity), GROWN), "parts")
-    dealt = whole.repartition("leaf").sortWithinPartitions("leaf", "line", "hash")
-    found = written(dealt.mapInArrow(partial(_grow, similarity=similarity), "hash bigint, keeper bigint"), "recurring")
-    if parts is None:
-        return found
-    heads = parts.filter("line is not null").select("leaf", F.col("head").alias("hash"), "line", "first", "last")
-    kept = recurring_lines(heads, similarity, most * 16).withColumnRenamed("hash", "head")
-    return written(found.unionByName(attach(parts.select("hash", "head"), kept, "head").select("hash", "keeper")), "recurring")
+def recurring(found: DataFrame) -> DataFrame:
+    """(doc_id, nth) of the lines of ``found`` (doc_id, nth, templates) of which a template occurs in an earlier document."""
+    each = found.select("doc_id", "nth", F.explode("templates").alias("template"))
+    spread = each.groupBy("template").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    spread = written(spread.filter("keeper != last"), "recurring")
+    # the rest of the templates cannot drop a line, so they need not move
+    each = each.filter(sieve(spread.select("template"), "template")(F.col("template")))
+    hits = attach(each, spread.select("template", "keeper"), "template", counts=spread.select("template", "n"))
+    return hits.filter("doc_id != keeper").select("doc_id", "nth")
 
 
-def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, least: int = 5, most: int = 4096, letters: int = 12) -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, least: int = 5, letters: int = 12) -> DataFrame:
     """``docs`` (doc_id, text, any others) with recurring lines dropped, n_lines and n_dropped (in place of such columns).
 
-    A line recurs if its template occurs in documents with different doc_ids; it stays in the one with the least. Lines
-    of fewer than ``least`` words and ``letters`` characters stay; shorter ones than ``least`` words, and lines of which
-    more than half the words have digits, are compared unmasked. Lines end at a line feed; what stays is joined by line
-    feeds. Null and empty
-    texts stay as they are, with no lines. Rows that repeat a doc_id are one document; rows without doc_id keep their lines.
+    A line is dropped if one of its templates occurs in a document with a smaller doc_id. Lines of fewer than ``least``
+    words and ``letters`` characters stay; shorter ones than ``least`` words, and lines of which more than half the words
+    have digits, are compared unmasked. Lines end at a line feed; what stays is joined by line feeds. Null and empty texts
+    stay as they are, with no lines. Rows that repeat a doc_id are one document; rows without doc_id keep their lines. An
+    empty table stays empty.
     """
     docs = docs.drop("n_lines", "n_dropped")
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").filter("doc_id is not null")
     places = rows.mapInArrow(partial(_leaves, depth=depth, least=least, letters=letters), "leaf bigint, doc_id bigint")
     several = places.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("leaf")
-    found = rows.mapInArrow(partial(_lines, shared=bitmap(several), depth=depth, least=least, letters=letters), LINES)
-    found = written(found, "lines")
-    lines = found.groupBy("leaf", "hash").agg(F.min("line").alias("line"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    recurring = recurring_lines(written(lines, "leaves"), similarity, most)
-    drops = attach(found.select("hash", "doc_id", "nth"), recurring, "hash").filter("doc_id != keeper")
-    drops = written(drops.groupBy("doc_id").agg(F.collect_set("nth").alias("__drop")), "drops")
-    passes = sieve(drops, "doc_id")
+    cut = partial(_lines, shared=bitmap(several), depth=depth, similarity=similarity, least=least, letters=letters)
+    drops = recurring(written(rows.mapInArrow(cut, LINES), "lines"))
+    key, drop, maybe = (fresh(docs, name) for name in ("key", "drop", "maybe"))
+    drops = written(drops.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("nth").alias(drop)), "drops")
+    passes = sieve(drops, key)
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    tested = docs.withColumn("__maybe", passes(F.col("doc_id").cast("long")))
+    tested = docs.withColumn(maybe, passes(F.col("doc_id").cast("long")))
     names = docs.columns
     n_lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines")
-    same = tested.filter("not __maybe").select(*names, n_lines, F.lit(0).cast("long").alias("n_dropped"))
+    same = tested.filter(~F.col(maybe)).select(*names, n_lines, F.lit(0).cast("long").alias("n_dropped"))
     kind = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    hit = tested.filter("__maybe").select(*names, F.col("doc_id").cast("long").alias("__key"))
+    hit = tested.filter(maybe).select(*names, F.col("doc_id").cast("long").alias(key))
     # drops grow with the documents, so the plan is the same at every size: never a broadcast
-    hit = hit.join(drops.withColumnRenamed("doc_id", "__key").hint("merge"), "__key", "left").select(*names, "__drop")
+    hit = hit.join(drops.hint("merge"), key, "left").select(*names, drop)
     return same.unionByName(hit.mapInArrow(partial(_without, names=names), kind))

@@ -14,7 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tablemend.llm import licenses, lines, packing, token_file, top_products
-from tablemend.llm.decontaminate import contamination
+from tablemend.llm.decontaminate import clean, contamination
 from tablemend.llm.graph import components
 from tablemend.llm.language import Automaton, languages
 from tablemend.llm.licenses import license_notices
@@ -186,9 +186,6 @@ def test_templates_generalise(spark):
     texts = [f"user {n} logged in from {h} today" for n, h in ((1, "home"), (22, "work"), (3, "home"))] + ["user seven went home from work today"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert [r.n_dropped for r in sorted(lines.drop_lines(df).collect())] == [0, 1, 1, 0]
-    many = [(i, f"a b c d{'xyz'[i % 3]} e{i // 2} f g h i j k l m n o p") for i in range(60)]
-    split = spark.createDataFrame([(1, i, t) for i, t in many], "leaf bigint, hash bigint, line string")
-    assert lines.split_leaves(split, 3, 8).groupBy("leaf").count().agg({"count": "max"}).first()[0] <= 20
 
 
 def test_language(spark, docs, none):
@@ -297,7 +294,7 @@ def test_warc(spark, split):
 
 
 def test_contamination(spark, docs, none):
-    items = [(1, "Word5x1 word6x2 WORD7x2 word8x2 word9x3 word10x3 word11x3 word12x4 word13x4 word14x4 word15x5"), (2, "one TWO"), (3, None), (4, "..."), (20, "two three"), (5, "Köln")]
+    items = [(1, "Word5x1 word6x2 WORD7x2 word8x2 word9x3 word10x3 word11x3 word12x4 word13x4 word14x4 word15x5"), (2, "one TWO"), (3, None), (4, "..."), (20, "two three"), (5, "Köln"), (None, "gap here"), (5, "Grüße aus")]
     table = spark.createDataFrame(items, "item_id bigint, text string")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     wanted = []
@@ -310,7 +307,7 @@ def test_contamination(spark, docs, none):
                 for at in range(len(w) - m + 1):
                     if w[at : at + m] == x[k : k + m]:
                         hit |= set(range(at, at + m))
-                        names.add(str(name))
+                        names |= {str(name)} if name is not None else set()
         wanted.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     for block in (4_000_000, 5):
         assert rows_of(contamination(docs, table, block_chars=block)) == sorted(wanted, key=str)
@@ -318,6 +315,17 @@ def test_contamination(spark, docs, none):
     assert contamination(none, table).count() == 0
 
 
+def test_clean_acts_on_rows(spark):
+    """A hit row goes with or without doc_id, a clean row that shares its doc_id stays."""
+    item = " ".join(f"w{k}" for k in range(12))
+    rows = [(None, f"x {item}", 1), (1, f"y {item}", 2), (2, "clean text", 3), (2, item, 4), (None, "clean as well", 5), (3, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, marks int")
+    items = spark.createDataFrame([(1, item), (2, "none of these")], "item_id bigint, text string")
+    for block in (4_000_000, 5):
+        assert sorted(r.marks for r in clean(docs, items, block_chars=block).collect()) == [3, 5, 6]
+    assert clean(docs, items.filter("item_id < 0")).count() == 6
+
+
 def test_license_notices(spark, docs, none):
     rows = [(1, "x " * 37 + "Licensed under the APACHE license, version 2.0. " + "y " * 50), (2, "All rights reserved"), (3, "all rights"), (4, None), (5, "")]
     rows += [(6, "Released under the MIT License; released, under the mit license"), (6, "licensed under cc by-nc 4.0")]
@@ -329,44 +337,68 @@ def test_license_notices(spark, docs, none):
 def test_clashing_columns(spark, docs):
     import corpus_pipeline
 
-    extra = docs.selectExpr("*", "score as drop", "score as n_dropped", "score as hash", "score as component", "score as label", "score as leader")
+    extra = docs.selectExpr("*", "score as drop", "score as n_dropped", "score as hash", "score as component", "score as label", "score as leader", "score as maybe", "score as key", "score as toxicity", "score as marks", "score as _items")
     before = sorted(extra.columns)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         extra = stage(spark, extra, FOLDER)
         assert sorted(extra.columns) == before and extra.count() > 0
 
 
-def test_large_leaves(spark):
-    """Templates of a leaf that is grown in parts are those of the leaf grown whole."""
-    names = [f"{a}{b}" for a in "abcdefghijklmnop" for b in ("ana", "ob", "eth", "im")]
-    rows = [(i, f"Posted by user {n} on the forum today\n{n} wrote this line alone for {n}") for i, n in enumerate(names)]
-    rows += [(100 + i, f"Posted by user group of {n} with {n} and others {n}") for i, n in enumerate(names[:40])]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    whole = {r.doc_id: r.text for r in lines.drop_lines(df).collect()}
-    assert {r.doc_id: r.text for r in lines.drop_lines(df, most=8).collect()} == whole
-    assert all(("Posted" in whole[i]) == (i == 0) for i in range(len(names)))
-
-
-def test_templates_by_blocks():
-    """Above 256 lines templates are looked up by blocks of words, with the result of comparing each."""
-    rng = random.Random(1)
-    some = [" ".join(["a", "b", "c", *(rng.choice("xyz") + rng.choice("12345") if rng.random() < 0.7 else "<*>" for _ in range(8))]) for _ in range(600)]
-    number, texts = lines.templates(some, 0.8)
-    made = []
-    for line, k in zip((s.split() for s in some), number, strict=True):
-        fits = []
-        for n, t in enumerate(made):
-            agree = sum(a == b or "<*>" in (a, b) for a, b in zip(t, line, strict=True))
-            free = [a != b or a == "<*>" for a, b in zip(t, line, strict=True)]
-            if agree >= 9 and (sum(free) <= 5 or sum(free) == t.count("<*>")):
-                fits.append((-agree, n))
-        best = min(fits)[1] if fits else len(made)
-        if fits:
-            made[best] = [a if a == b else "<*>" for a, b in zip(made[best], line, strict=True)]
-        else:
-            made.append(line)
-        assert k == best
-    assert texts == [" ".join(t) for t in made] and len(texts) < 590
+def brute_lines(rows, depth=3, similarity=0.8, least=5, letters=12):
+    """Pairs of lines are compared word by word: they share a template if they agree outside one field of the size allowed."""
+
+    def cut(line):
+        words = line.split()
+        fields = ["<*>" if re.search(r"\d", w) else w for w in words]
+        masked = len(words) >= least and fields.count("<*>") * 2 <= len(words)
+        return fields if masked else words
+
+    def alike(a, b):
+        if len(a) != len(b) or a[:depth] != b[:depth]:
+            return False
+        figures = [[w for w in x if re.search(r"\d", w) and not re.search(r"[^\W\d_]", w)] for x in (a, b)]
+        n, free = len(a), round(len(a) * (1 - similarity) - 0.499)
+        if figures[0] != figures[1]:
+            return False
+        if n >= least and free:
+            for k in range(depth, n - free + 1):
+                c = [*a[:k], *["<*>"] * free, *a[k + free :]]
+                if c == [*b[:k], *["<*>"] * free, *b[k + free :]] and c.count("<*>") * 2 <= n:
+                    return True
+        return a == b
+
+    lines_ = [(d, cut(x)) for d, t in rows if d is not None for x in (t or "").split("\n")]
+    lines_ = [(d, w) for d, w in lines_ if len(w) >= least or sum(map(len, w)) >= letters]
+    out = []
+    for d, t in rows:
+        kept = []
+        for x in (t or "").split("\n") if t else []:
+            w = cut(x)
+            takes = d is not None and (len(w) >= least or sum(map(len, w)) >= letters)
+            if not (takes and any(e < d and alike(w, v) for e, v in lines_)):
+                kept.append(x)
+        n = len(t.split("\n")) if t else 0
+        out.append((d, "\n".join(kept) if n > len(kept) else t, n, n - len(kept)))
+    return sorted(out, key=str)
+
+
+def test_drop_lines_equals_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda: rng.choice("abcd") + rng.choice(["", "", "", "7"])
+    line = lambda: " ".join(["the", rng.choice("xy"), "is", *(word() for _ in range(rng.choice([0, 1, 2, 3, 7, 8, 13])))])
+    rows = [(rng.choice([i, i // 2, None]) if i % 4 == 0 else i, "\n".join(line() for _ in range(rng.randint(1, 6)))) for i in range(150)]
+    rows += [(200, "unbroken日本語のテキスト"), (201, "unbroken日本語のテキスト"), (202, ""), (203, None), (204, "\n\n"), (205, rows[0][1])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, maybe int").repartition(5)
+    found = lines.drop_lines(df).select("doc_id", "text", "n_lines", "n_dropped")
+    got = rows_of(found)
+    assert got == brute_lines(rows) and sum(r[3] for r in got) > 100
+
+
+def test_templates_of_many_lines(spark):
+    """One leaf with thousands of lines: a field that is another in each makes one template, whatever their number."""
+    rows = [(i, f"Posted by user {chr(97 + i % 26)}{'xyzuv'[i // 26 % 5]}{'q' * (i // 130)} on the forum today") for i in range(6000)]
+    found = lines.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("n_dropped = 0").collect()
+    assert [r.doc_id for r in found] == [0]
 
 
 def test_figures_and_short_lines(spark):

@@ -11,6 +11,7 @@ import twins  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from tablemend.llm import catalog  # noqa: E402
+from tablemend.llm.decontaminate import contamination  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,7 +39,7 @@ def test_pipeline(spark):
         ids = now
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert {r.doc_id for r in packed.collect()} == ids
-    assert not corpus_pipeline.contamination(docs, catalog.read(spark, FOLDER, "benchmark")).filter("contaminated").count()
+    assert not contamination(docs, catalog.read(spark, FOLDER, "benchmark")).filter("contaminated").count()
     empty = catalog.read(spark, FOLDER, "documents").filter("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
