@@ -13,28 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.llm.catalog import read
-from tablemend.llm.decontaminate import contamination
+from tablemend.llm.decontaminate import clean
 from tablemend.llm.lines import drop_lines
 from tablemend.llm.near_copies import near_copies
 from tablemend.llm.packing import pack
 from tablemend.llm.sieve import sieve
-from tablemend.llm.store import written
+from tablemend.llm.store import fresh, written
 from tablemend.llm.toxicity import fit, held_out, score
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the doc_ids of ``gone``; only rows that may match are shuffled."""
     gone = written(gone.select("doc_id").distinct(), "gone")
-    maybe = docs.withColumn("__maybe", sieve(gone, "doc_id")(F.col("doc_id").cast("long")))
-    kept = maybe.filter("not __maybe or __maybe is null").drop("__maybe")
-    return kept.unionByName(maybe.filter("__maybe").drop("__maybe").join(gone, "doc_id", "left_anti"))
+    name = fresh(docs, "maybe")
+    maybe = docs.withColumn(name, F.coalesce(sieve(gone, "doc_id")(F.col("doc_id").cast("long")), F.lit(False)))
+    kept = maybe.filter(~F.col(name)).drop(name)
+    return kept.unionByName(maybe.filter(name).drop(name).join(gone, "doc_id", "left_anti"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.7."""
     labels = read(spark, sf_dir, "labels").filter(~held_out()).selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) label")
     model = fit(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), labels)
-    return score(docs, model, "__toxicity").filter("__toxicity < 0.7").select(*docs.columns)
+    name = fresh(docs, "toxicity")
+    return score(docs, model, name).filter(F.col(name) < 0.7).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return without(docs, contamination(docs, read(spark, sf_dir, "benchmark")).filter("contaminated"))
+    return clean(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
