@@ -1,19 +1,17 @@
 """Model queries: comparison, metrics, importance, ensemble, neighbours, batch prediction."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..plans import training
+from ..plans.pipeline import train
+from ..plans.policy import policy_for
+from ..plans.repair import fit_repair
+from ..session import shared_folder
 from .registry import register, table
 
-LIGHT = {
-    training.FOREST: {"numTrees": 20, "maxDepth": 5},
-    training.TREE: {"maxDepth": 5},
-    training.LOGISTIC: {"maxIter": 50},
-    training.BOOSTED: {"maxIter": 5, "maxDepth": 3},
-}
-
-
 def _judged_documents(spark, folder):
     """Documents with a quality label, and plain measures of their text."""
     documents = table(spark, folder, "documents").selectExpr(
@@ -28,7 +26,7 @@ def _parts(spark, folder):
 
 
 def _classified(spark, folder, wanted, **options):
-    return training.train_and_compare(_judged_documents(spark, folder), "quality", "doc_id", wanted, options=LIGHT, **options)
+    return training.train_and_compare(_judged_documents(spark, folder), "quality", "doc_id", wanted, **options)
 
 
 @register("model_compare")
@@ -38,16 +36,27 @@ def model_compare(spark, folder):
 
 @register("model_compare_regression")
 def model_compare_regression(spark, folder):
-    done = training.train_and_compare(_parts(spark, folder), "p_retailprice", "p_partkey", training.ALL, options=LIGHT)
+    done = training.train_and_compare(_parts(spark, folder), "p_retailprice", "p_partkey", training.ALL)
     return done.table(spark, "original")
 
 
+def _damaged_documents(spark, folder):
+    """Judged documents with holes, outliers and a text column of blanks planted in them."""
+    return _judged_documents(spark, folder).selectExpr(
+        "doc_id", "lang", "if(doc_id % 5 = 0, null, source) as source", "if(doc_id % 7 = 0, null, n_chars) as n_chars",
+        "if(doc_id % 11 = 0, n_blanks * 50, n_blanks) as n_blanks", "if(doc_id % 13 = 0, null, n_stops) as n_stops", "n_digits", "quality",
+    )
+
+
 @register("model_versions")
 def model_versions(spark, folder):
-    rows = _judged_documents(spark, folder)
-    first = training.train_and_compare(rows.drop("n_stops"), "quality", "doc_id", training.TREE, options=LIGHT)
-    second = training.train_and_compare(rows, "quality", "doc_id", training.TREE, options=LIGHT)
-    return training.compare_versions(spark, first, second)
+    """The same model on a damaged table and on its repair, through the registry of results."""
+    damaged = _damaged_documents(spark, folder)
+    repaired = fit_repair(damaged, "quality", policy_for("balanced"), key="doc_id", readable=False).frame
+    path = f"{shared_folder(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    train(damaged, repaired, "quality", "doc_id", path=path, wanted=training.TREE)
+    both = training.registered_scores(spark, path)
+    return both.groupBy("model", "metric").pivot("dataset", ["original", "repaired"]).agg(F.first("value"))
 
 
 @register("feature_importance")

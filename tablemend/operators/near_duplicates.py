@@ -1,28 +1,35 @@
-"""Near-duplicate rows by cosine distance of term weights (NBR2, DGN14, DUP1, DUP2).
+"""Near-duplicate rows by cosine distance of term weights over all terms (NBR2, DGN14, DUP1, DUP2).
 
-Exact copies are folded first. Two unit vectors of cosine at least t must share a term among
-the leading, rarest terms of both that are needed before what is left has norm under t (prefix
-filtering, Bayardo et al. 2007), so only rows meeting in such a term are compared: every such
-pair, hence no near copy is missed. Rows meeting in a term are cut into chunks and compared
-chunk against chunk, and a task returns one row per near copy, never the pairs.
+Exact copies are folded first. Terms are ordered from the rarest up. Two unit vectors of cosine at least t share a term
+among the leading terms of both, those up to which what is left has norm t (prefix filtering, Bayardo et al. 2007), and at
+their first common term the norms of what is left multiply to t or more. Vectors so close also have nearly equal norms in
+each of a fixed number of groups of terms: the squared differences sum to at most 2 - 2t. An inverted index of the leading
+terms holds only ids, norms and these group norms. What passes all three bounds at the pair's first common term is a
+candidate; the vectors of rows with a candidate are joined on afterwards, once for each part of a list they are needed in,
+and multiplied. All bounds are upper bounds, so no near copy is missed. A task returns one row per near copy, never pairs.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cells import col, row_text
 from ..session import settle
-from .lookup import attach_by_value, value_salts
+from .lookup import MOST_HOT, TASK_ROWS, attach_by_value, value_salts
 
-VOCABULARY = 2_000
 NEAREST_DISTANCE = 0.03
+#: Rows of a list that a task compares with as many others.
 BLOCK = 1_024
+#: Groups of terms whose norms a row carries.
+GROUPS = 64
+#: Cells of a dense block of vectors.
+CELLS = 4_000_000
 TERM = r"(?U)\b\w\w+\b"
 
 
@@ -40,93 +47,189 @@ def _folded(df: DataFrame, key: str, columns: list[str] | None) -> DataFrame:
     )
 
 
-def term_weights(folded: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """Unit term weights (id, ord, w): counts of the most frequent terms times smoothed inverse
-    document frequency ``ln((1+n)/(1+df)) + 1``; ``ord`` goes from the rarest term up.
+def term_weights(folded: DataFrame, vocabulary: int | None = None) -> DataFrame:
+    """Unit term weights (id, term, df, w): counts of terms times smoothed inverse document frequency
+    ``ln((1+n)/(1+df)) + 1``; ``term`` is a 64-bit hash.
 
-    Copies count in the frequencies as often as they occur.
+    Copies count in the frequencies as often as they occur. ``vocabulary`` keeps the most frequent terms only.
     """
     words = folded.select(
-        "id", "copies", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)).alias("term")
+        "id", "copies", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)).alias("word")
     )
-    counts = words.groupBy("id", "copies", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = counts.groupBy("term").agg(
-        F.sum(F.col("tf") * F.col("copies")).alias("total"), F.sum("copies").alias("df")
+    counts = words.groupBy("id", "copies", "word").agg(F.count(F.lit(1)).alias("tf"))
+    terms = counts.groupBy("word").agg(
+        F.sum(F.col("tf") * F.col("copies")).alias("total"), F.sum("copies").alias("df"), F.count(F.lit(1)).alias("rows")
     )
-    # a fixed number of terms, so small enough to broadcast
-    kept = terms.orderBy(F.col("total").desc(), "term").limit(vocabulary)
+    if vocabulary is not None:
+        terms = terms.orderBy(F.col("total").desc(), "word").limit(vocabulary)
     n = folded.agg(F.sum("copies").alias("n")).first()["n"] or 0
-    place = Window.orderBy("df", "term")
-    weighted = kept.select(
-        "term",
-        F.row_number().over(place).alias("ord"),
-        (F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
-    )
-    raw = counts.join(F.broadcast(weighted), "term").select("id", "ord", (F.col("tf") * F.col("idf")).alias("raw"))
+    idf = F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0
+    found = terms.select(F.col("word").alias("value"), "df", idf.alias("idf"), "rows")
+    hot = found.filter(F.col("rows") > TASK_ROWS).orderBy(F.col("rows").desc()).limit(MOST_HOT)
+    salts = {r["value"]: -(-r["rows"] // TASK_ROWS) for r in hot.collect()}
+    joined = attach_by_value(counts, "word", found.drop("rows"), salts, F.xxhash64("id")).filter(F.col("idf").isNotNull())
+    raw = joined.select("id", F.xxhash64("word").alias("term"), "df", (F.col("tf") * F.col("idf")).alias("raw"))
     norms = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
-    return raw.select("id", "ord", (F.col("raw") / norms).alias("w"))
+    return raw.select("id", "term", "df", (F.col("raw") / norms).alias("w"))
 
 
-def near_links(
-    weights: DataFrame, cosine: float, block: int = BLOCK
-) -> DataFrame:
-    """Per row with a partner of at least this cosine: lowest partner id and highest cosine."""
-    before = Window.partitionBy("id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    leading = (
-        weights.withColumn("seen", F.coalesce(F.sum(F.col("w") * F.col("w")).over(before), F.lit(0.0)))
-        .filter(1.0 - F.col("seen") >= cosine * cosine - 1e-9)
-        .select("id", "ord")
-    )
-    # at most as many terms per row as the vocabulary has
-    listed = weights.groupBy("id").agg(F.collect_list(F.struct("ord", "w")).alias("terms"))
-    vectors = listed.select("id", F.col("terms.ord").alias("ords"), F.col("terms.w").alias("ws"))
-    sizes = {r["ord"]: r["n"] for r in leading.groupBy("ord").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shared = {o: n for o, n in sizes.items() if n > 1}
-    if not shared:
-        kind = dict(weights.dtypes)["id"]
-        return weights.sparkSession.createDataFrame([], f"id {kind}, near_id {kind}, cosine double")
-    chunks = F.array(*[F.lit(max(1, math.ceil(shared.get(o, 0) / block))) for o in range(max(shared) + 1)])
-    chunk = F.pmod(F.xxhash64("id"), F.get(chunks, F.col("ord"))).cast("int")
-    meeting = leading.filter(F.col("ord").isin(list(shared))).withColumn("chunk", chunk)
-    # every unordered pair of chunks is one group; a row goes to the groups of its chunk
-    grouped = (
-        meeting.withColumn("other", F.explode(F.sequence(F.lit(0), F.get(chunks, F.col("ord")) - 1)))
-        .select("id", "ord", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
-        .join(vectors, "id")
+def _postings(cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(term, id, nth, left, lead, groups) of each leading term of a row: its place, the norm of the terms from it on,
+    all leading terms, and the norms of the groups of terms."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, nth, left, lead, groups, row = [], [], [], [], [], []
+            for k, cells in enumerate(batch.column("terms").to_pylist()):
+                term = np.array([c["term"] for c in cells], np.int64)
+                square = np.array([c["w"] for c in cells]) ** 2
+                rest = np.cumsum(square[::-1])[::-1]
+                n = int((rest >= cosine * cosine - 1e-9).sum())
+                each = np.sqrt(np.bincount((term % GROUPS).astype(np.int64), weights=square, minlength=GROUPS))
+                terms += term[:n].tolist()
+                nth += range(n)
+                left += np.sqrt(rest[:n]).tolist()
+                lead += [term[:n].tolist()] * n
+                groups += [each.astype("<f4").tobytes()] * n
+                row += [k] * n
+            ids = batch.column("id").take(pa.array(row, pa.int64()))
+            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip((terms, nth, left, lead, groups), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([columns[0], ids, *columns[1:]], ["term", "id", "nth", "left", "lead", "groups"])
+
+    return made
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (term, a, b), which follow one another."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in ("term", "a", "b")])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            now = tuple(key[:, x].tolist())
+            if held and now != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+            at = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the two chunks of a part of a list; they are the same chunk on the diagonal."""
+    chunk = table.column("chunk").to_numpy()
+    return np.flatnonzero(chunk == table.column("a")[0].as_py()), np.flatnonzero(chunk == table.column("b")[0].as_py())
+
+
+def _pairs(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a part of a list, left and right, that may be near copies and have no earlier term in common."""
+    left, right = _sides(table)
+    rest = table.column("left").to_numpy()
+    groups = np.frombuffer(b"".join(table.column("groups").to_pylist()), "<f4").reshape(table.num_rows, GROUPS).astype(np.float64)
+    square = (groups * groups).sum(axis=1)
+    apart = square[left][:, None] + square[right][None, :] - 2 * groups[left] @ groups[right].T
+    near = (apart <= 2 - 2 * cosine + 1e-5) & (rest[left][:, None] * rest[right][None, :] >= cosine - 1e-9)
+    i, j = np.nonzero(near)
+    i, j = left[i], right[j]
+    ids = table.column("id").to_pandas().to_numpy()
+    once = ids[i] < ids[j] if table.column("a")[0].as_py() == table.column("b")[0].as_py() else ids[i] != ids[j]
+    i, j = i[once], j[once]
+    nth = table.column("nth").to_numpy()
+    late = np.flatnonzero((nth[i] > 0) & (nth[j] > 0))
+    if len(late):
+        lead = table.column("lead").to_pylist()
+        before = {k: frozenset(lead[k][: nth[k]]) for k in {*i[late].tolist(), *j[late].tolist()}}
+        first = np.ones(len(i), bool)
+        first[late] = [before[x].isdisjoint(before[y]) for x, y in zip(i[late].tolist(), j[late].tolist(), strict=True)]
+        i, j = i[first], j[first]
+    return i, j
+
+
+def _products(table: pa.Table, rows: np.ndarray) -> np.ndarray:
+    """All products of some vectors, terms taken in blocks of bounded size."""
+    cells = [table.column("terms")[int(k)].as_py() for k in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(c) for c in cells])
+    term = np.array([c["term"] for row in cells for c in row], np.int64)
+    w = np.array([c["w"] for row in cells for c in row])
+    names, at, often = np.unique(term, return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1  # a term of one row multiplies with none
+    shared = often[at] > 1
+    owner, at, w = owner[shared], place[at[shared]], w[shared]
+    out, width = np.zeros((len(rows), len(rows))), max(1, CELLS // max(1, len(rows)))
+    order = np.argsort(at, kind="stable")
+    owner, at, w = owner[order], at[order], w[order]
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, b = np.searchsorted(at, (start, start + width))
+        x = np.zeros((len(rows), min(width, int(at[-1]) + 1 - start)))
+        x[owner[a:b], at[a:b] - start] = w[a:b]
+        out += x @ x.T
+    return out
+
+
+def near_links(weights: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+    """Per row with a partner of at least this cosine: lowest partner id and highest cosine. ``weights``: id, term, df, w."""
+    listed = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("terms"))
+    listed = settle(listed.select("id", F.transform("terms", lambda c: F.struct(c["term"].alias("term"), c["w"].alias("w"))).alias("terms")))
+    id_field = T.StructField("id", listed.schema["id"].dataType)
+    posting = T.StructType(
+        [
+            T.StructField("term", T.LongType()),
+            id_field,
+            T.StructField("nth", T.IntegerType()),
+            T.StructField("left", T.DoubleType()),
+            T.StructField("lead", T.ArrayType(T.LongType())),
+            T.StructField("groups", T.BinaryType()),
+        ]
     )
-    id_type = dict(weights.dtypes)["id"]
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("id", "near_id", "cosine")})
-        if len(pdf) < 2:
-            return empty
-        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        sizes = pdf["ords"].map(len).to_numpy()
-        used, at = np.unique(np.concatenate(pdf["ords"].to_list()), return_inverse=True)
-        x = np.zeros((len(pdf), len(used)))
-        x[np.repeat(np.arange(len(pdf)), sizes), at] = np.concatenate(pdf["ws"].to_list())
-        side = pdf["chunk"].to_numpy()
-        left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
-        if not len(left) or not len(right):
-            return empty
-        i, j = np.nonzero(x[left] @ x[right].T >= cosine)
-        i, j = left[i], right[j]
-        distinct = i != j
-        i, j = i[distinct], j[distinct]
-        if not len(i):
-            return empty
-        likeness = np.array([x[a] @ x[b] for a, b in zip(i, j)])
-        ids = pdf["id"].to_numpy()
-        both = pd.DataFrame(
-            {
-                "id": np.r_[ids[i], ids[j]],
-                "near_id": np.r_[ids[j], ids[i]],
-                "cosine": np.r_[likeness, likeness],
-            }
-        )
-        return both.groupby("id", as_index=False).agg(near_id=("near_id", "min"), cosine=("cosine", "max"))
-
-    found = grouped.groupBy("ord", "a", "b").applyInPandas(compare, f"id {id_type}, near_id {id_type}, cosine double")
+    postings = settle(listed.mapInArrow(_postings(cosine), posting))
+    sizes = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = sizes.select("term", F.ceil(F.col("n") / block).cast("int").alias("chunks"))
+    # every unordered pair of chunks of a list is one group; a row goes to the groups of its chunk
+    chunked = postings.join(sizes, "term").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    parts = chunked.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
+        "*", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b")
+    ).drop("other", "chunks")
+    keys = ["term", "a", "b"]
+    dealt = parts.repartition(*keys).sortWithinPartitions(*keys)
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each part that have a candidate there, as they are."""
+        for table in _lists(batches):
+            if table.num_rows > 1:
+                i, j = _pairs(table, cosine)
+                if len(i):
+                    yield from table.take(np.union1d(i, j)).combine_chunks().to_batches()
+
+    candidates = settle(dealt.mapInArrow(needed, dealt.schema))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _lists(batches):
+            i, j = _pairs(table, cosine)
+            rows = np.arange(table.num_rows)
+            likeness = _products(table, rows)[i, j]
+            close = likeness >= cosine
+            i, j, likeness = i[close], j[close], likeness[close]
+            if len(i):
+                ids = table.column("id").to_pandas().to_numpy()
+                own, other = np.r_[i, j], np.r_[j, i]
+                order = np.lexsort((ids[other], own))
+                own, other, value = own[order], other[order], np.r_[likeness, likeness][order]
+                begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                kind = table.schema.field("id").type
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[own[begins]], kind), pa.array(ids[other[begins]], kind), pa.array(np.maximum.reduceat(value, begins))],
+                    ["id", "near_id", "cosine"],
+                )
+
+    full = candidates.join(listed, "id").select(*candidates.columns, "terms")
+    full = full.repartition(*keys).sortWithinPartitions(*keys)
+    shape = T.StructType([id_field, T.StructField("near_id", id_field.dataType), T.StructField("cosine", T.DoubleType())])
+    found = full.mapInArrow(compared, shape)
     return found.groupBy("id").agg(F.min("near_id").alias("near_id"), F.max("cosine").alias("cosine"))
 
 
@@ -135,12 +238,13 @@ def near_duplicate_rows(
     key: str,
     columns: list[str] | None = None,
     distance: float = NEAREST_DISTANCE,
-    vocabulary: int = VOCABULARY,
+    vocabulary: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """Rows that have a near copy: key, the lowest key among their near copies, highest cosine.
 
-    An exact copy counts, with cosine 1. ``key`` tells rows apart.
+    An exact copy counts, with cosine 1. ``key`` tells rows apart. All terms count unless ``vocabulary`` limits them to
+    the most frequent ones.
     """
     folded = settle(_folded(df, key, columns))
     weights = settle(term_weights(folded, vocabulary))

@@ -14,7 +14,7 @@ from ..sinks.versions import append_record, version_record, write_json, write_ta
 from .diagnosis import Diagnosis, DiagnosisOptions, diagnose_table, report_table
 from .policy import RepairPolicy, policy_for
 from .repair import Repair, fit_repair
-from .training import Comparison, compare_versions, train_and_compare
+from .training import Comparison, compare_versions, save_comparison, train_and_compare
 
 
 @dataclass
@@ -63,9 +63,17 @@ def clean(
 
 
 def train(
-    original: DataFrame, repaired: DataFrame, target: str, key: str, quarantined: list[str] | tuple[str, ...] = (), **options
-) -> tuple[Comparison, Comparison, DataFrame]:
-    """The same models on the original and the repaired table, and their scores side by side."""
+    original: DataFrame, repaired: DataFrame, target: str, key: str, quarantined: list[str] | tuple[str, ...] = (),
+    path: str | None = None, version: str = "1", **options,
+) -> tuple[Comparison, Comparison, DataFrame]:
+    """The same models on the original and the repaired table, and their scores side by side.
+
+    With ``path``, scores, failures, importances and the best model of both are written there under ``version``.
+    """
+    spark = original.sparkSession
     first = train_and_compare(original, target, key, quarantined=quarantined, **options)
     second = train_and_compare(repaired, target, key, quarantined=quarantined, **options)
-    return first, second, compare_versions(original.sparkSession, first, second)
+    if path:
+        save_comparison(spark, first, path, "original", version)
+        save_comparison(spark, second, path, "repaired", version)
+    return first, second, compare_versions(spark, first, second)

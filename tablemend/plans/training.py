@@ -19,20 +19,24 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import col, missing
-from ..functions.schema import is_temporal, is_text, numeric_columns, quoted, target_of, text_columns
+from ..functions.schema import is_temporal, numeric_columns, quoted, target_of, text_columns
 from ..operators import encode, features
+from ..operators.lookup import attach_by_value, value_salts
 from ..operators.metrics import classification_metrics, composite_score, regression_metrics
 from ..operators.neighbours import attach_neighbours, nearest, vector
 from ..operators.profile import distinct_counts, rows_frame
-from ..operators.resample import drop_tomek_links, smote, stratified_split
+from ..operators.resample import balance as balanced_classes
+from ..operators.resample import class_sizes, stratified_split
 from ..operators.roles import HIGH_CARDINALITY, task_type
+from ..session import settle
+from ..sinks.versions import write_table
 from .repair import Repair
 
+# Names of the models.
 FOREST, TREE, LOGISTIC, LINEAR, KNN, BOOSTED = (
     "Random Forest", "Decision Tree", "Logistic Regression", "Linear Regression", "KNN", "Gradient Boosting",
 )
@@ -52,6 +56,8 @@ GRIDS = {
 }
 SEARCH_SIZE = 5
 FOLDS = 3
+#: Rows of a partition that models are fitted on; small tables are not cut into many tiny tasks.
+FIT_ROWS = 20_000
 
 
 def model_menu(task: str) -> list[str]:
@@ -70,7 +76,10 @@ def choose_models(task: str, wanted: str = ALL) -> list[str]:
 
 
 def estimator(name: str, task: str, rows: int, classes: int, options: dict | None = None):
-    """Spark ML estimator of a menu entry; ``options`` override its parameters."""
+    """Spark ML estimator of a menu entry; ``options`` override its parameters.
+
+    The settings below are fixed values.
+    """
     columns = {"featuresCol": "features", "labelCol": "label"}
     options = dict(options or {})
     if "maxDepth" in options:
@@ -99,7 +108,11 @@ def estimator(name: str, task: str, rows: int, classes: int, options: dict | Non
 
 @dataclass
 class Prepared:
-    """Numeric matrix of a table: key, label and an array of features, split by key hash."""
+    """Numeric matrix of a table: key, label and an array of features, split by key hash.
+
+    ``train`` carries the fold of each row, one for all models and settings. ``codes`` gives the class (``value``) of each
+    label of a classification.
+    """
 
     task: str
     columns: list[str]
@@ -110,51 +123,65 @@ class Prepared:
     classes: int
     train_rows: int
     balanced: bool
+    codes: DataFrame | None = None
+    left_out: list[str] = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list)
 
 
-def training_matrix(df: DataFrame, target: str, key: str, quarantined: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """Features of a table: numbers, and indicators of text columns that have none yet (ENC7).
+def training_matrix(
+    df: DataFrame, target: str, key: str, quarantined: list[str] | tuple[str, ...] = ()
+) -> tuple[DataFrame, list[str], list[str]]:
+    """Features of a table: numbers, and indicators of text columns that have none yet (ENC7); the text columns left out.
 
     Raw dates and text of many values are left out; their parts and frequencies are numbers.
     """
     x = features.feature_matrix(df, target, [q for q in quarantined if q != key])
     texts = [c for c in text_columns(x) if c != key]
     counts = distinct_counts(x, texts, watch=100)
-    plain = [c for c in texts if counts[c] <= HIGH_CARDINALITY and not any(n.startswith(f"{c}_") for n in x.columns)]
-    wide = encode.one_hot(df, plain) if plain else df
+    few = [c for c in texts if counts[c] <= HIGH_CARDINALITY]
+    categories = encode.fit_categories(df, few) if few else {}
+    # a text column has its indicators if all that one-hot would add are there
+    plain = [c for c in few if any(f"{c}_{v}" not in x.columns for v in categories[c])]
+    wide = encode.one_hot(df, plain, {c: categories[c] for c in plain}) if plain else df
     left_out = {target, key, *quarantined}
     columns = [c for c in numeric_columns(wide) if c not in left_out]
     assert not any(is_temporal(wide.schema[c].dataType) for c in columns)
-    return wide, columns
+    return wide, columns, [c for c in texts if c not in few]
+
+
+def class_codes(df: DataFrame, target: str) -> DataFrame:
+    """(value, code): the classes of a target, whatever their type, in order from 0."""
+    classes = df.filter(~missing(target, df.schema[target].dataType)).groupBy(col(target).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # one row a class: the only global order is over these
+    code = (F.row_number().over(Window.orderBy("value")) - 1).cast("double")
+    return settle(classes.select("value", code.alias("code")))
 
 
 def prepare(
     df: DataFrame, target: str | None = None, key: str = "id", quarantined: list[str] | tuple[str, ...] = (),
     balance: bool = True, task: str | None = None,
 ) -> Prepared:
-    """Matrix, split, balancing of the training part (SMOTE, then Tomek links), scaling statistics."""
+    """Matrix, split, balancing of the training part (SMOTE, then the Tomek links of the result), scaling statistics."""
     target = target_of(df, target)
     task = task or task_type(df, target)
-    if is_text(df.schema[target].dataType):
-        # class codes in text order; a missing label stays missing
-        coded = encode.encode_with(df, target, encode.fit_codes(df, target), "__code")
-        code = F.when(~missing(target, df.schema[target].dataType), F.col("__code").cast("double"))
-        df = coded.withColumn(target, code).drop("__code")
-    wide, columns = training_matrix(df, target, key, quarantined)
-    label = col(target).cast("double")
+    wide, columns, left_out = training_matrix(df, target, key, quarantined)
     present = wide.filter(~missing(target, wide.schema[target].dataType))
+    codes, label = None, col(target).cast("double")
+    if task == "classification":
+        codes = class_codes(df, target)
+        present = attach_by_value(present, target, codes.withColumnRenamed("code", "__code"), value_salts(present, target))
+        label = F.col("__code")
     matrix = present.select(col(key).alias("key"), label.alias("label"), vector(present, columns, 0.0).alias("vec"))
-    split = stratified_split(matrix, "key", "label" if task == "classification" else None).persist()
-    train, test = split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test").drop("is_test")
-    sizes = {}
+    split = stratified_split(matrix, "key", "label" if task == "classification" else None)
+    split = split.withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int")).persist()
+    train, test = split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test").drop("is_test", "fold")
+    number = least = 0
     if task == "classification":
-        counted = train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(1001).collect()
-        sizes = {r["label"]: r["n"] for r in counted}
+        number, least = class_sizes(train).agg(F.count(F.lit(1)), F.min("n")).first()
     plain = train.select("label", "vec")
-    balanced = balance and task == "classification" and 1 < len(sizes) <= 1000 and min(sizes.values()) >= 2
+    balanced = balance and number > 1 and least >= 2
     if balanced:
-        kept = drop_tomek_links(train, "key").select("label", "vec")
-        plain = kept.unionByName(smote(train, "key").select("label", "vec")).persist()
+        plain = settle(balanced_classes(train, "key").select("label", "vec"))
     n = len(columns)
     parts = []
     for i in range(n):
@@ -162,8 +189,8 @@ def prepare(
         parts += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     row = plain.agg(F.count(F.lit(1)).alias("rows"), *parts).first()
     scaling = {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
-    classes = int(max(sizes, default=0)) + 1 if sizes else 0
-    return Prepared(task, columns, train, test, plain, scaling, classes, row["rows"], balanced)
+    classes = codes.count() if codes is not None else 0
+    return Prepared(task, columns, train, test, plain, scaling, classes, row["rows"], balanced, codes, left_out, [split])
 
 
 def as_features(df: DataFrame, columns: list[str], scaling: dict | None) -> DataFrame:
@@ -185,37 +212,41 @@ def search_space(name: str, seed: int = 42) -> list[dict]:
     return random.Random(seed).sample(every, min(SEARCH_SIZE, len(every)))
 
 
-def tune(name: str, data: Prepared, train: DataFrame, parallelism: int = 2) -> tuple[dict, float | None]:
+def tune(name: str, data: Prepared, train: DataFrame) -> tuple[dict, float | None]:
     """Best settings of a three-fold random search by weighted F1 or R2, and their mean score."""
     best, best_score = {}, None
     for options in search_space(name):
-        score = cross_validate(name, data, train, options, parallelism)
+        score = cross_validate(name, data, train, options)
         if best_score is None or score > best_score:
             best, best_score = options, score
     return best, best_score
 
 
-def cross_validate(name: str, data: Prepared, train: DataFrame, options: dict | None = None, parallelism: int = 2) -> float:
-    """Mean three-fold score on the training part before balancing (ML11)."""
+def cross_validate(name: str, data: Prepared, train: DataFrame, options: dict | None = None) -> float:
+    """Mean score over the shared folds of the training part before balancing (ML11): one fit a fold, none on all rows."""
     if data.task == "classification":
         judge = MulticlassClassificationEvaluator(metricName="f1", labelCol="label")
     else:
         judge = RegressionEvaluator(metricName="r2", labelCol="label")
-    one = estimator(name, data.task, data.train_rows, data.classes, options)
-    cv = CrossValidator(
-        estimator=one, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=FOLDS, seed=42, parallelism=parallelism
-    )
-    return float(cv.fit(train).avgMetrics[0])
-
+    scores = []
+    for fold in range(FOLDS):
+        part, rest = train.filter(F.col("fold") == fold), train.filter(F.col("fold") != fold)
+        if part.isEmpty() or rest.isEmpty():
+            continue
+        model = estimator(name, data.task, data.train_rows, data.classes, options).fit(rest)
+        scores.append(judge.evaluate(model.transform(part)))
+    return sum(scores) / len(scores) if scores else 0.0
 
-def knn_predict(train: DataFrame, queries: DataFrame, task: str, k: int = 5, weights: str = "uniform") -> DataFrame:
-    """Neighbour vote or mean (ML5): key, label and prediction of every query row.
 
-    ``train`` has label and vec; a vote that ties goes to the lowest label.
-    """
+def knn_paired(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest rows of ``train`` (label, vec) to each query: key, label of the neighbour, distance, place."""
     base = train.select("vec", F.col("label").alias("id"), F.col("label").alias("__label"))
-    found = nearest(queries, base, k, payload=["__label"])
-    paired = attach_neighbours(queries, found, "key", False, k)
+    return attach_neighbours(queries, nearest(queries, base, k, payload=["__label"]), "key", False, k)
+
+
+def knn_vote(paired: DataFrame, queries: DataFrame, task: str, k: int, weights: str = "uniform") -> DataFrame:
+    """Vote or mean of the first ``k`` neighbours of lists that may be longer; a vote that ties goes to the lowest label."""
+    paired = paired.filter(F.col("place") <= k)
     weight = F.lit(1.0) if weights == "uniform" else 1.0 / F.greatest("distance", F.lit(1e-12))
     if task == "classification":
         votes = paired.groupBy("key", F.col("__label").alias("prediction")).agg(F.sum(weight).alias("w"))
@@ -226,6 +257,11 @@ def knn_predict(train: DataFrame, queries: DataFrame, task: str, k: int = 5, wei
     return queries.select("key", "label").join(guess, "key")
 
 
+def knn_predict(train: DataFrame, queries: DataFrame, task: str, k: int = 5, weights: str = "uniform") -> DataFrame:
+    """Neighbour vote or mean (ML5): key, label and prediction of every query row. ``train`` has label and vec."""
+    return knn_vote(knn_paired(train, queries, k), queries, task, k, weights)
+
+
 @dataclass
 class Trained:
     name: str
@@ -249,12 +285,28 @@ class Comparison:
 
     @property
     def best(self) -> Trained:
-        return max((t for t in self.trained if t.name != ENSEMBLE), key=lambda t: t.scores["composite"])
+        alone = [t for t in self.trained if t.name != ENSEMBLE]
+        if not alone:
+            raise ValueError(f"no model was trained: {self.failed}")
+        return max(alone, key=lambda t: t.scores["composite"])
+
+    def release(self) -> None:
+        """Give back the memory of cached rows; predictions are computed anew after this."""
+        for df in [*self.data.held, *(t.predictions for t in self.trained)]:
+            df.unpersist()
 
     def table(self, spark: SparkSession, dataset: str = "original") -> DataFrame:
+        """Scores by model; one that failed has the metric ``failed`` alone, text columns left out are counted."""
         rows = [(dataset, t.name, m, round(float(v), 4)) for t in self.trained for m, v in t.scores.items() if v is not None]
+        rows += [(dataset, name, "failed", 1.0) for name in self.failed]
         return rows_frame(spark, rows, "dataset string, model string, metric string, value double")
 
+    def failures(self, spark: SparkSession, dataset: str = "original") -> DataFrame:
+        """Why models failed and which text columns of many values no model saw: dataset, kind, name, detail."""
+        rows = [(dataset, "model", name, text) for name, text in self.failed.items()]
+        rows += [(dataset, "column", c, "text of many values") for c in self.data.left_out]
+        return rows_frame(spark, rows, "dataset string, kind string, name string, detail string")
+
     def importance_table(self, spark: SparkSession, top: int = 5) -> DataFrame:
         """Most important features per tree model (ML14)."""
         rows = [
@@ -273,13 +325,16 @@ def train_and_compare(
     """Train the wanted models on one split and score them (ML1-ML15).
 
     ``options`` overrides parameters per model, ``search`` tunes them, ``validate`` adds the
-    cross-validated score.
+    cross-validated score. A model that fails is listed with its error, and the others go on.
     """
     data = prepare(df, target, key, quarantined, balance)
     names = choose_models(data.task, wanted) if isinstance(wanted, str) else wanted
     done = Comparison(data.task, data.columns, data.scaling, [], data)
     for name in names:
-        done.trained.append(_train_one(name, data, (options or {}).get(name, {}), search, validate))
+        try:
+            done.trained.append(_train_one(name, data, (options or {}).get(name, {}), search, validate))
+        except Exception as error:
+            done.failed[name] = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:300]
     if ensemble and len(done.trained) >= 2:
         done.trained.append(ensemble_top2(done))
     return done
@@ -289,6 +344,7 @@ def _train_one(name: str, data: Prepared, options: dict, search: bool, validate:
     scaling = data.scaling if name in SCALED else None
     fit_on, test = as_features(data.fitted_on, data.columns, scaling), as_features(data.test, data.columns, scaling)
     unbalanced = as_features(data.train, data.columns, scaling)
+    parts = max(1, -(-data.train_rows // FIT_ROWS))
     if name == KNN:
         k = max(1, min(options.get("k", 5), data.train_rows - 1))
         chosen = {"k": k, "weights": options.get("weights", "uniform")}
@@ -297,10 +353,11 @@ def _train_one(name: str, data: Prepared, options: dict, search: bool, validate:
         guess = knn_predict(fit_on, test, data.task, **chosen).persist()
         seen = knn_predict(fit_on, unbalanced, data.task, **chosen)
         return Trained(name, chosen, _scores(data.task, guess, seen, None), None, guess)
+    unbalanced = unbalanced.coalesce(parts)
     if search and name in GRIDS:
         tuned, _ = tune(name, data, unbalanced)
         options = {**tuned, **options}
-    model = estimator(name, data.task, data.train_rows, data.classes, options).fit(fit_on)
+    model = estimator(name, data.task, data.train_rows, data.classes, options).fit(fit_on.coalesce(parts))
     guess = model.transform(test)
     kept = ["key", "label", "prediction"] + (["probability"] if "probability" in guess.columns else [])
     guess = guess.select(*kept).persist()
@@ -312,18 +369,19 @@ def _train_one(name: str, data: Prepared, options: dict, search: bool, validate:
 
 
 def _search_knn(train: DataFrame, data: Prepared) -> dict:
-    """Folds by key hash; the widest search serves every smaller k of the fold."""
-    marked = train.withColumn("__fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS)))
+    """Best k and weighting over the shared folds. One neighbour search a fold, of the greatest k, answers all settings."""
+    settings = [s for s in search_space(KNN) if s["k"] < data.train_rows]
     best, best_score = {"k": 5, "weights": "uniform"}, None
-    for chosen in search_space(KNN):
-        if chosen["k"] >= data.train_rows:
-            continue
-        scores = []
-        for fold in range(FOLDS):
-            guess = knn_predict(marked.filter(F.col("__fold") != fold), marked.filter(F.col("__fold") == fold), data.task, **chosen)
-            metrics = classification_metrics(guess) if data.task == "classification" else regression_metrics(guess)
-            scores.append(metrics.first()["f1" if data.task == "classification" else "r2"])
-        score = sum(scores) / len(scores)
+    measure, main = (classification_metrics, "f1") if data.task == "classification" else (regression_metrics, "r2")
+    scores: dict[int, list[float]] = {i: [] for i in range(len(settings))}
+    for fold in range(FOLDS if settings else 0):
+        asked = train.filter(F.col("fold") == fold)
+        paired = settle(knn_paired(train.filter(F.col("fold") != fold), asked, max(s["k"] for s in settings)))
+        for i, chosen in enumerate(settings):
+            score = measure(knn_vote(paired, asked, data.task, **chosen)).first()[main]
+            scores[i] += [score] if score is not None else []
+    for i, chosen in enumerate(settings):
+        score = sum(scores[i]) / len(scores[i]) if scores[i] else 0.0
         if best_score is None or score > best_score:
             best, best_score = chosen, score
     return best
@@ -372,9 +430,15 @@ def ensemble_top2(done: Comparison) -> Trained:
     return Trained(ENSEMBLE, {"members": [t.name for t in top]}, rounded, None, guess)
 
 
-def first_predictions(predictions: DataFrame, n: int = 50) -> DataFrame:
-    """Actual against predicted of the first rows by key (ML17)."""
-    return predictions.orderBy("key").limit(n).select("key", "label", "prediction")
+def first_predictions(predictions: DataFrame, n: int = 50, codes: DataFrame | None = None) -> DataFrame:
+    """Actual against predicted of the first rows by key (ML17), as classes if their codes are given."""
+    first = predictions.orderBy("key").limit(n).select("key", "label", "prediction")
+    if codes is None:
+        return first
+    actual = codes.select(F.col("code").alias("label"), F.col("value").alias("__label"))
+    guessed = codes.select(F.col("code").alias("prediction"), F.col("value").alias("__prediction"))
+    named = first.join(actual, "label", "left").join(guessed, "prediction", "left")
+    return named.select("key", F.col("__label").alias("label"), F.col("__prediction").alias("prediction"))
 
 
 def compare_versions(spark: SparkSession, original: Comparison, repaired: Comparison) -> DataFrame:
@@ -389,6 +453,8 @@ def compare_versions(spark: SparkSession, original: Comparison, repaired: Compar
 def save_best(spark: SparkSession, done: Comparison, path: str) -> str:
     """Best model with its columns and scaling (ML13). A neighbour model is its training table."""
     best = done.best
+    if done.data.codes is not None:
+        done.data.codes.write.mode("overwrite").parquet(f"{path}/classes")
     info = {
         "name": best.name, "task": done.task, "columns": done.columns, "options": best.options,
         "scaling": {c: list(s) for c, s in done.scaling.items()} if best.name in SCALED else None,
@@ -402,6 +468,21 @@ def save_best(spark: SparkSession, done: Comparison, path: str) -> str:
     return best.name
 
 
+def save_comparison(spark: SparkSession, done: Comparison, path: str, dataset: str, version: str = "1") -> None:
+    """The registry entry of a training (SNK5): scores, failures and the best model of a dataset and version."""
+    place = f"version={version}/dataset={dataset}"
+    write_table(done.table(spark, dataset).drop("dataset"), f"{path}/scores/{place}")
+    write_table(done.failures(spark, dataset).drop("dataset"), f"{path}/failures/{place}")
+    write_table(done.importance_table(spark), f"{path}/importances/{place}")
+    save_best(spark, done, f"{path}/models/{place}")
+
+
+def registered_scores(spark: SparkSession, path: str) -> DataFrame:
+    """All scores of a registry: model, metric, value, version, dataset."""
+    schema = "model string, metric string, value double, version string, dataset string"
+    return spark.read.schema(schema).option("basePath", f"{path}/scores").parquet(f"{path}/scores")
+
+
 def predict_batch(
     df: DataFrame, path: str, repair: Repair | None = None, target_name: str | None = None, key: str | None = None
 ) -> DataFrame:
@@ -430,5 +511,8 @@ def predict_batch(
         guess = matrix.withColumn("key", F.col(f"__row.{key}")).join(found, "key")
     name = f"Predicted_{target_name}" if target_name else "Prediction"
     result = guess.select("__row.*", F.col("prediction").alias(name))
+    if info["task"] == "classification":
+        classes = spark.read.parquet(f"{path}/classes").select(F.col("code").alias("value"), F.col("value").alias("__class"))
+        result = attach_by_value(result, name, classes).withColumn(name, F.col("__class")).drop("__class")
     codes = repair.tables.get("target_codes") if repair else None
     return encode.decode_labels(result, name, codes) if codes is not None else result

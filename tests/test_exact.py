@@ -45,7 +45,7 @@ def test_near_copies_are_all_found(spark):
     weights = near_duplicates.term_weights(near_duplicates._folded(df, "id", ["text"]))
     dense = {}
     for r in weights.collect():
-        dense.setdefault(r["id"], {})[r["ord"]] = r["w"]
+        dense.setdefault(r["id"], {})[r["term"]] = r["w"]
     ids = sorted(dense)
     near = {}
     for a in ids:
@@ -55,10 +55,23 @@ def test_near_copies_are_all_found(spark):
                 near.setdefault(a, []).append(b)
     links = near_duplicates.near_links(weights, 0.97, block=4)
     assert {r["id"]: r["near_id"] for r in links.collect()} == {a: min(b) for a, b in near.items()}
+    assert all(abs(r["cosine"] - max(sum(w * dense[b].get(o, 0.0) for o, w in dense[r["id"]].items()) for b in near[r["id"]])) < 1e-9 for r in links.collect())
     kept = near_duplicates.drop_near_duplicates(df, "id", columns=["text"])
     assert kept.filter("text = 'w1 w2'").count() == 1
 
 
+def test_near_copies_count_rare_terms(spark):
+    """Rows that differ in a word of their own only are near copies if that word weighs little, whatever the vocabulary."""
+    common = " ".join(f"c{i}" for i in range(12))
+    df = spark.range(2500).selectExpr("id", f"concat('{common} own', id) as text")
+    assert near_duplicates.near_duplicate_rows(df, "id", ["text"]).count() == 0
+    few = near_duplicates.near_duplicate_rows(df, "id", ["text"], vocabulary=2000)
+    assert few.count() == 512  # without the rarest words 512 rows are equal
+    long = " ".join(f"c{i}" for i in range(3000))
+    df = spark.range(50).selectExpr("id", f"concat('{long} own', id) as text")
+    assert near_duplicates.near_duplicate_rows(df, "id", ["text"], block=8).filter("near_id = if(id = 0, 1, 0)").count() == 50
+
+
 def test_quantiles_by_brackets(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "DIRECT_CELLS", 0)
     monkeypatch.setattr(quantiles, "READ_LIMIT", 20)

@@ -45,6 +45,56 @@ def test_relabel_mends_planted_labels(spark):
     assert mended.filter("y <> id % 3").count() == 0
 
 
+@pytest.mark.parametrize("low", [-1, 100_000])
+def test_any_numbers_are_classes(spark, low, tmp_path):
+    """Labels -1 and 1, or 100000 and 100007, are two classes, and predictions come back as such."""
+    df = spark.range(120).selectExpr("id", "(id % 2) * 9D + id % 4 as x", f"cast({low} + (id % 2) * {2 if low < 0 else 7} as int) as y")
+    done = training.train_and_compare(df, "y", "id", [training.TREE, training.LOGISTIC], options={training.TREE: {"maxDepth": 3}})
+    assert done.data.classes == 2 and not done.failed and done.best.scores["accuracy"] == 1.0
+    training.save_best(spark, done, str(tmp_path / "best"))
+    predicted = training.predict_batch(df.drop("y"), str(tmp_path / "best"), target_name="y")
+    assert predicted.join(df, "id").filter("y <> Predicted_y").count() == 0
+    first = training.first_predictions(done.best.predictions, 5, done.data.codes)
+    assert first.filter("label <> prediction").count() == 0 and {r["label"] for r in first.collect()} <= {low, low + (2 if low < 0 else 7)}
+
+
+def test_failing_model_is_a_row(spark, tmp_path):
+    df = spark.range(80).selectExpr("id", "(id % 2) * 9D + id % 4 as x", "concat('t', id) as words", "cast(id % 2 as int) as y")
+    wrong = {training.TREE: {"maxDepth": -1}, training.LOGISTIC: {"maxIter": 10}}
+    done = training.train_and_compare(df, "y", "id", [training.TREE, training.LOGISTIC, training.KNN], options=wrong)
+    assert list(done.failed) == [training.TREE] and {t.name for t in done.trained} == {training.LOGISTIC, training.KNN, training.ENSEMBLE}
+    assert done.table(spark).filter("metric = 'failed'").collect()[0]["model"] == training.TREE
+    training.save_comparison(spark, done, str(tmp_path / "r"), "original", "3")
+    scores = training.registered_scores(spark, str(tmp_path / "r"))
+    assert scores.filter("version = '3' and dataset = 'original'").count() == done.table(spark).count()
+    listed = done.failures(spark).collect()
+    assert sorted((r["kind"], r["name"]) for r in listed) == [("column", "words"), ("model", training.TREE)]
+    done.release()
+
+
+def test_search_shares_folds(spark, monkeypatch):
+    """Three fits a setting and one for the model; one neighbour search a fold."""
+    df = spark.range(90).selectExpr("id", "(id % 3) * 9D + id % 5 as x", "cast(id % 3 as int) as y")
+    fits, searches = [], []
+    real, pairs = training.estimator, training.knn_paired
+    monkeypatch.setattr(training, "estimator", lambda *a, **o: (fits.append(a), real(*a, **o))[1])
+    monkeypatch.setattr(training, "knn_paired", lambda train, asked, k: (searches.append(k), pairs(train, asked, k))[1])
+    done = training.train_and_compare(df, "y", "id", [training.TREE, training.KNN], search=True, balance=False)
+    assert not done.failed and len(fits) == training.SEARCH_SIZE * training.FOLDS + 1
+    folds = searches[: training.FOLDS]
+    assert len(searches) == training.FOLDS + 2 and set(folds) == {max(s["k"] for s in training.search_space(training.KNN))}
+
+
+def test_longer_lists_answer_every_k(spark):
+    df = spark.range(200).selectExpr("id as key", "array(cast(id * 37 % 101 as double), cast(id % 7 as double)) as vec", "cast(id % 3 as double) as label")
+    base, asked = df.filter("key % 4 <> 0"), df.filter("key % 4 = 0")
+    long = training.knn_paired(base, asked, 11)
+    for k in (1, 3, 7):
+        for weights in ("uniform", "distance"):
+            one = training.knn_vote(long, asked, "classification", k, weights).orderBy("key").collect()
+            assert one == training.knn_predict(base, asked, "classification", k, weights).orderBy("key").collect()
+
+
 def test_menu():
     assert training.KNN in training.model_menu("classification")
     with pytest.raises(ValueError):

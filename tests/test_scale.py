@@ -1,5 +1,6 @@
 """The paths that only large tables take, with small tasks: salts, many classes, draws in blocks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,43 @@ def test_two_rows_make_a_class(spark, monkeypatch):
     assert made.count() == 116 and made.filter("vec[0] < 0 or vec[0] > 1").count() == 0
 
 
+@pytest.mark.parametrize("classes", [1_001, 20_000])
+def test_many_classes_are_balanced(spark, classes):
+    df = spark.range(3 * classes).selectExpr("id", f"id % {classes} as label", "array(cast(id * 7 % 11 as double), cast(id % 13 as double)) as vec")
+    df = df.filter(f"label < 5 or id < {2 * classes}")
+    made = resample.smote(df, "id").groupBy("label").agg(F.count("*").alias("n"))
+    assert made.filter("n <> 1 or label < 5").count() == 0 and made.count() == classes - 5
+
+
+def test_balance_removes_links_of_the_union(spark):
+    """SMOTE fills the classes, then both rows of every pair of mutual nearest rows under two labels go, synthetic ones too."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(i % 5 == 0), [float(v) for v in rng.normal(i % 5 == 0, 1.0, 2)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, label double, vec array<double>")
+    made = resample.smote(df, "id").collect()
+    union = [(label, vec, i, None) for i, label, vec in rows] + [(r["label"], r["vec"], r["source"], r["draw"]) for r in made]
+    assert sum(u[0] == 1 for u in union) == 120
+    x, y = np.array([u[1] for u in union]), np.array([u[0] for u in union])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = d.argmin(1)
+    linked = {i for i in range(len(union)) if near[near[i]] == i and y[i] != y[near[i]]}
+    left = sorted((u[0], u[2], u[3] or 0) for i, u in enumerate(union) if i not in linked)
+    kept = resample.balance(df, "id").collect()
+    assert linked and sorted((r["label"], r["source"], r["draw"]) for r in kept) == left
+    data = training.prepare(spark.createDataFrame([(i, v[0], v[1], y) for i, y, v in rows], "id long, a double, b double, y double"), "y", "id")
+    assert data.balanced and data.train_rows < 2 * data.train.filter("label = 0").count()
+
+
+def test_many_classes_train_balanced(spark):
+    """Over 1,000 classes training is balanced like any other."""
+    df = spark.range(4400).selectExpr("id", "if(id < 4004, id % 1001, 7) as y", "(id % 1001) * 1D as x")
+    data = training.prepare(df, "y", "id", task="classification")
+    assert data.balanced and data.classes == 1001
+    sizes = data.fitted_on.groupBy("label").count()
+    assert sizes.agg({"count": "min"}).first()[0] > 3
+
+
 def test_text_targets_train(spark):
     df = spark.range(200).selectExpr("id", "(id % 2) * 10D + id % 3 as x", "element_at(array('no', 'yes'), cast(id % 2 + 1 as int)) as y")
     done = training.train_and_compare(df, "y", "id", training.TREE, options={training.TREE: {"maxDepth": 3}})
