@@ -6,14 +6,14 @@ chunks of a language and how often each was parsed are the dictionary. Everythin
 phrase belongs to the chunk in which it starts before the last trigger, so an overlap counts once, and as phrases have at
 most five words, none is cut.
 
-Phrases are counted by hash one length after the other, only such whose two shorter parts are frequent; those that reach
-the least count by hash are then counted by their words.
+Phrases are counted one length after the other by a 64-bit hash of language and words, only such whose two shorter parts
+are frequent. Each count carries one chunk that holds the phrase, from which the words of the frequent ones are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sieve import bitmap, marked
+from .sieve import bitmap, marked, sieve
 from .store import written
 from .words import LOWER, MIX_2, Words, mix, slices, spread
 from .worker import frugal
@@ -103,7 +103,7 @@ def _total(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @frugal()
 def _count(batches: Iterator[pa.RecordBatch], length: int, shorter: Broadcast | None) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the phrases of a length that may be frequent by those one word shorter."""
+    """(key, n, id) of the phrases of a length that may be frequent by those one word shorter."""
     for batch in batches:
         for part in slices(batch, "chunk", AT_ONCE):
             places = Places(part)
@@ -113,39 +113,34 @@ def _count(batches: Iterator[pa.RecordBatch], length: int, shorter: Broadcast |
                 known = np.zeros(len(halves), bool)
                 known[:] = marked(shorter, halves)
                 ok &= known[: len(ok)] & known[1:][: len(ok)]
-            ok &= places.own[: len(ok)]
-            first, n = _total(keys[ok].view(np.int64), places.weight[: len(ok)][ok])
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[ok].view(np.int64)[first]), "n": pa.array(n)})
+            at = np.flatnonzero(ok & places.own[: len(ok)])
+            keys = keys[at].view(np.int64)
+            first, n = _total(keys, places.weight[at])
+            ids = part.column("id").to_numpy()[places.row[at[first]]]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[first]), "n": pa.array(n), "id": pa.array(ids)})
 
 
 @frugal()
-def _texts(batches: Iterator[pa.RecordBatch], shared: list[Broadcast]) -> Iterator[pa.RecordBatch]:
-    """(lang, size, phrase, a) of the phrases whose hash may be frequent."""
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, size, phrase, a): the words of the phrases listed (key, size, n) beside the chunks that hold them."""
     for batch in batches:
         for part in slices(batch, "chunk", AT_ONCE):
-            places = Places(part)
-            for length, bits in enumerate(shared, 1):
-                keys, ok = places.phrases(length)
-                ok &= places.own[: len(ok)]
-                at = np.flatnonzero(ok)
-                at = at[marked(bits, keys[at].view(np.int64))]
-                # equal by two hashes of the words, so only phrases that are equal are added up here
-                other = spread(mix(places.words.hash), length)[at]
-                order = np.lexsort((other, keys[at]))
-                at, one, two = at[order], keys[at][order], other[order]
-                begins = np.ones(len(at), bool)
-                begins[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-                head = np.flatnonzero(begins)
-                n = np.add.reduceat(places.weight[at], head) if len(head) else places.weight[:0]
-                texts = [places.words.text(k, k + length).decode() for k in at[head].tolist()]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": pa.array([places.langs[k] for k in places.row[at[head]].tolist()], pa.string()),
-                        "size": pa.array(np.full(len(head), length, np.int32)),
-                        "phrase": pa.array(texts, pa.string()),
-                        "a": pa.array(n.astype(np.int64)),
-                    }
-                )
+            places, out = Places(part), []
+            lists = part.column("wanted")
+            row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+            key, size, n = (lists.flatten().field(k).to_numpy() for k in range(3))
+            for length in np.unique(size).tolist():
+                mine = np.flatnonzero(size == length)
+                hashes, ok = places.phrases(length)
+                at = np.flatnonzero(ok & places.own[: len(ok)])
+                at = at[np.isin(hashes[at].view(np.int64), key[mine])]
+                found = dict(zip(zip(places.row[at].tolist(), hashes[at].view(np.int64).tolist(), strict=True), at.tolist(), strict=True))
+                for r, k, a in zip(row[mine].tolist(), key[mine].tolist(), n[mine].tolist(), strict=True):
+                    place = found[r, k]
+                    out.append((places.langs[r], length, places.words.text(place, place + length).decode(), a))
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "size", "phrase", "a"])
 
 
 def dictionary(docs: DataFrame, most: int = 5) -> DataFrame:
@@ -157,14 +152,22 @@ def dictionary(docs: DataFrame, most: int = 5) -> DataFrame:
 
 
 def frequent(chunks: DataFrame, least: int, most: int) -> DataFrame:
-    """(lang, size, phrase, a): the phrases of 1 to ``most`` words with at least ``least`` occurrences in a language."""
-    shared: list[Broadcast] = []
+    """(lang, size, phrase, a): the phrases of 1 to ``most`` words with at least ``least`` occurrences in a language.
+
+    ``chunks``: the dictionary with an ``id`` of each chunk.
+    """
+    shared: Broadcast | None = None
+    counted = []
     for length in range(1, most + 1):
-        made = chunks.mapInArrow(partial(_count, length=length, shorter=shared[-1] if shared else None), "key bigint, n bigint")
-        keys = made.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        shared.append(bitmap(keys.select("key")))
-    texts = chunks.mapInArrow(partial(_texts, shared=shared), "lang string, size int, phrase string, a bigint")
-    return texts.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+        made = chunks.mapInArrow(partial(_count, length=length, shorter=shared), "key bigint, n bigint, id bigint")
+        keys = made.groupBy("key").agg(F.sum("n").alias("n"), F.min("id").alias("id")).filter(F.col("n") >= least)
+        keys = written(keys.withColumn("size", F.lit(length)), "phrases")
+        counted.append(keys)
+        shared = bitmap(keys.select("key"))
+    wanted = reduce(DataFrame.unionByName, counted).groupBy("id").agg(F.collect_list(F.struct("key", "size", "n")).alias("wanted"))
+    # a row a chunk that was named, the others need not move
+    holding = chunks.filter(sieve(wanted, "id")(F.col("id"))).withColumn("n", F.lit(1).cast("long"))
+    return holding.join(wanted, "id").mapInArrow(_named, "lang string, size int, phrase string, a bigint")
 
 
 def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2000) -> DataFrame:
@@ -177,7 +180,8 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 20
     one with as many occurrences is dropped. Ties of the score go to the greater a, then to the phrase in byte order. A
     null text is empty, a null language is ``und``; repeated rows count each. No text gives no rows.
     """
-    chunks = written(dictionary(docs, most), "dictionary")
+    # the ids are written with the chunks, so every later pass sees the same
+    chunks = written(dictionary(docs, most).withColumn("id", F.monotonically_increasing_id()), "dictionary")
     known = written(frequent(chunks, least, most), "phrases")
     counted = known.select("lang", "phrase", "a")
     longer = known.filter("size > 1")
