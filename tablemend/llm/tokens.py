@@ -1,10 +1,11 @@
 """Token ids of whole texts with a byte-level vocabulary of the tokenizers library.
 
-A byte-level tokenizer merges within pre-tokens only, and a pre-token never crosses the gap before a blank that
-precedes other text. Texts are cut at such gaps, a piece into its pre-tokens, and each of these goes through the library's
-model once while a worker remembers it; a text's ids are its pieces' ids in a row. Texts for which that does not hold
-(added tokens, control separators that the regular expression dialects class differently), pieces beyond Latin letters,
-which may be of another Unicode version, and other kinds of tokenizer are encoded by the library as they stand.
+A byte-level tokenizer merges within pre-tokens only. Texts of Latin letters are cut into pre-tokens, and each distinct one
+goes through the library's model once while a worker remembers it; a text's ids are its pre-tokens' ids in a row. Other
+texts, whose letters may be of another Unicode version here and there, are cut at the gaps before a blank that precedes
+other text, which no pre-token crosses, and the library encodes the distinct pieces. Texts for which that does not hold
+(added tokens, control separators that the regular expression dialects class differently) and other kinds of tokenizer are
+encoded by the library as they stand.
 """
 
 from __future__ import annotations
@@ -12,18 +13,18 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
-import regex
 
 from .worker import held
 
 #: A blank with what follows, white space before the last blank of a gap, other white space.
 PIECES = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
-#: Fixed value: the pre-tokens of byte-level vocabularies.
-WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-FOREIGN = re.compile("[^\x00-\u024f]")
+#: Fixed value: the pre-tokens of byte-level vocabularies, for the characters that are not ``FOREIGN``.
+WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Beyond Latin letters and common punctuation, or numbers that are words here and digits there.
+FOREIGN = re.compile("[^\x00-\u024f\u2010-\u2027]|[\xb2\xb3\xb9\xbc-\xbe]")
 
 
 def byte_letters() -> dict[int, str]:
@@ -33,21 +34,37 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class Encoder:
-    """Encode texts to little-endian unsigned 32-bit ids.
+class Known(dict):
+    """Values made on demand and kept in two generations: a full young one becomes the old one, a hit there moves up."""
+
+    def __init__(self, make: Callable[[str], bytes], keep: int) -> None:
+        super().__init__()
+        self.make, self.keep = make, keep
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.keep:
+            self.old = dict(self)
+            self.clear()
 
-    The ids of recently used pieces are kept in two generations of about ``keep``: a full young one becomes the old one, and
-    a hit in the old one moves the piece up, so frequent pieces stay.
-    """
+
+class Encoder:
+    """Encode texts to little-endian unsigned 32-bit ids; about ``keep`` recent words and pieces are remembered, twice."""
 
     def __init__(self, path: str, keep: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.keep = self.tokenizer.model, keep
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words, self.pieces = Known(self.word, keep), Known(self.whole, keep // 4)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
@@ -73,37 +90,22 @@ class Encoder:
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
         return b"".join([self.raw[t.id] for t in tokens])
 
-    def piece(self, piece: str) -> bytes:
-        if not piece.isascii() and FOREIGN.search(piece):
-            return self.whole(piece)
-        if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()):
-            return self.word(piece)
-        out = []
-        for word in WORDS.findall(piece):
-            value = self.young.get(word) or self.old.get(word) or self.word(word)
-            self.young[word] = value
-            out.append(value)
-        return b"".join(out)
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Have all ``pieces`` in the young generation."""
-        if len(self.young) > self.keep:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        for piece in pieces:
-            if piece not in young:
-                young[piece] = old.get(piece) or self.piece(piece)
-
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         if not self.by_piece:
             return [self.whole(t or "") for t in texts]
-        out = []
-        for at in range(0, len(texts), 64):
-            cut = [None if t and self.odd.search(t) else PIECES.findall(t or "") for t in texts[at : at + 64]]
-            self.learn(set().union(*(c for c in cut if c)))
-            get = self.young.__getitem__
-            out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[at : at + 64], cut, strict=True)]
+        out, join = [], b"".join
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif self.odd.search(text):
+                out.append(self.whole(text))
+            elif text.isascii() or not FOREIGN.search(text):
+                out.append(join(map(self.words.__getitem__, WORDS.findall(text))))
+                self.words.turn()
+            else:
+                out.append(join(map(self.pieces.__getitem__, PIECES.findall(text))))
+                self.pieces.turn()
         return out
 
 

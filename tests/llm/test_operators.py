@@ -49,6 +49,8 @@ def test_encoder_equals_whole_texts():
     random.seed(4)
     letters = "ab C'\n\t  .,1é日\xa0\x85 s"
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(800)]
+    letters = "ab'strem12²½_-é—“…\u2028 \n日ªº.,"
+    texts += ["".join(random.choice(letters) for _ in range(random.randint(0, 30))) for _ in range(2000)]
     texts += ["it's  we'll\n\n x", " <|endoftext|> a", "a\x1cb \x1d c", "", None, "\n a", "a \n"]
     encode = Encoder(default_vocabulary(), keep=50)
     assert [np.frombuffer(r, "<u4").tolist() for r in encode(texts)] == [ids_of(t) for t in texts]
