@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, schema
 from ..operators import audit, diagnose, extra, impute, outliers, profile, quality
-from ..plans.diagnosis import DiagnosisOptions, diagnose_table, report_table
+from ..plans.diagnosis import diagnose_table, report_table
 from ..plans.policy import policy_for
 from ..plans.repair import fit_repair
 from .registry import damaged_sql, defective, register, table, union_sql
@@ -37,25 +37,36 @@ ORDER_METRICS = (
       (select sum(n) from o) as beyond, (select max(n) / min(n)::double from k) as ratio,
       (select count(*) from q where abs(g) > 1) as skewed)"""
 )
+# Confident learning on the labels of the five nearest other rows; missing prices are 0, statuses are coded in text order.
+ORDER_APART = " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in "abcs")
+ORDER_NOISE = f""", nx as (select row_number() over () as id, o_orderpriority as given, o_orderkey::double as a, o_custkey::double as b,
+      coalesce(o_totalprice, 0)::double as c, (dense_rank() over (order by o_orderstatus) - 1)::double as s from d),
+    ns as (select id, given, {', '.join(f'({c} - avg({c}) over ()) / stddev_pop({c}) over () as {c}' for c in 'abcs')} from nx),
+    nn as (select x.id, x.given, unnest(arg_min(y.given, {ORDER_APART}, 5)) as voted from ns x join ns y on x.id <> y.id group by x.id, x.given),
+    np as (select id, given, voted, count(*) / 5.0::double as p from nn group by all),
+    nl as (select ns.given as label, coalesce(sum(np.p), 0) / count(*) as lim from ns left join np on np.id = ns.id and np.voted = ns.given
+      group by ns.given),
+    nc as (select given, voted from np join nl on nl.label = np.voted where p >= lim
+      qualify row_number() over (partition by id order by p desc, voted) = 1),
+    noise as (select count(*) as noisy from nc where given <> voted)"""
+# An isolation forest finds some rows in any table of this size, so outliers are raised whatever their share.
 ORDER_ISSUES = (
     ORDER_METRICS
+    + ORDER_NOISE
     + """, i as (select 'Missing Values' as type, missing / (rows * columns)::double as score, 0.05 as lo, 0.2 as hi from m
     union all select 'Class Imbalance', ratio, 5, 20 from m
     union all select 'Redundancy', copies / rows::double, 0.05, 0.15 from m
-    union all select 'Outliers', beyond / (rows * numbers)::double, 0.1, 0.25 from m
+    union all select 'Outliers', beyond / (rows * numbers)::double, -1, 0.25 from m
+    union all select 'Label Noise', noisy / rows::double, 0.1, 0.2 from m, noise
     union all select 'Distribution Skew', skewed / numbers::double, 0, 0.5 from m),
     issues as (select type, case when score > hi then 'High' else 'Medium' end as severity, round(score, 6) as score
     from i where score > lo)"""
 )
 
 
-# the checks that the SQL beside them can count; full_diagnosis and report_table run all of them
-COUNTED = DiagnosisOptions(near_duplicates=False, isolation=False, label_noise=False)
-
-
 @register("issue_list", ORDER_ISSUES + " select type, severity, score from issues")
 def issue_list(spark, folder):
-    found = diagnose_table(defective(spark, folder, "orders"), options=COUNTED)
+    found = diagnose_table(defective(spark, folder, "orders"))
     return found.issues.withColumn("score", F.round("score", 6))
 
 
@@ -68,7 +79,7 @@ def issue_list(spark, folder):
     coalesce(bool_or(type = 'Distribution Skew'), false) as distribution_skew from issues""",
 )
 def issue_taxonomy(spark, folder):
-    return diagnose.issue_taxonomy(diagnose_table(defective(spark, folder, "orders"), options=COUNTED).issues)
+    return diagnose.issue_taxonomy(diagnose_table(defective(spark, folder, "orders")).issues)
 
 
 @register(
@@ -86,7 +97,7 @@ def issue_taxonomy(spark, folder):
     from s""",
 )
 def quality_score(spark, folder):
-    scores = quality.quality_scores(diagnose_table(defective(spark, folder, "orders"), options=COUNTED).metrics)
+    scores = quality.quality_scores(diagnose_table(defective(spark, folder, "orders")).metrics)
     rounded = ("missing_penalty", "duplicate_penalty", "quality_score")
     return scores.withColumns({c: F.round(c, 6) for c in rounded})
 
@@ -100,7 +111,7 @@ def quality_score(spark, folder):
     select r.type as issue, strategy, rationale from issues join r on issues.type = r.type""",
 )
 def interventions(spark, folder):
-    return quality.interventions(diagnose_table(defective(spark, folder, "orders"), options=COUNTED).issues)
+    return quality.interventions(diagnose_table(defective(spark, folder, "orders")).issues)
 
 
 @register(
@@ -115,20 +126,20 @@ def interventions(spark, folder):
     union all select 'weakness', 'Critical ' || type || ' detected (Severity: High)' from issues where severity = 'High'""",
 )
 def strengths_and_weaknesses(spark, folder):
-    found = diagnose_table(defective(spark, folder, "orders"), options=COUNTED)
+    found = diagnose_table(defective(spark, folder, "orders"))
     return quality.strengths_and_weaknesses(found.metrics, found.issues)
 
 
 @register("report_table")
 def report(spark, folder):
-    customers = defective(spark, folder, "customer")
-    return report_table(customers, diagnose_table(customers))
+    orders = defective(spark, folder, "orders")
+    return report_table(orders, diagnose_table(orders))
 
 
 @register("full_diagnosis")
 def full_diagnosis(spark, folder):
     """The counts of all checks, those of rows against rows included."""
-    return diagnose_table(defective(spark, folder, "customer"), options=DiagnosisOptions(key="c_custkey")).metrics
+    return diagnose_table(defective(spark, folder, "orders")).metrics
 
 
 FILLED = ["l_quantity", "l_discount", "l_tax"]
@@ -183,7 +194,7 @@ def quality_gates(spark, folder):
 def issues_resolved(spark, folder):
     before = defective(spark, folder, "orders")
     after = before.dropDuplicates()
-    return quality.issues_resolved(diagnose_table(before, options=COUNTED).issues, diagnose_table(after, options=COUNTED).issues)
+    return quality.issues_resolved(diagnose_table(before).issues, diagnose_table(after).issues)
 
 
 @register(

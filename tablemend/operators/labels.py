@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import col, missing
 from ..functions.schema import numeric_columns, quoted, target_of, text_columns
+from ..session import settle
 from .encode import fit_codes, encode_with
 from .features import scale, scale_statistics
 from .neighbours import attach_neighbours, nearest, vector
@@ -46,6 +49,10 @@ def neighbour_votes(
     found = nearest(labelled, base, k + (1 if exclude_self else 0), payload=["__near"], **options)
     paired = attach_neighbours(labelled, found, key, exclude_self, k)
     votes = paired.groupBy(key, F.col("__near").alias("voted")).agg(F.count(F.lit(1)).alias("n"))
+    return _shares(votes, labelled, key)
+
+
+def _shares(votes: DataFrame, labelled: DataFrame, key: str) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy(key))
     given = labelled.select(col(key).alias(key), F.col("label").alias("given"))
     return votes.withColumn("share", F.col("n") / total).join(given, key).select(key, "given", "voted", "share")
@@ -56,20 +63,37 @@ def label_noise(labelled: DataFrame, key: str, k: int = NEIGHBOURS, exclude_self
 
     The row itself votes unless ``exclude_self``.
     """
-    votes = neighbour_votes(labelled, key, k, exclude_self, **options)
+    return _outvoted(neighbour_votes(labelled, key, k, exclude_self, **options), key)
+
+
+def _outvoted(votes: DataFrame, key: str) -> DataFrame:
     best = votes.groupBy(key).agg(
         F.any_value("given").alias("given"), F.min(F.struct((-F.col("share")).alias("s"), "voted")).alias("best")
     )
     return best.select(key, "given", F.col("best.voted").alias("voted")).filter(F.col("given") != F.col("voted"))
 
 
-def label_noise_report(df: DataFrame, target: str, key: str, task: str, **options) -> tuple[str, int | None]:
-    """Method and count; a continuous target and tables of ten rows or fewer do not apply."""
+def label_noise_report(df: DataFrame, target: str, key: str, task: str, k: int = NEIGHBOURS, **options) -> tuple[str, int | None]:
+    """Method and count; a continuous target and tables of ten rows or fewer do not apply.
+
+    Confident learning comes first, on the label shares of the nearest other rows: a row has no say in its own
+    probabilities, whatever the number of classes. Where it finds nothing, the vote of the nearest rows counts, the row
+    itself among them. One neighbour search serves both.
+    """
     target = target_of(df, target)
     if task == "regression" or df.limit(FEWEST_ROWS + 1).count() <= FEWEST_ROWS:
         return "not_applicable", None
-    present = df.filter(~missing(target, df.schema[target].dataType))
-    return "knn_vote", label_noise(neighbour_features(present, target, key), key, **options).count()
+    labelled = settle(neighbour_features(df.filter(~missing(target, df.schema[target].dataType)), target, key))
+    base = labelled.select(F.col("vec"), col(key).alias("id"), F.col("label").alias("__near"))
+    found = settle(nearest(labelled, base, k + 1, payload=["__near"], **options))
+
+    def votes(exclude_self: bool) -> DataFrame:
+        paired = attach_neighbours(labelled, found.filter((F.col("place") <= k) | F.lit(exclude_self)), key, exclude_self, k)
+        return _shares(paired.groupBy(key, F.col("__near").alias("voted")).agg(F.count(F.lit(1)).alias("n")), labelled, key)
+
+    shares = votes(True).select(key, "given", F.col("voted").alias("label"), F.col("share").alias("p"))
+    issues = confident_label_issues(shares, key).count()
+    return ("confident_learning", issues) if issues else ("knn_vote", _outvoted(votes(False), key).count())
 
 
 def confident_label_issues(probabilities: DataFrame, key: str) -> DataFrame:
@@ -103,6 +127,18 @@ def confident_joint(probabilities: DataFrame, key: str) -> DataFrame:
     return issues.groupBy("given", "likely").agg(F.count(F.lit(1)).alias("n"))
 
 
+def class_index(df: DataFrame, target: str) -> DataFrame:
+    """(value, code): the classes of a target of any type, in order from 0. A missing label is no class."""
+    classes = df.filter(~missing(target, df.schema[target].dataType)).groupBy(col(target).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # one row a class: the only global order is over these
+    return settle(classes.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("double").alias("code")))
+
+
+def fold_of(key: str, folds: int = FOLDS) -> Column:
+    """The fold of a row, by key: the same for every model and setting."""
+    return F.pmod(F.xxhash64(col(key)), F.lit(folds)).cast("int")
+
+
 def forest_probabilities(
     df: DataFrame, features: list[str], target: str, key: str, folds: int = FOLDS, trees: int = 50, depth: int = 5
 ) -> DataFrame:
@@ -113,32 +149,49 @@ def forest_probabilities(
     ready = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(
         df.select(quoted(key), col(target).cast("double").alias("__y"), *[quoted(c) for c in features]).fillna(0, features)
     )
-    marked = ready.withColumn("__fold", F.pmod(F.xxhash64(col(key)), F.lit(folds)))
+    marked = ready.withColumn("__fold", fold_of(key, folds))
     parts = []
     for fold in range(folds):
-        forest = RandomForestClassifier(
-            featuresCol="__x", labelCol="__y", numTrees=trees, maxDepth=depth, seed=42
-        ).fit(marked.filter(F.col("__fold") != fold))
-        parts.append(forest.transform(marked.filter(F.col("__fold") == fold)))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return scored.select(
+        part, rest = marked.filter(F.col("__fold") == fold), marked.filter(F.col("__fold") != fold)
+        if part.isEmpty() or rest.isEmpty():
+            continue
+        forest = RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=trees, maxDepth=depth, seed=42).fit(rest)
+        parts.append(forest.transform(part))
+    return reduce(DataFrame.unionByName, parts).select(
         quoted(key), F.col("__y").cast("int").alias("given"), F.posexplode(vector_to_array("probability")).alias("label", "p")
     )
 
 
-def relabel(df: DataFrame, features: list[str], target: str, key: str, classes: int, **options) -> DataFrame:
+def relabelled(df: DataFrame, features: list[str], target: str, key: str, **options) -> DataFrame:
+    """(key, given, likely) of the rows whose label is a confident issue: the class they were given and the likely one.
+
+    Labels of any type; 2 to 19 classes, else no rows. Features are numeric columns. Rows without a label have no issue.
+    """
+    codes = class_index(df, target)
+    kind = df.schema[target].dataType
+    if not 1 < codes.count() < 20 or not features:
+        return df.select(col(key).alias(key), col(target).alias("given"), col(target).alias("likely")).limit(0)
+    present = df.filter(~missing(target, kind)).select(col(key).alias(key), col(target).alias("value"), *[quoted(c) for c in features])
+    coded = settle(present.join(F.broadcast(codes), "value"))  # fewer than 20 rows
+    issues = confident_label_issues(forest_probabilities(coded, features, "code", key, **options), key)
+    named = issues.select(key, F.col("given").cast("double").alias("code"), F.col("likely").cast("double").alias("__other"))
+    named = named.join(F.broadcast(codes.withColumnRenamed("value", "given")), "code")
+    other = codes.select(F.col("code").alias("__other"), F.col("value").alias("likely"))
+    return named.join(F.broadcast(other), "__other").select(key, "given", "likely")
+
+
+def relabel(
+    df: DataFrame, features: list[str], target: str, key: str, classes: int | None = None, *, fixes: DataFrame | None = None, **options
+) -> DataFrame:
     """Set the label of every confident issue to the likely label of the same row (LBL2).
 
-    Applies to 2 to 19 classes; the target holds class codes.
+    ``classes`` spares nothing but the search where it is known not to be 2 to 19.
     """
-    if not 1 < classes < 20:
+    if classes is not None and not 1 < classes < 20:
         return df
-    issues = confident_label_issues(forest_probabilities(df, features, target, key, **options), key)
-    fixes = issues.select(key, F.col("likely").cast(df.schema[target].dataType).alias("__likely"))
+    fixes = relabelled(df, features, target, key, **options) if fixes is None else fixes
     return (
-        df.join(fixes, key, "left")
+        df.join(fixes.select(key, F.col("likely").alias("__likely")), key, "left")
         .withColumn(target, F.coalesce("__likely", col(target)))
         .select(*[quoted(c) for c in df.columns])
     )

@@ -27,6 +27,7 @@ class RepairPolicy:
     normalization_method: str = "standard"
     skew_threshold: float = 1.0
     numeric_imputation: str = "auto"
+    correct_label_noise: bool = False
 
     def merge(self, **changes) -> RepairPolicy:
         unknown = set(changes) - {f.name for f in fields(self)}

@@ -12,12 +12,12 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import col, drop_empty_rows, missing, normalise, number_literal, require_rows, text_to_number
 from ..functions.schema import is_numeric, is_text, numeric_columns, quoted, target_of, text_columns
-from ..operators import encode, extra, features, impute, outliers, quality
+from ..operators import encode, extra, features, impute, labels, outliers, quality, roles
 from ..operators.correlate import redundant_pairs
 from ..operators.lookup import attach_by_value, value_salts, join_spread, value_counts
 from ..operators.neighbours import MARK, marked, nearest, vector
@@ -28,6 +28,10 @@ from ..session import settle
 from .policy import RepairPolicy, policy_for
 
 
+#: Rows that lags and the rolling mean look back.
+LAG_ROWS = 3
+
+
 @dataclass
 class Step:
     kind: str
@@ -48,8 +52,11 @@ class Repair:
 
     def apply(self, df: DataFrame, with_target: bool = True) -> DataFrame:
         """Repair another table with the fitted statistics. Without a target, steps on the target and
-        steps that drop rows are left out."""
+        steps that drop rows are left out; lags go on from the last rows of the fitted table."""
         for step in self.steps:
+            if not with_target and step.kind == "lags":
+                df = _later_lags(df, step.args, self.tables)
+                continue
             if not with_target and (step.args.get("on_target") or step.kind in ("drop_duplicates", "drop_empty_rows")):
                 continue
             df = _apply(df, step, self.tables)
@@ -165,12 +172,43 @@ def _codes(df, args, tables):
     return encode.encode_with(df, c, tables[args["table"]]).select(*[quoted(n) for n in df.columns])
 
 
-def _lags(df, args, tables):
+def _lagged(df: DataFrame, args: dict) -> DataFrame:
     target = args["target"]
     # earlier rows only: a row's own target is not among its features
-    names = {f"{target}_lag_1": ("lag", 1, 0), f"{target}_lag_2": ("lag", 2, 0), f"{target}_rolling_mean_3": ("avg", -3, -1)}
-    added = features.with_lookback(df, args["order_by"], args["entity"], 3, names, target)
-    return added.withColumns({n: F.coalesce(col(n).cast("double"), F.lit(args["median"])) for n in names})
+    names = {f"{target}_lag_1": ("lag", 1, 0), f"{target}_lag_2": ("lag", 2, 0), f"{target}_rolling_mean_3": ("avg", -LAG_ROWS, -1)}
+    return features.with_lookback(df, args["order_by"], args["entity"], LAG_ROWS, names, target)
+
+
+def _lag_fills(df: DataFrame, args: dict) -> DataFrame:
+    names = [f"{args['target']}_{part}" for part in ("lag_1", "lag_2", "rolling_mean_3")]
+    return df.withColumns({n: F.coalesce(col(n).cast("double"), F.lit(args["median"])) for n in names})
+
+
+def _lags(df, args, tables):
+    return _lag_fills(_lagged(df, args), args)
+
+
+def _later_lags(df: DataFrame, args: dict, tables: dict[str, DataFrame]) -> DataFrame:
+    """Lags of rows that come after the training table: its last rows per entity go in front of them, and known targets of
+    the new rows are rolled on."""
+    target, names = args["target"], [*args["order_by"], *args["entity"]]
+    absent = [c for c in names if c not in df.columns]
+    if absent or args.get("table") not in tables:
+        return df
+    given = df if target in df.columns else df.withColumn(target, F.lit(None).cast("double"))
+    state = tables[args["table"]].select(*[quoted(c) for c in names], quoted(target), F.lit(True).alias("__past"))
+    both = given.withColumn("__past", F.lit(False)).unionByName(state, allowMissingColumns=True)
+    added = _lag_fills(_lagged(both, args), args).filter(~F.col("__past")).drop("__past")
+    return added if target in df.columns else added.drop(target)
+
+
+def lag_state(df: DataFrame, target: str, order_by: list[str], entity: list[str]) -> DataFrame:
+    """The last rows of each entity by the order keys: keys, entity and target, as many as lags look back."""
+    rows = df.select(*[quoted(c) for c in [*order_by, *entity]], quoted(target))
+    if not entity:
+        return rows.orderBy(*[col(c).desc() for c in order_by]).limit(LAG_ROWS)
+    last = Window.partitionBy(*[col(c) for c in entity]).orderBy(*[col(c).desc() for c in order_by])
+    return rows.withColumn("__r", F.row_number().over(last)).filter(F.col("__r") <= LAG_ROWS).drop("__r")
 
 
 _APPLY = {
@@ -336,6 +374,8 @@ def fit_repair(
     if not readable and policy.encode_features:
         _fit_encoding(fit, strategy, target, keys)
     _fit_sweep(fit, keys)
+    if not readable and policy.correct_label_noise:
+        _fit_labels(fit, target, keys)
 
     quality.require_no_column_loss([c for c in original if c not in dropped], fit.df.columns)
     fit.repair.weights = encode.class_weights(fit.df, target)
@@ -426,8 +466,9 @@ def _fit_features(fit: _Fitting, strategy: Strategy, target: str, order_by, enti
     if strategy.dataset_type == "time_series" and order_by and is_numeric(fit.df.schema[target].dataType):
         median = exact_quantiles(fit.df, [target], [0.5])[target][0]
         fit.do(
-            "lags", ("time_series_features", target, "lags and rolling mean"), target=target, order_by=order_by,
-            entity=entity or [], median=median if median is not None else 0.0, on_target=True,
+            "lags", ("time_series_features", target, "lags and rolling mean"), settle(lag_state(fit.df, target, order_by, entity or [])),
+            table="lag_state", target=target, order_by=order_by, entity=entity or [], median=median if median is not None else 0.0,
+            on_target=True,
         )
     if strategy.dataset_type == "relational":
         for c in strategy.with_role(IDENTIFIER):
@@ -463,6 +504,21 @@ def _fit_later_fills(fit: _Fitting, untouched: list[str]) -> None:
         fit.do("later_fill", values=values)
 
 
+def _fit_labels(fit: _Fitting, target: str, keys: list[str]) -> None:
+    """Labels that confident learning finds wrong get the likely class (LBL2). Only this table's rows change: it is no step
+    for later tables, whose labels are not there yet. Needs one key column; quarantined columns are no features."""
+    if len(keys) != 1:
+        raise ValueError("correcting labels needs one key column")
+    inputs = [c for c in numeric_columns(fit.df, [target, *keys]) if c not in fit.repair.quarantined]
+    if roles.task_type(fit.df, target) != "classification":
+        return
+    fixes = settle(labels.relabelled(fit.df, inputs, target, keys[0]))
+    n = fixes.count()
+    if n:
+        fit.df = labels.relabel(fit.df, inputs, target, keys[0], fixes=fixes)
+        fit.log("label_noise_correction", target, "confident learning", n)
+
+
 def _fit_sweep(fit: _Fitting, keys: list[str]) -> None:
     """Nothing stays missing: blanks and nulls of text by mode, numbers by median (CST5)."""
     gaps = [c for c, n in fit.holes([c for c in fit.df.columns if c not in keys]).items() if n]

@@ -19,12 +19,13 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import col, missing
 from ..functions.schema import is_temporal, numeric_columns, quoted, target_of, text_columns
 from ..operators import encode, features
+from ..operators.labels import FOLDS, class_index, fold_of
 from ..operators.lookup import attach_by_value, value_salts
 from ..operators.metrics import classification_metrics, composite_score, regression_metrics
 from ..operators.neighbours import attach_neighbours, nearest, vector
@@ -55,7 +56,6 @@ GRIDS = {
     KNN: {"k": [1, 3, 5, 7, 9, 11], "weights": ["uniform", "distance"]},
 }
 SEARCH_SIZE = 5
-FOLDS = 3
 #: Rows of a partition that models are fitted on; small tables are not cut into many tiny tasks.
 FIT_ROWS = 20_000
 
@@ -149,14 +149,6 @@ def training_matrix(
     return wide, columns, [c for c in texts if c not in few]
 
 
-def class_codes(df: DataFrame, target: str) -> DataFrame:
-    """(value, code): the classes of a target, whatever their type, in order from 0."""
-    classes = df.filter(~missing(target, df.schema[target].dataType)).groupBy(col(target).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    # one row a class: the only global order is over these
-    code = (F.row_number().over(Window.orderBy("value")) - 1).cast("double")
-    return settle(classes.select("value", code.alias("code")))
-
-
 def prepare(
     df: DataFrame, target: str | None = None, key: str = "id", quarantined: list[str] | tuple[str, ...] = (),
     balance: bool = True, task: str | None = None,
@@ -168,12 +160,12 @@ def prepare(
     present = wide.filter(~missing(target, wide.schema[target].dataType))
     codes, label = None, col(target).cast("double")
     if task == "classification":
-        codes = class_codes(df, target)
+        codes = class_index(df, target)
         present = attach_by_value(present, target, codes.withColumnRenamed("code", "__code"), value_salts(present, target))
         label = F.col("__code")
     matrix = present.select(col(key).alias("key"), label.alias("label"), vector(present, columns, 0.0).alias("vec"))
     split = stratified_split(matrix, "key", "label" if task == "classification" else None)
-    split = split.withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int")).persist()
+    split = split.withColumn("fold", fold_of("key", FOLDS)).persist()
     train, test = split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test").drop("is_test", "fold")
     number = least = 0
     if task == "classification":

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablemend.operators import labels
-from tablemend.plans import training
+from tablemend.plans import repair, training
+from tablemend.plans.policy import policy_for
 from tablemend.plans.repair import fit_repair
 
 
@@ -95,6 +96,50 @@ def test_longer_lists_answer_every_k(spark):
             assert one == training.knn_predict(base, asked, "classification", k, weights).orderBy("key").collect()
 
 
+def test_planted_wrong_labels_are_found(spark):
+    """Of labels planted wrong, confident learning finds at least 9 in 10, and at least 9 in 10 of its finds are planted."""
+    df = spark.range(600).selectExpr(
+        "id", "(id % 3) * 10D + id * 7 % 4 as x", "(id % 3) * -6D + id * 3 % 5 as z", "id % 23 = 0 as planted",
+        "element_at(array('a', 'b', 'c'), cast((id + if(id % 23 = 0, 1, 0)) % 3 + 1 as int)) as y",
+    )
+    planted = {r["id"] for r in df.filter("planted").collect()}
+    fixes = {r["id"]: r["likely"] for r in labels.relabelled(df, ["x", "z"], "y", "id", trees=20).collect()}
+    assert len(planted & set(fixes)) >= 0.9 * len(planted) and len(planted & set(fixes)) >= 0.9 * len(fixes)
+    assert all(fixes[i] == "abc"[i % 3] for i in planted & set(fixes))
+    method, n = labels.label_noise_report(df.drop("planted"), "y", "id", "classification")
+    assert method == "confident_learning" and 0.9 * len(planted) <= n <= 1.1 * len(planted)
+    assert labels.label_noise_report(df.selectExpr("id", "x", "x as y"), "y", "id", "regression") == ("not_applicable", None)
+
+
+def test_repair_relabels_on_demand(spark):
+    df = spark.range(300).selectExpr(
+        "id", "(id % 3) * 10D + id * 7 % 4 as x", "(id % 3) * -6D + id * 3 % 5 as z",
+        "element_at(array('a', 'b', 'c'), cast((id + if(id in (30, 31), 1, 0)) % 3 + 1 as int)) as y",
+    )
+    plain = fit_repair(df, "y", policy_for("balanced", handle_outliers=False), key="id", readable=False)
+    mended = fit_repair(df, "y", policy_for("balanced", handle_outliers=False, correct_label_noise=True), key="id", readable=False)
+    assert plain.frame.filter("y <> id % 3").count() == 2 and mended.frame.filter("y <> id % 3").count() == 0
+    assert [a[3] for a in mended.actions if a[0] == "label_noise_correction"] == [2]
+
+
+@pytest.mark.parametrize("entity", [[], ["who"]])
+def test_lags_go_on_from_the_training_table(spark, tmp_path, entity):
+    """A batch after the training rows gets the lags of the joined table; targets it knows are rolled on."""
+    rows = spark.range(200).selectExpr("id as at", "concat('e', id % 7) as who", "if(id >= 190 and id % 3 = 0, null, id * id % 31 * 1D) as y")
+    train = rows.filter("at < 190")
+    args = {"target": "y", "order_by": ["at"], "entity": entity, "median": -1.0, "table": "lag_state", "on_target": True}
+    fitted = repair.Repair("y", [repair.Step("lags", args)], {"lag_state": repair.lag_state(train, "y", ["at"], entity)})
+    fitted.save(spark, str(tmp_path / "r"))
+    fitted = repair.Repair.load(spark, str(tmp_path / "r"))
+    names = ["at", "y_lag_1", "y_lag_2", "y_rolling_mean_3"]
+    for later, known in ((rows.filter("at >= 190"), rows), (rows.filter("at >= 190").drop("y"), rows.withColumn("y", F.expr("if(at < 190, y, null)")))):
+        got = fitted.apply(later, with_target=False)
+        assert ("y" in got.columns) == ("y" in later.columns) and got.count() == 10
+        joined = fitted.apply(known).filter("at >= 190")
+        assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, joined.select(names).collect()))
+    assert got.filter("y_lag_1 <> -1.0").count() == (7 if entity else 1)
+
+
 def test_menu():
     assert training.KNN in training.model_menu("classification")
     with pytest.raises(ValueError):
