@@ -89,20 +89,33 @@ def test_top_products(spark):
     rows += [(1000 + i, [3.0, 1.0, 0.0, 2.0]) for i in range(100)] + [(i, [x - 1 for x in v]) for i, v in rows[:5]]
     rows += [(2000, None), (2020, [1.0, None]), (2040, [math.nan]), (2060, [math.inf]), (None, [1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    best = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(64 * x) for x in v]
-            best[i] = min(best.get(i, w), w)
+    rows += [(3000, [4e7, 1.0]), (3001, [1e8, -1e8, 3.0]), (3002, [0.5, 0.25]), (3020, [0.0, 0.0]), (3040, [1e8, 1e8, 7.0]), (3003, [1e300])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    held = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     wanted = []
-    for q, a in best.items():
+    for a, (q, v) in enumerate(held):
         if q % 20 == 0:
-            order = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in best.items() if i != q)[:20]
-            wanted += [(q, r + 1, i, -s) for r, (s, i) in enumerate(order)]
-    assert rows_of(top_products.top_products(df, bucket=32, tile=2, block=8)) == sorted(wanted, key=str)
+            whole = [(sum(x * y for x, y in zip(v, w, strict=False)), i) for b, (i, w) in enumerate(held) if b != a]
+            scores = [(-max(-(1 << 63), min((1 << 63) - 1, s)), i) for s, i in whole]
+            wanted += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:20])]
+    for sizes in ({"bucket": 32, "tile": 2, "block": 8}, {}):
+        assert rows_of(top_products.top_products(df, **sizes)) == sorted(wanted, key=str)
     assert top_products.top_products(df.filter("vec_id < 0")).count() == 0
 
 
+def test_queries_meet_tiles_by_reach(spark, monkeypatch):
+    """Queries meet tiles by reach, looked up in steps of tiles."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 8) * (20 if i % 50 == 1 else 1)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(top_products, "LENGTHS", 5)
+    found = top_products.top_products(df, k=5, bucket=16, tile=2, block=10)
+    held = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    for q in (0, 400, 1980):
+        scores = sorted((-sum(x * y for x, y in zip(held[q][1], w, strict=True)), i) for i, w in held if i != q)[:5]
+        assert [(r.rank, r.vec_id, -r.score) for r in sorted(found.filter(f"query_id = {q}").collect(), key=lambda r: r.rank)] == [(k + 1, i, s) for k, (s, i) in enumerate(scores)]
+
+
 def test_top_products_prunes_by_coordinates():
     rng = np.random.default_rng(3)
     rows = rng.integers(-64, 64, (400, 8))
