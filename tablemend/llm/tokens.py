@@ -23,8 +23,9 @@ from .worker import held
 PIECES = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
 #: Fixed value: the pre-tokens of byte-level vocabularies, for the characters that are not ``FOREIGN``.
 WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Beyond Latin letters and common punctuation, or numbers that are words here and digits there.
-FOREIGN = re.compile("[^\x00-\u024f\u2010-\u2027]|[\xb2\xb3\xb9\xbc-\xbe]")
+#: Control separators, numbers that are words here and digits there, and what is beyond Latin letters and common punctuation.
+ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]")
+CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def byte_letters() -> dict[int, str]:
@@ -75,8 +76,7 @@ class Encoder:
             and not spec.get("normalizer")
             and spec["model"].get("type", "BPE") == "BPE"
         )
-        special = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
-        self.odd = re.compile("|".join([*special, "[\x1c-\x1f]"]))
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.letters = byte_letters()
         self.raw = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
 
@@ -85,8 +85,8 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """The ids of one pre-token."""
-        if word.isascii() and word.isalpha():
-            return b"".join([self.raw[t.id] for t in self.model.tokenize(word)])
+        if word[0] == " " and word.isascii() and word[1:].isalpha():
+            return b"".join([self.raw[t.id] for t in self.model.tokenize(self.letters[32] + word[1:])])
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
         return b"".join([self.raw[t.id] for t in tokens])
 
@@ -98,11 +98,13 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif self.odd.search(text):
+            elif any(s in text for s in self.special):
                 out.append(self.whole(text))
-            elif text.isascii() or not FOREIGN.search(text):
+            elif (odd := ODD.search(text)) is None:
                 out.append(join(map(self.words.__getitem__, WORDS.findall(text))))
                 self.words.turn()
+            elif CONTROL.search(text, odd.start()):
+                out.append(self.whole(text))
             else:
                 out.append(join(map(self.pieces.__getitem__, PIECES.findall(text))))
                 self.pieces.turn()
