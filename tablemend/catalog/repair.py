@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import cells, schema
-from ..operators import audit, diagnose, extra, impute, outliers, profile, quality
+from ..operators import audit, diagnose, extra, impute, near_duplicates, outliers, profile, quality
 from ..plans.diagnosis import diagnose_table, report_table
 from ..plans.policy import policy_for
 from ..plans.repair import fit_repair
@@ -216,7 +216,7 @@ def before_after_totals(spark, folder):
     from (select distinct * from d) group by o_orderstatus""",
 )
 def dedup_exact(spark, folder):
-    kept = defective(spark, folder, "orders").dropDuplicates()
+    kept = near_duplicates.drop_exact_duplicates(defective(spark, folder, "orders"))
     return kept.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 

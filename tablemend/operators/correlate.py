@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,14 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.cells import col
 from ..functions.moments import pearson
 from ..functions.schema import is_numeric, numeric_columns, target_of
-from ..session import settle
-from .lookup import SALTS
+from .lookup import attach_by_value
 from .ordering import RANGE, with_ranges
 from .profile import distinct_counts, number, per_column
 from .quantiles import exact_quantiles
 
 WIDE_PAIRS = 30
-SKEW_ROWS = 5_000_000
 STRONG = 0.95
 STRONG_INFORMATION = 0.8
 
@@ -117,46 +116,54 @@ def _strongest(table: DataFrame, top: int) -> DataFrame:
 def all_rank_correlations(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
     """Absolute Spearman correlation of every feature with the target, average ranks for ties.
 
-    Ranks come from value counts cut into ordered ranges. A large table has its equal
-    (feature, x, y) cells folded first and frequent values salted, so neither a frequent value
-    nor a long column sits in one task.
+    Ranks come from value counts cut into ordered ranges, and are joined on with frequent values
+    spread, so neither a frequent value nor a long column sits in one task. Features without a
+    hole where the target is present share the target's ranks.
     """
     features = features or numeric_columns(df, [target])
-    rows = df.count()
-    cells = df.select(
-        number(df, target).alias("y"),
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("x")) for c in features])
-        ).alias("cell"),
-    ).select("cell.column", "cell.x", "y")
-    paired = cells.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    large = rows * len(features) > SKEW_ROWS
-    if large:
-        folded = settle(paired.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("w")))
-    else:
-        folded = paired.withColumn("w", F.lit(1).cast("long"))
-    ranked = folded
-    for side in ("x", "y"):
-        ranked = _attach_ranks(ranked, folded, side, rows * len(features), large)
+    x = [number(df, c) for c in features]
+    plain = df.select(number(df, target).alias("y"), *[e.alias(f"x{i}") for i, e in enumerate(x)]).filter(F.col("y").isNotNull())
+    row = plain.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(features))]).first()
+    whole = [i for i in range(len(features)) if row[f"n{i}"] == row["n"]]
+    holed = [i for i in range(len(features)) if i not in whole]
+
+    def cells(rows: DataFrame, which: list[int], other: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"x{i}").alias("x")) for i in which]))
+        return rows.select(each.alias("cell"), other).select("cell.column", "cell.x", other)
+
+    parts = []
+    if whole:
+        first = plain.withColumn("column", F.lit(-1))
+        parts.append(cells(_attach_ranks(first, first, "y", row["n"]), whole, "rank_y"))
+    if holed:
+        paired = cells(plain, holed, "y").filter(F.col("x").isNotNull())
+        parts.append(_attach_ranks(paired, paired, "y", row["n"] * len(holed)).select("column", "x", "rank_y"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, r double")
+    paired = reduce(DataFrame.unionByName, parts)
+    ranked = _attach_ranks(paired, paired, "x", row["n"] * len(features))
     sums = ranked.groupBy("column").agg(
-        F.sum("w").alias("n"),
+        F.count(F.lit(1)).alias("n"),
         *[
             F.sum(F.expr(expr)).alias(name)
             for name, expr in {
-                "sx": "w * rank_x", "sy": "w * rank_y", "sxx": "w * rank_x * rank_x",
-                "syy": "w * rank_y * rank_y", "sxy": "w * rank_x * rank_y",
+                "sx": "rank_x", "sy": "rank_y", "sxx": "rank_x * rank_x", "syy": "rank_y * rank_y", "sxy": "rank_x * rank_y",
             }.items()
         ],
     )
     vx, vy = F.expr("sxx - sx * sx / n"), F.expr("syy - sy * sy / n")
     r = F.when((vx > 0) & (vy > 0), F.abs(F.expr("sxy - sx * sy / n")) / F.sqrt(vx * vy))
-    return sums.select("column", r.alias("r"))
+    named = F.get(F.array(*[F.lit(c) for c in features]), F.col("column"))
+    return sums.select(named.alias("column"), r.alias("r"))
+
 
+def _attach_ranks(cells: DataFrame, base: DataFrame, side: str, bound: int) -> DataFrame:
+    """Join the centred average rank of each value (shifted by half the count to keep sums small).
 
-def _attach_ranks(cells: DataFrame, folded: DataFrame, side: str, bound: int, large: bool) -> DataFrame:
-    """Join the centred average rank of each value (shifted by half the count to keep sums small)."""
-    counts = folded.groupBy("column", side).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"))
-    ranged = with_ranges(counts, ["column", side], rows=bound if large else 1)
+    ``base`` holds the column numbers and values that are ranked, at most ``bound`` rows.
+    """
+    counts = base.groupBy("column", side).agg(F.count(F.lit(1)).alias("n"))
+    ranged = with_ranges(counts, ["column", side], rows=bound)
     inside = Window.partitionBy(RANGE, "column").orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
     # one row per range and column: small however long the table is
     sizes = ranged.groupBy(RANGE, "column").agg(F.sum("n").alias("size"))
@@ -167,31 +174,15 @@ def _attach_ranks(cells: DataFrame, folded: DataFrame, side: str, bound: int, la
         F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"),
         F.sum("size").over(Window.partitionBy("column")).alias("total"),
     )
+    rank = F.col("before") + F.col("inner") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
+    key = F.struct("column", side)
     ranks = (
         ranged.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(F.broadcast(offsets), [RANGE, "column"])
-        .select(
-            "column",
-            side,
-            "m",
-            (F.col("before") + F.col("inner") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2).alias(f"rank_{side}"),
-        )
+        .select(key.alias("value"), rank.alias(f"rank_{side}"))
     )
-    if not large:
-        return cells.join(ranks.drop("m"), ["column", side])
-    # values paired with very many partners are spread over salts, their rank repeated per salt
-    hot_above = max(1, bound // 1024)
-    hot = [tuple(r) for r in ranks.filter(F.col("m") > hot_above).select("column", side).collect()]
-    is_hot = F.lit(False)
-    for c, v in hot:
-        is_hot = is_hot | ((F.col("column") == c) & (F.col(side) == v))
-    other = "y" if side == "x" else "x"
-    salted = cells.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    repeated = ranks.withColumn(
-        "salt", F.explode(F.when(F.col("m") > hot_above, every).otherwise(F.array(F.lit(0).cast("long"))))
-    ).drop("m")
-    return salted.join(repeated, ["column", side, "salt"]).drop("salt")
+    held = counts.select(key.alias("value"), "n")
+    return attach_by_value(cells.withColumn("__k", key), "__k", ranks, held).drop("__k")
 
 
 def target_rank_correlations(df: DataFrame, target: str | None = None, top: int = 5) -> DataFrame:

@@ -7,27 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col, missing
 from ..functions.schema import is_numeric, quoted, target_of
-from .lookup import attach_by_value, value_salts, value_counts
+from .lookup import attach_by_value, value_counts
 from .ordering import with_row_numbers
 from .roles import HIGH_CARDINALITY, ORDINAL_SCALES
 
 
 def fit_frequency(df: DataFrame, column: str, rows: int | None = None) -> DataFrame:
-    """Share of the present rows each value holds, as a table (value, share)."""
+    """Share of the present rows each value holds, as a table (value, share, n)."""
     counts = value_counts(df, column)
     present = df.filter(col(column).isNotNull()).count() if rows is None else rows
-    return counts.select("value", (F.col("n") / F.lit(max(1, present))).alias("share"))
+    return counts.select("value", (F.col("n") / F.lit(max(1, present))).alias("share"), "n")
 
 
 def frequency_encode(df: DataFrame, columns: list[str], fitted: dict[str, DataFrame] | None = None) -> DataFrame:
     """Add ``<column>_freq``; the column itself is kept. Unseen and missing values give 0 (ENC1)."""
     for c in columns:
         table = fitted[c] if fitted else fit_frequency(df, c)
-        joined = attach_by_value(df, c, table, value_salts(df, c))
+        joined = attach_by_value(df, c, table.select("value", "share"), fitted_counts(table))
         df = joined.withColumn(f"{c}_freq", F.coalesce("share", F.lit(0.0))).drop("share")
     return df
 
 
+def fitted_counts(table: DataFrame) -> DataFrame | None:
+    """(value, n) of a mapping table that carries the rows its values held when it was fitted."""
+    return table.select("value", "n") if "n" in table.columns else None
+
+
 def fit_categories(df: DataFrame, columns: list[str], limit: int = HIGH_CARDINALITY) -> dict[str, list[str]]:
     """Sorted categories per column; a column with more than ``limit`` is an error, not a cut."""
     if not columns:
@@ -60,26 +65,26 @@ def one_hot(df: DataFrame, columns: list[str], categories: dict[str, list[str]]
 
 
 def fit_codes(df: DataFrame, column: str, semantic: bool = False) -> DataFrame:
-    """Codes 0, 1, ... of the distinct values in text order, as a table (value, code).
+    """Codes 0, 1, ... of the distinct values in text order, as a table (value, code, n).
 
     ``semantic`` puts the words of a known scale in the order of that scale.
     """
-    values = df.filter(col(column).isNotNull()).select(col(column).cast("string").alias("value")).distinct()
+    values = df.filter(col(column).isNotNull()).groupBy(col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     if semantic:
         place = F.lit(None).cast("int")
         for scale in reversed(ORDINAL_SCALES):
             for i, word in enumerate(scale):
                 place = F.when(F.lower("value") == word, F.lit(i)).otherwise(place)
         ordered = with_row_numbers(values.withColumn("__scale", F.coalesce(place, F.lit(len(ORDINAL_SCALES[2])))), ["__scale", "value"])
-        return ordered.select("value", (F.col("position") - 1).cast("int").alias("code"))
+        return ordered.select("value", (F.col("position") - 1).cast("int").alias("code"), "n")
     ordered = with_row_numbers(values, ["value"])
-    return ordered.select("value", (F.col("position") - 1).cast("int").alias("code"))
+    return ordered.select("value", (F.col("position") - 1).cast("int").alias("code"), "n")
 
 
 def encode_with(df: DataFrame, column: str, codes: DataFrame, into: str | None = None, unknown: int = -1) -> DataFrame:
     """Replace (or add) a column by its codes; values the table does not hold get ``unknown``."""
     as_text = df.withColumn("__text", col(column).cast("string"))
-    joined = attach_by_value(as_text, "__text", codes, value_salts(as_text, "__text")).drop("__text")
+    joined = attach_by_value(as_text, "__text", codes.select("value", "code"), fitted_counts(codes)).drop("__text")
     return joined.withColumn(into or column, F.coalesce("code", F.lit(unknown))).drop("code")
 
 

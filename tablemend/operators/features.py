@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col, date_parts, human_date, lenient_timestamp, title_case
 from ..functions.schema import is_numeric, is_text, numeric_columns, text_columns
-from .lookup import attach_by_value, value_salts, value_counts
+from .lookup import attach_by_value, value_counts
 from .ordering import with_lookback
 from .profile import number
 from .quantiles import exact_quantiles
@@ -64,7 +64,7 @@ def entity_frequency(df: DataFrame, columns: list[str], rows: int | None = None)
     identifier on a third of the rows does not end in one task."""
     for c in columns:
         counts = value_counts(df, c, f"{c}_entity_frequency")
-        df = attach_by_value(df, c, counts, value_salts(df, c))
+        df = attach_by_value(df, c, counts, counts.select("value", F.col(f"{c}_entity_frequency").alias("n")))
     return df
 
 

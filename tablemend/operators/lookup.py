@@ -1,4 +1,9 @@
-"""Attach a per-value statistic to every row, safe against hot values (left lookup join)."""
+"""Attach a per-value statistic to every row, safe against hot values (left lookup join).
+
+How many rows a value holds is a table as well. Its few entries beyond a task's rows are joined on (at most a value per
+``TASK_ROWS`` rows of the table, so they may be broadcast) and say over how many salts the rows of such a value are dealt.
+Nothing is counted by a job of its own, and no list of values passes through the driver or into an expression.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col
 
+#: Tasks over which rows without a value are dealt; they match nothing.
 SALTS = 64
 #: Rows of one value that a task handles; a value with more is dealt to as many tasks as that takes.
 TASK_ROWS = 1_000_000
-#: Values that are dealt out at most, the most frequent first; any other has under a thousandth of the rows.
-MOST_HOT = 1_000
 
 
 def value_counts(df: DataFrame, column: str, count: str = "n") -> DataFrame:
@@ -25,54 +29,53 @@ def hot_values(df: DataFrame, column: str, rows: int, share: float = 1 / SALTS)
     return [r["value"] for r in counts.filter(F.col("n") > rows * share).select("value").collect()]
 
 
-def value_salts(df: DataFrame, column: str, task_rows: int = TASK_ROWS) -> dict:
-    """Salts of each value (or null) that holds more rows than a task handles."""
-    counts = df.groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_rows)
-    return {r["value"]: -(-r["n"] // task_rows) for r in counts.orderBy(F.col("n").desc()).limit(MOST_HOT).collect()}
+def salt_table(counts: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(__hot, __salts) of the values of ``counts`` (value, n) that hold more rows than a task handles."""
+    hot = counts.filter(F.col("n") > task_rows)
+    return hot.select(F.col("value").alias("__hot"), F.ceil(F.col("n") / task_rows).cast("int").alias("__salts"))
 
 
-def _salts(cell: Column, hot: dict | list) -> Column:
-    """Into how many tasks the rows of a cell go; those of listed values, and of null beside them, into SALTS."""
-    if not isinstance(hot, dict):
-        hot = dict.fromkeys([*hot, None], SALTS)
-    pairs = [part for v, n in hot.items() if v is not None for part in (F.lit(v), F.lit(n))]
-    present = F.coalesce(F.create_map(*pairs)[cell], F.lit(1)) if pairs else F.lit(1)
-    return F.when(cell.isNull(), F.lit(hot.get(None, 1))).otherwise(present).cast("int")
+def _salted(df: DataFrame, cell: Column, salts: DataFrame | None) -> DataFrame:
+    """``df`` with the number of salts of each cell in ``__salts``."""
+    if salts is None:
+        return df.withColumn("__salts", F.lit(1))
+    joined = df.join(F.broadcast(salts), cell.eqNullSafe(F.col("__hot")), "left").drop("__hot")
+    return joined.withColumn("__salts", F.coalesce("__salts", F.lit(1)))
 
 
 def attach_by_value(
-    df: DataFrame, column: str, table: DataFrame, hot: dict | list | None = None, salt_by: Column | None = None
-) -> DataFrame:
+    df: DataFrame, column: str, table: DataFrame, counts: DataFrame | None = None, salt_by: Column | None = None,
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
     """Left join ``table`` (unique ``value`` plus statistics) on ``column``.
 
-    Adaptive execution turns this into a broadcast join when the finished table turns out
-    small. Rows of a ``hot`` value, and rows without a value, are spread over its salts, and
-    that table row is repeated once per salt.
+    Adaptive execution turns this into a broadcast join when the finished table turns out small. ``counts`` (value, n)
+    tells how many rows the values hold, roughly: those of a hot one are spread over its salts, and the table's row is
+    repeated once per salt. Rows without a value are always spread.
     """
-    renamed = table.withColumnRenamed("value", "__v")
-    if not hot:
-        return df.join(renamed, col(column) == F.col("__v"), "left").drop("__v")
+    salts = salt_table(counts, task_rows) if counts is not None else None
     spread = salt_by if salt_by is not None else F.xxhash64(*[col(c) for c in df.columns])
-    salted = df.withColumn("__salt", F.pmod(spread, _salts(col(column), hot)).cast("int"))
-    repeated = renamed.withColumn("__s", F.explode(F.sequence(F.lit(0), _salts(F.col("__v"), hot) - 1)))
-    return salted.join(
-        repeated, (col(column) == F.col("__v")) & (F.col("__salt") == F.col("__s")), "left"
-    ).drop("__v", "__s", "__salt")
+    many = F.when(col(column).isNull(), F.lit(SALTS)).otherwise(F.col("__salts"))
+    left = _salted(df.withColumn("__spread", spread), col(column), salts)
+    left = left.withColumn("__salt", F.pmod("__spread", many).cast("int")).drop("__spread", "__salts")
+    right = _salted(table.withColumnRenamed("value", "__v"), F.col("__v"), salts)
+    right = right.withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    return left.join(right, (col(column) == F.col("__v")) & (F.col("__salt") == F.col("__s")), "left").drop("__v", "__s", "__salt")
 
 
 def join_spread(
-    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: Column | None = None, hot: dict | list | None = None
-) -> DataFrame:
+    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: Column | None = None,
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
     """Join whose left side may hold one key on very many rows; ``table`` holds few rows per key.
 
     The rows of hot keys are spread over their salts and the few table rows of those keys are
     repeated once per salt.
     """
-    if hot is None:
-        hot = value_salts(rows, keys[0])
-    if not hot:
-        return rows.join(table, keys, how)
+    salts = salt_table(rows.groupBy(col(keys[0]).alias("value")).agg(F.count(F.lit(1)).alias("n")), task_rows)
     by = spread if spread is not None else F.xxhash64(*[col(c) for c in rows.columns])
-    left = rows.withColumn("__salt", F.pmod(by, _salts(col(keys[0]), hot)).cast("int"))
-    right = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), _salts(col(keys[0]), hot) - 1)))
+    left = _salted(rows.withColumn("__spread", by), col(keys[0]), salts)
+    left = left.withColumn("__salt", F.pmod("__spread", F.col("__salts")).cast("int")).drop("__spread", "__salts")
+    right = _salted(table, col(keys[0]), salts)
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

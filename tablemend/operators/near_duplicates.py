@@ -20,22 +20,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import col, row_text
+from ..functions.schema import quoted
 from ..session import settle
-from .lookup import MOST_HOT, TASK_ROWS, attach_by_value, value_salts
+from .lookup import attach_by_value, value_counts
+from .profile import row_digest
 
 NEAREST_DISTANCE = 0.03
 #: Rows of a list that a task compares with as many others.
 BLOCK = 1_024
 #: Groups of terms whose norms a row carries.
 GROUPS = 64
+DIGEST = "__digest"
 #: Cells of a dense block of vectors.
 CELLS = 4_000_000
 TERM = r"(?U)\b\w\w+\b"
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
-    """One row of each set of equal rows (DUP1)."""
-    return df.dropDuplicates()
+    """One row of each set of equal rows (DUP1).
+
+    Only digests are counted, and only rows whose digest occurs twice are shuffled whole to keep one of each.
+    """
+    marked = df.withColumn(DIGEST, F.unhex(row_digest(df)))
+    repeated = marked.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(DIGEST)
+    repeated = settle(repeated)
+    once = marked.join(repeated, DIGEST, "left_anti").select(*[quoted(c) for c in df.columns])
+    again = marked.join(repeated, DIGEST, "left_semi").dropDuplicates([DIGEST]).select(*[quoted(c) for c in df.columns])
+    return once.unionByName(again)
 
 
 def _folded(df: DataFrame, key: str, columns: list[str] | None) -> DataFrame:
@@ -64,10 +75,9 @@ def term_weights(folded: DataFrame, vocabulary: int | None = None) -> DataFrame:
         terms = terms.orderBy(F.col("total").desc(), "word").limit(vocabulary)
     n = folded.agg(F.sum("copies").alias("n")).first()["n"] or 0
     idf = F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0
-    found = terms.select(F.col("word").alias("value"), "df", idf.alias("idf"), "rows")
-    hot = found.filter(F.col("rows") > TASK_ROWS).orderBy(F.col("rows").desc()).limit(MOST_HOT)
-    salts = {r["value"]: -(-r["rows"] // TASK_ROWS) for r in hot.collect()}
-    joined = attach_by_value(counts, "word", found.drop("rows"), salts, F.xxhash64("id")).filter(F.col("idf").isNotNull())
+    found = terms.select(F.col("word").alias("value"), "df", idf.alias("idf"))
+    held = terms.select(F.col("word").alias("value"), F.col("rows").alias("n"))
+    joined = attach_by_value(counts, "word", found, held, F.xxhash64("id")).filter(F.col("idf").isNotNull())
     raw = joined.select("id", F.xxhash64("word").alias("term"), "df", (F.col("tf") * F.col("idf")).alias("raw"))
     norms = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
     return raw.select("id", "term", "df", (F.col("raw") / norms).alias("w"))
@@ -257,7 +267,7 @@ def near_duplicate_rows(
         .withColumnRenamed("digest", "value")
     )
     named = df.select(col(key).alias("id"), F.sha2(row_text(df, columns), 256).alias("digest"))
-    joined = attach_by_value(named, "digest", groups, value_salts(named, "digest"), F.xxhash64("id"))
+    joined = attach_by_value(named, "digest", groups, value_counts(named, "digest"), F.xxhash64("id"))
     own = F.col("id") != F.col("first")
     return joined.filter(F.col("first").isNotNull()).select(
         F.col("id").alias(key),

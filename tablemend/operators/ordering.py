@@ -3,7 +3,9 @@
 A window without a partition key moves every row to one task. Here the order keys are cut
 into contiguous ranges at sampled boundaries; a window then works inside one range, with the
 last rows of the ranges before it (lag, rolling mean) or their sums (row numbers) joined on.
-Boundaries are whole key tuples, so one timestamp that holds a third of the rows is cut too.
+Boundaries are whole key tuples, so one timestamp that holds a third of the rows is cut too. They are
+a table: every block of them hangs on its first one, and only these first ones, the square root of
+their number, are literals.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from pyspark.sql import types as T
 
 from ..functions.cells import col
 from ..functions.schema import quoted
+from ..session import settle
 
 ROWS_PER_RANGE = 1_000_000
-MOST_RANGES = 4_096
 SAMPLES_PER_RANGE = 20
 RANGE = "__range"
 
@@ -26,28 +28,24 @@ RANGE = "__range"
 def with_ranges(
     df: DataFrame, order_by: list[str], rows: int | None = None, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
-    """Add the number of the contiguous key range each row falls in."""
+    """Add the number of the contiguous key range each row falls in; there are as many as the rows need."""
     rows = df.count() if rows is None else rows
-    ranges = min(MOST_RANGES, max(1, math.ceil(rows / rows_per_range)))
+    ranges = max(1, math.ceil(rows / rows_per_range))
     if ranges == 1:
         return df.withColumn(RANGE, F.lit(0))
-    cuts = _boundaries(df, order_by, rows, ranges)
+    cuts, heads, width = _cuts(df, order_by, rows, ranges, rows_per_range)
+    if not heads:
+        return df.withColumn(RANGE, F.lit(0))
     key = F.struct(*[_sortable(df, c).alias(f"k{i}") for i, c in enumerate(order_by)])
-    # two levels: find the block of cuts first, then the cut inside the block
-    width = max(1, math.isqrt(len(cuts)))
-    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    heads = F.array(*[b[0] for b in blocks])
-    tails = F.array(*[F.array(*b) for b in blocks])
-    block = F.size(F.filter(heads, lambda c: c <= F.col("__key")))
-    inner = F.size(F.filter(F.get(tails, F.col("__block") - 1), lambda c: c <= F.col("__key")))
+    # two levels: the block of cuts by its first one, then the cut inside the block, of which a row brings along only one block
+    block = F.size(F.filter(F.array(*heads), lambda c: c <= F.col("__key")))
+    inner = F.size(F.filter(F.col("__cuts"), lambda c: c <= F.col("__key")))
     return (
         df.withColumn("__key", key)
         .withColumn("__block", block)
-        .withColumn(
-            RANGE,
-            F.when(F.col("__block") == 0, F.lit(0)).otherwise((F.col("__block") - 1) * width + inner),
-        )
-        .drop("__key", "__block")
+        .join(F.broadcast(cuts), "__block", "left")  # a cut for every range of a million rows
+        .withColumn(RANGE, F.when(F.col("__block") == 0, F.lit(0)).otherwise((F.col("__block") - 1) * width + inner))
+        .drop("__key", "__block", "__cuts")
     )
 
 
@@ -61,19 +59,33 @@ def _sortable(df: DataFrame, column: str) -> Column:
     return col(column)
 
 
-def _boundaries(df: DataFrame, order_by: list[str], rows: int, ranges: int) -> list[Column]:
-    """Sampled key tuples at equal steps. Results do not depend on which tuples are drawn."""
-    keys = [_sortable(df, c).alias(f"k{i}") for i, c in enumerate(order_by)]
+def _cuts(
+    df: DataFrame, order_by: list[str], rows: int, ranges: int, rows_per_range: int
+) -> tuple[DataFrame, list[Column], int]:
+    """Key tuples at equal steps of a sample, in blocks (``__block`` from 1, ``__cuts``), the first one of each block, and the
+    size of a block. Results do not depend on which tuples are drawn. The sample is ranged in the same way, until it is
+    one range."""
+    names = [f"k{i}" for i in range(len(order_by))]
+    keys = df.select(*[_sortable(df, c).alias(n) for n, c in zip(names, order_by)]).dropna()
     share = min(1.0, 1.2 * SAMPLES_PER_RANGE * ranges / rows)
-    sampled = df.select(*keys).filter(" and ".join(f"k{i} is not null" for i in range(len(keys))))
-    if share < 1.0:
-        sampled = sampled.sample(fraction=share, seed=42)
-    tuples = sorted(set(map(tuple, sampled.limit(2 * SAMPLES_PER_RANGE * ranges + 1000).collect())))
-    picked = sorted({tuples[len(tuples) * i // ranges] for i in range(1, ranges)}) if tuples else []
-    types = [f.dataType for f in df.select(*keys).schema]
-    return [
-        F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cut, types))]) for cut in picked
-    ] or [F.struct(*[F.lit(None).cast(t).alias(f"k{i}") for i, t in enumerate(types)])]
+    drawn = settle((keys.sample(fraction=share, seed=42) if share < 1.0 else keys).distinct())
+    found = drawn.count()
+    numbered = with_row_numbers(drawn, names, "__at", found, rows_per_range=max(rows_per_range, 4 * SAMPLES_PER_RANGE))
+    # the row with which the number of ranges passed rises
+    step = F.expr(f"(__at - 1) * {ranges} div {max(1, found)}")
+    before = F.expr(f"(__at - 2) * {ranges} div {max(1, found)}")
+    picked = settle(numbered.filter((F.col("__at") > 1) & (step > before)).select(F.struct(*names).alias("__cut"), step.cast("long").alias("__nth")))
+    width = max(1, math.isqrt(ranges))
+    # a row a cut: the only global order is over these
+    dense = F.row_number().over(Window.orderBy("__cut")) - 1
+    blocks = picked.select("__cut", dense.alias("__nth")).groupBy(F.expr(f"__nth div {width} + 1").cast("int").alias("__block"))
+    blocks = settle(blocks.agg(F.array_sort(F.collect_list("__cut")).alias("__cuts")))
+    types = [f.dataType for f in keys.schema]
+    heads = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in zip(names, r["__cut"], types)])
+        for r in blocks.select("__block", F.get("__cuts", F.lit(0)).alias("__cut")).orderBy("__block").collect()
+    ]
+    return blocks, heads, width
 
 
 def with_row_numbers(
@@ -92,7 +104,7 @@ def with_row_numbers(
 
 
 def running_offsets(sizes: DataFrame, value: str) -> DataFrame:
-    """Sum of ``value`` over all earlier ranges. One row per range, so at most MOST_RANGES rows."""
+    """Sum of ``value`` over all earlier ranges. One row per range, a millionth of the rows."""
     earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(RANGE, F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias("__before"))
 

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import col, drop_empty_rows, missing, normalise, number_literal, require_rows, text_to_number
 from ..functions.schema import is_numeric, is_text, numeric_columns, quoted, target_of, text_columns
-from ..operators import encode, extra, features, impute, labels, outliers, quality, roles
+from ..operators import encode, extra, features, impute, labels, near_duplicates, outliers, quality, roles
 from ..operators.correlate import redundant_pairs
-from ..operators.lookup import attach_by_value, value_salts, join_spread, value_counts
+from ..operators.lookup import attach_by_value, join_spread, value_counts
 from ..operators.neighbours import MARK, marked, nearest, vector
 from ..operators.profile import number, rows_frame
 from ..operators.quantiles import exact_quantiles
@@ -157,13 +157,14 @@ def _isolated_to_median(df, args, tables):
 
 def _frequency(df, args, tables):
     c = args["column"]
-    joined = attach_by_value(df, c, tables[args["table"]], value_salts(df, c))
+    table = tables[args["table"]]
+    joined = attach_by_value(df, c, table.select("value", "share"), encode.fitted_counts(table))
     return joined.withColumn(f"{c}_freq", F.coalesce("share", F.lit(0.0))).drop("share")
 
 
 def _entity(df, args, tables):
     c = args["column"]
-    joined = attach_by_value(df, c, tables[args["table"]], value_salts(df, c))
+    joined = attach_by_value(df, c, tables[args["table"]], tables[args["table"]])
     return joined.withColumn(f"{c}_entity_frequency", F.coalesce("n", F.lit(0))).drop("n")
 
 
@@ -216,7 +217,7 @@ _APPLY = {
     "drop_columns": lambda df, a, t: df.drop(*_only(df, a["columns"])),
     "empty_columns": lambda df, a, t: impute.replace_empty_columns(df, _only(df, a["columns"])),
     "drop_empty_rows": lambda df, a, t: drop_empty_rows(df),
-    "drop_duplicates": lambda df, a, t: df.dropDuplicates(),
+    "drop_duplicates": lambda df, a, t: near_duplicates.drop_exact_duplicates(df),
     "timestamps": lambda df, a, t: features.as_timestamps(df, _only(df, a["columns"])),
     "human_dates": lambda df, a, t: features.humanise_dates(df, _only(df, a["columns"])),
     "date_parts": lambda df, a, t: features.add_date_parts(df, _only(df, a["columns"])),

@@ -26,7 +26,7 @@ from ..functions.cells import col, missing
 from ..functions.schema import is_temporal, numeric_columns, quoted, target_of, text_columns
 from ..operators import encode, features
 from ..operators.labels import FOLDS, class_index, fold_of
-from ..operators.lookup import attach_by_value, value_salts
+from ..operators.lookup import attach_by_value, value_counts
 from ..operators.metrics import classification_metrics, composite_score, regression_metrics
 from ..operators.neighbours import attach_neighbours, nearest, vector
 from ..operators.profile import distinct_counts, rows_frame
@@ -161,7 +161,7 @@ def prepare(
     codes, label = None, col(target).cast("double")
     if task == "classification":
         codes = class_index(df, target)
-        present = attach_by_value(present, target, codes.withColumnRenamed("code", "__code"), value_salts(present, target))
+        present = attach_by_value(present, target, codes.withColumnRenamed("code", "__code"), value_counts(present, target))
         label = F.col("__code")
     matrix = present.select(col(key).alias("key"), label.alias("label"), vector(present, columns, 0.0).alias("vec"))
     split = stratified_split(matrix, "key", "label" if task == "classification" else None)

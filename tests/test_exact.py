@@ -1,10 +1,12 @@
 """Operators with their own distribution scheme against brute force on small tables."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablemend.operators import correlate, labels, near_duplicates, neighbours, ordering, outliers, quantiles, resample
+from tablemend.operators import correlate, labels, near_duplicates, neighbours, ordering, outliers, profile, quantiles, resample
 from tablemend.operators.lookup import attach_by_value, hot_values, join_spread, value_counts
 from tablemend.sources.sampling import seeded_sample
 
@@ -72,6 +74,29 @@ def test_near_copies_count_rare_terms(spark):
     assert near_duplicates.near_duplicate_rows(df, "id", ["text"], block=8).filter("near_id = if(id = 0, 1, 0)").count() == 50
 
 
+def test_digests_tell_rows_apart(spark):
+    rows = spark.sql("""select * from values (1, '', null, 0.0D, timestamp '2020-01-01 00:00:00.000001', array(1, null)),
+        (1, null, '', -0.0D, timestamp '2020-01-01 00:00:00.000002', array(null, 1)), (1, null, '', 0.0D, timestamp '2020-01-01 00:00:00.000002', array(null, 1)),
+        (1, null, '', double('nan'), null, null), (1, null, '', double('nan'), null, null), (1, 'null', '"', null, null, null),
+        (null, 'null', '"', null, null, null) as t(a, b, c, d, e, f)""")
+    assert profile.duplicate_rows(rows).first() == (7, 2)
+    kept = near_duplicates.drop_exact_duplicates(rows)
+    assert kept.columns == rows.columns and kept.count() == 5 and kept.exceptAll(rows.distinct()).count() == 0
+    assert near_duplicates.drop_exact_duplicates(rows.filter("a = 7")).count() == 0
+
+
+def test_many_ranges(spark):
+    """5,000 ranges, far beyond one literal list, number and look back like one."""
+    df = spark.range(10_000).selectExpr("id", "id * 7919 % 10007 as at", "cast(id % 5 as double) as v")
+    options = {"rows_per_range": 2}
+    numbered = ordering.with_row_numbers(df, ["at", "id"], **options)
+    assert numbered.select(F.max("position"), F.countDistinct("position")).first() == (10_000, 10_000)
+    assert ordering.with_ranges(df, ["at", "id"], 10_000, 2).select(ordering.RANGE).distinct().count() > 2_500
+    names = {"l": ("lag", 2, 0), "m": ("avg", -2, 0)}
+    one, many = (ordering.with_lookback(df, ["at", "id"], [], 2, names, "v", **o).select("id", "l", "m") for o in ({}, options))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_quantiles_by_brackets(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "DIRECT_CELLS", 0)
     monkeypatch.setattr(quantiles, "READ_LIMIT", 20)
@@ -103,24 +128,27 @@ def test_salted_lookup(spark):
     assert hot_values(df, "v", 300) == ["hot"]
     counts = value_counts(df, "v")
     plain = sorted(map(str, attach_by_value(df, "v", counts).collect()))
-    assert plain == sorted(map(str, attach_by_value(df, "v", counts, ["hot"]).collect()))
+    assert plain == sorted(map(str, attach_by_value(df, "v", counts, counts, task_rows=30).collect()))
 
 
 def test_spread_join(spark):
     rows = spark.range(200).selectExpr("id", "case when id % 3 = 0 then 7 else id end as q1", "1 as q2")
     table = spark.range(200).selectExpr("id as q1", "1 as q2", "id * 2 as v")
     plain = sorted(map(str, join_spread(rows, table, ["q1", "q2"]).select("id", "v").collect()))
-    assert plain == sorted(map(str, join_spread(rows, table, ["q1", "q2"], hot=[7]).select("id", "v").collect()))
+    assert plain == sorted(map(str, join_spread(rows, table, ["q1", "q2"], task_rows=20).select("id", "v").collect()))
 
 
-def test_rank_correlation_large_path(spark, monkeypatch):
-    df = spark.range(400).selectExpr("case when id % 3 = 0 then 0D else id * 7 % 101 end as a", "id * 13 % 89 as b", "id * id % 71 as y")
+def test_rank_correlation_in_ranges(spark, monkeypatch):
+    df = spark.range(400).selectExpr(
+        "case when id % 3 = 0 then 0D else id * 7 % 101 end as a", "id * 13 % 89 as b", "if(id % 4 = 0, null, id % 37) as c", "id * id % 71 as y"
+    )
     small = {r["column"]: r["r"] for r in correlate.all_rank_correlations(df, "y").collect()}
-    monkeypatch.setattr(correlate, "SKEW_ROWS", 10)
+    monkeypatch.setattr(correlate, "with_ranges", partial(ordering.with_ranges, rows_per_range=9))
     large = {r["column"]: r["r"] for r in correlate.all_rank_correlations(df, "y").collect()}
-    expected = df.toPandas().rank().corr()["y"].abs()
-    for c in ("a", "b"):
-        assert small[c] == pytest.approx(expected[c]) and large[c] == pytest.approx(expected[c])
+    pandas = df.toPandas()
+    for c in ("a", "b", "c"):
+        expected = abs(pandas[[c, "y"]].dropna().rank().corr()["y"][c])
+        assert small[c] == pytest.approx(expected) and large[c] == pytest.approx(expected)
 
 
 def test_many_pairs_match_few(spark, monkeypatch):

@@ -10,15 +10,15 @@ from tablemend.plans import training
 
 def test_hot_values_are_spread(spark):
     df = spark.range(500).selectExpr("id", "case when id < 200 then 'hot' when id < 350 then null else concat('v', id % 40) end as v")
-    hot = lookup.value_salts(df, "v", 50)
-    assert hot == {"hot": 4, None: 3}
     table = lookup.value_counts(df, "v")
+    salts = {r["__hot"]: r["__salts"] for r in lookup.salt_table(table, 50).collect()}
+    assert salts == {"hot": 4}
     plain = sorted(lookup.attach_by_value(df, "v", table).collect(), key=str)
-    assert sorted(lookup.attach_by_value(df, "v", table, hot).collect(), key=str) == plain
+    assert sorted(lookup.attach_by_value(df, "v", table, table, task_rows=50).collect(), key=str) == plain
     left = df.filter("v is not null")
     keyed = table.withColumnRenamed("value", "v")
     for how in ("inner", "left"):
-        spread = lookup.join_spread(left, keyed, ["v"], how, hot={"hot": 4})
+        spread = lookup.join_spread(left, keyed, ["v"], how, task_rows=50)
         assert sorted(spread.select("id", "v", "n").collect()) == sorted(left.join(keyed, "v", how).select("id", "v", "n").collect())
 
 
