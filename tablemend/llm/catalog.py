@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import twins
 from .licenses import license_notices, twin_sql
+from .store import short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -14,6 +14,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Fewer rows in a batch that goes to a Python worker: whole texts are long, and a batch is held several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read back: what follows neither recomputes it nor depends on executors."""
     path = scratch(df.sparkSession, name)

@@ -360,7 +360,7 @@ def test_clashing_columns(spark, docs):
 
 
 def brute_lines(rows, depth=3, similarity=0.8, least=5, letters=12):
-    """Pairs of lines are compared word by word: they share a template if they agree outside one field of the size allowed."""
+    """Pairs of lines are compared word by word: they share a template if they agree outside one field."""
 
     def cut(line):
         words = line.split()
@@ -376,9 +376,10 @@ def brute_lines(rows, depth=3, similarity=0.8, least=5, letters=12):
         if figures[0] != figures[1]:
             return False
         if n >= least and free:
-            for k in range(depth, n - free + 1):
-                c = [*a[:k], *["<*>"] * free, *a[k + free :]]
-                if c == [*b[:k], *["<*>"] * free, *b[k + free :]] and c.count("<*>") * 2 <= n:
+            for k in range(depth, n, free):
+                gap = ["<*>"] * min(free, n - k)
+                c = [*a[:k], *gap, *a[k + free :]]
+                if c == [*b[:k], *gap, *b[k + free :]] and c.count("<*>") * 2 <= n:
                     return True
         return a == b
 
