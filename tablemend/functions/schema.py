@@ -43,6 +43,42 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Field metadata that holds a column's marks; Spark keeps it in Parquet schemas.
+MARKS = "tablemend"
+KEY, PROTECTED, QUARANTINED = "key", "protected", "quarantined"
+
+
+def with_marks(df: DataFrame, marks: dict[str, list[str]]) -> DataFrame:
+    """Mark columns as key, protected or quarantined, beside the marks they have; unknown columns are an error."""
+    wanted: dict[str, set[str]] = {}
+    for kind, columns in marks.items():
+        if kind not in (KEY, PROTECTED, QUARANTINED):
+            raise ValueError(f"unknown mark {kind!r}")
+        for c in columns:
+            if c not in df.columns:
+                raise ValueError(f"no column {c!r} to mark")
+            wanted.setdefault(c, set()).add(kind)
+    for c, kinds in wanted.items():
+        kept = df.schema[c].metadata
+        df = df.withMetadata(c, {**kept, MARKS: sorted({*kept.get(MARKS, []), *kinds})})
+    return df
+
+
+def marked_columns(df: DataFrame, kind: str) -> list[str]:
+    """Columns with a mark, in the order of the table."""
+    return [f.name for f in df.schema if kind in f.metadata.get(MARKS, [])]
+
+
+def keep_marks(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after`` with the marks of the columns of the same name in ``before``, which a projection loses."""
+    lost: dict[str, list[str]] = {}
+    for f in before.schema:
+        if f.name in after.columns:
+            for kind in set(f.metadata.get(MARKS, [])) - set(after.schema[f.name].metadata.get(MARKS, [])):
+                lost.setdefault(kind, []).append(f.name)
+    return with_marks(after, lost) if lost else after
+
+
 def target_of(df: DataFrame, target: str | None) -> str:
     """The target column: the one named, else the last."""
     name = target.strip() if target else df.columns[-1]

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import col, drop_empty_rows, missing, normalise, number_literal, require_rows, text_to_number
-from ..functions.schema import is_numeric, is_text, numeric_columns, quoted, target_of, text_columns
+from ..functions.schema import (
+    KEY, PROTECTED, QUARANTINED, is_numeric, is_text, keep_marks, marked_columns, numeric_columns, quoted, target_of, text_columns, with_marks,
+)
 from ..operators import encode, extra, features, impute, labels, near_duplicates, outliers, quality, roles
 from ..operators.correlate import redundant_pairs
 from ..operators.lookup import attach_by_value, join_spread, value_counts
@@ -95,7 +97,7 @@ class Repair:
 
 
 def _apply(df: DataFrame, step: Step, tables: dict[str, DataFrame]) -> DataFrame:
-    return _APPLY[step.kind](df, step.args, tables)
+    return keep_marks(df, _APPLY[step.kind](df, step.args, tables))
 
 
 def _only(df: DataFrame, columns: list[str]) -> list[str]:
@@ -291,11 +293,16 @@ def fit_repair(
 
     ``readable`` keeps the column list (dates as text, no encoding); otherwise the table becomes
     model-ready. Lags of a time series need ``order_by``. Columns named by ``key`` tell rows apart:
-    no step changes them, and none reads them as a number. Protected columns are never dropped for
-    their holes.
+    no step changes them, and none reads them as a number; without ``key`` those marked as key in the
+    schema count. Columns marked as protected pass unchanged as well, and the marks of both and of
+    quarantined columns stay in the schema of the result. Columns that the strategy protects are never
+    dropped for their holes.
     """
-    keys = [key] if isinstance(key, str) else list(key or [])
+    keys = [key] if isinstance(key, str) else list(key or marked_columns(df, KEY))
+    protected = [c.strip() for c in marked_columns(df, PROTECTED)]
     policy = policy or policy_for("gentle" if readable else "balanced")
+    marks = {KEY: keys, PROTECTED: protected, QUARANTINED: [c.strip() for c in marked_columns(df, QUARANTINED)]}
+    labels_key = keys
     df = normalise(df)
     require_rows(df, "repair")
     original = df.columns
@@ -303,13 +310,14 @@ def fit_repair(
     strategy = strategy or build_strategy(df, target)
     if strategy.is_small:
         policy = policy.merge(apply_transformation=False, apply_normalization=False, apply_log_transform=False)
+    keys = [*keys, *(c for c in protected if c not in keys and c != target)]
     fit = _Fitting(df, target)
     fit.do("normalise")
     rows = strategy.rows
     dropped: list[str] = []
 
     holes = fit.holes(df.columns)
-    empty = [c for c in df.columns if holes[c] == rows]
+    empty = [c for c in df.columns if holes[c] == rows and c not in protected]
     if empty:
         fit.do("empty_columns", ("fill_empty_columns", None, ", ".join(empty)), columns=empty)
     fit.do("drop_empty_rows")
@@ -376,7 +384,7 @@ def fit_repair(
         _fit_encoding(fit, strategy, target, keys)
     _fit_sweep(fit, keys)
     if not readable and policy.correct_label_noise:
-        _fit_labels(fit, target, keys)
+        _fit_labels(fit, target, labels_key)
 
     quality.require_no_column_loss([c for c in original if c not in dropped], fit.df.columns)
     fit.repair.weights = encode.class_weights(fit.df, target)
@@ -385,7 +393,9 @@ def fit_repair(
     if not readable and policy.encode_features:
         for r in redundant_pairs(fit.df, numeric_columns(fit.df, [target, *keys])).collect():
             fit.log("flag_redundant_features", r["right"], f"correlates {r['r']} with {r['left']}")
-    fit.repair.frame = fit.df
+    fit.repair.quarantined = sorted({*fit.repair.quarantined, *marks[QUARANTINED]})
+    marks[QUARANTINED] = fit.repair.quarantined
+    fit.repair.frame = with_marks(fit.df, {kind: [c for c in columns if c in fit.df.columns] for kind, columns in marks.items()})
     return fit.repair
 
 

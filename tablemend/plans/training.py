@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import col, missing
-from ..functions.schema import is_temporal, numeric_columns, quoted, target_of, text_columns
+from ..functions.schema import KEY, QUARANTINED, is_temporal, marked_columns, numeric_columns, quoted, target_of, text_columns
 from ..operators import encode, features
 from ..operators.labels import FOLDS, class_index, fold_of
 from ..operators.lookup import attach_by_value, value_counts
@@ -153,8 +153,15 @@ def prepare(
     df: DataFrame, target: str | None = None, key: str = "id", quarantined: list[str] | tuple[str, ...] = (),
     balance: bool = True, task: str | None = None,
 ) -> Prepared:
-    """Matrix, split, balancing of the training part (SMOTE, then the Tomek links of the result), scaling statistics."""
+    """Matrix, split, balancing of the training part (SMOTE, then the Tomek links of the result), scaling statistics.
+
+    Columns marked as quarantined in the schema are left out like those listed, and where there is no column ``key``, the
+    one marked as key is it.
+    """
     target = target_of(df, target)
+    quarantined = [*quarantined, *(c for c in marked_columns(df, QUARANTINED) if c not in quarantined)]
+    if key not in df.columns and len(marked_columns(df, KEY)) == 1:
+        key = marked_columns(df, KEY)[0]
     task = task or task_type(df, target)
     wide, columns, left_out = training_matrix(df, target, key, quarantined)
     present = wide.filter(~missing(target, wide.schema[target].dataType))

@@ -1,8 +1,11 @@
 """Keys survive the repair, new holes are filled, and what did not run is not reported as 0."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from tablemend.functions import schema
 from tablemend.operators.near_duplicates import near_duplicate_rows
+from tablemend.plans import training
 from tablemend.plans.diagnosis import DiagnosisOptions, diagnose_table
 from tablemend.plans.policy import policy_for
 from tablemend.plans.repair import fit_repair
@@ -49,3 +52,25 @@ def test_checks_that_did_not_run_are_null(spark):
     assert bare["near_duplicates"] == 40
     cut = diagnose_table(pairs, "y", DiagnosisOptions(False, False, False)).metrics.first()
     assert cut["near_duplicates"] is None and cut["isolation_outliers"] is None and cut["label_noise"] is None
+
+
+def test_marks_travel_with_the_schema(spark, tmp_path):
+    """A protected column passes the repair unchanged, and marks survive every step, writing and reading."""
+    df = spark.range(300).selectExpr(
+        "id as row_id", "if(id % 9 = 0, null, id * id % 50 * 1D) as kept", "if(id % 9 = 0, null, id * 31 % 70 * 1D + if(id = 7, 900, 0)) as mended",
+        "element_at(array('a', 'b'), cast(id % 2 + 1 as int)) as word", "id % 5 as leak", "id % 2 as y",
+    )
+    df = schema.with_marks(df, {"key": ["row_id"], "protected": ["kept", "word"], "quarantined": ["leak"]})
+    for readable in (True, False):
+        fitted = fit_repair(df, "y", policy_for("balanced"), readable=readable)
+        path = str(tmp_path / f"t{readable}")
+        fitted.frame.write.parquet(path)
+        back = spark.read.parquet(path)
+        assert back.select("row_id", "kept", "word").exceptAll(df.select("row_id", "kept", "word")).count() == 0 and back.count() == 300
+        assert back.filter("mended is null or mended > 800").count() == 0
+        assert schema.marked_columns(back, "protected") == ["kept", "word"] and schema.marked_columns(back, "key") == ["row_id"]
+        assert "leak" in schema.marked_columns(back, "quarantined") and "leak" in fitted.quarantined
+    data = training.prepare(back, "y", "id")
+    assert "leak" not in data.columns and "row_id" not in data.columns and "mended" in data.columns
+    with pytest.raises(ValueError):
+        schema.with_marks(df, {"key": ["none"]})
