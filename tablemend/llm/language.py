@@ -3,7 +3,7 @@
 A suffix automaton is built from labelled text of each language. A text is parsed into the longest matches with a
 language's text, one after the other; the language whose automaton needs the fewest phrases for a character wins.
 Texts are lower-cased, everything but letters becomes one blank, and the parsing reads their UTF-8 bytes in blocks, at
-whose ends a phrase ends as well.
+whose ends a phrase ends as well. A byte that no learnt text of a language has is a phrase of its own.
 """
 
 from __future__ import annotations
@@ -123,11 +123,13 @@ class Parser:
             to = self.table[state[:n] * self.width + kind]
             cut = to == 0
             if cut.any():
-                count[:n] += cut
-                again = self.table[np.broadcast_to(roots * self.width, (n, len(roots)))[cut] + np.broadcast_to(kind, cut.shape)[cut]]
-                to[cut] = np.where(again == 0, np.broadcast_to(roots, cut.shape)[cut], again)
+                root = np.broadcast_to(roots, cut.shape)[cut]
+                again = self.table[root * self.width + np.broadcast_to(kind, cut.shape)[cut]]
+                # the phrase ends; a byte that no text of the language has is one of its own
+                count[:n][cut] += 1 + ((again == 0) & (state[:n][cut] != root))
+                to[cut] = np.where(again == 0, root, again)
             state[:n] = to
-        np.add.at(out, owner, count + 1)
+        np.add.at(out, owner, count + (state != roots))  # at its language's root a block has no open phrase
         return out
 
 
@@ -155,12 +157,14 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, documents: int = 64, characters: int = 2000, languages: int = 200) -> list[tuple[str, bytes]]:
-    """Learnt text of each language: the first ``characters`` of ``documents`` different texts, those of least hash.
+def learn(docs: DataFrame, documents: int = 64, characters: int = 3000, languages: int = 200) -> list[tuple[str, bytes]]:
+    """Learnt text of each language: ``documents`` different whole texts of at most ``characters``, those of least hash.
 
-    This is a bounded sample of labelled rows: at most ``languages`` (the most frequent) times documents times characters.
+    This is a bounded sample of labelled rows: at most ``languages`` (the most frequent ones; others are not predicted)
+    times documents times characters. Where a language has fewer such texts, all of them are learnt.
     """
-    known = docs.filter(~held_out()).filter("lang is not null and text is not null").select("lang", F.substring("text", 1, characters).alias("t"))
+    known = docs.filter(~held_out()).filter("lang is not null and text is not null").select("lang", F.col("text").cast("string").alias("t"))
+    known = known.filter(F.length("t") <= characters)
     known = known.filter(F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t")).select("lang", "h", "t")
     # each task keeps its own least rows before the shuffle, so no language is gathered in one task
     least = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from tablemend.llm import licenses, lines, packing, token_file, top_products
 from tablemend.llm.decontaminate import clean, contamination
 from tablemend.llm.graph import components
-from tablemend.llm.language import Automaton, languages
+from tablemend.llm.language import Automaton, Parser, languages
 from tablemend.llm.licenses import license_notices
 from tablemend.llm.near_copies import near_copies, signatures
 from tablemend.llm.skew import attach
@@ -308,6 +308,29 @@ def test_warc(spark, split):
     assert all(r.intact for r in found)
 
 
+def test_phrases_equal_brute_force(monkeypatch):
+    """Longest matches one after the other; foreign bytes are phrases, and blocks end them."""
+    rng = random.Random(3)
+    for block in (512, 5):
+        monkeypatch.setattr("tablemend.llm.language.BLOCK", block)
+        for _ in range(60):
+            learnt = [(x, bytes([255]).join(bytes(rng.choice(letters) for _ in range(rng.randint(1, 25))) for _ in range(3))) for x, letters in (("a", b"abc "), ("b", b"bcd"))]
+            texts = [bytes(rng.choice(b"abcd z") for _ in range(rng.randint(1, 30))) for _ in range(8)]
+            wanted = []
+            for t in texts:
+                row = []
+                for _, known in learnt:
+                    parts, n = known.split(bytes([255])), 0
+                    for at in range(0, len(t), block):
+                        rest = t[at : at + block]
+                        while rest:
+                            k = max([k for k in range(1, len(rest) + 1) if any(rest[:k] in p for p in parts)], default=1)
+                            rest, n = rest[k:], n + 1
+                    row.append(n)
+                wanted.append(row)
+            assert Parser(learnt).phrases(texts).tolist() == wanted
+
+
 def test_contamination(spark, docs, none):
     items = [(1, "Word5x1 word6x2 WORD7x2 word8x2 word9x3 word10x3 word11x3 word12x4 word13x4 word14x4 word15x5"), (2, "one TWO"), (3, None), (4, "..."), (20, "two three"), (5, "Köln"), (None, "gap here"), (5, "Grüße aus")]
     table = spark.createDataFrame(items, "item_id bigint, text string")
