@@ -11,6 +11,7 @@ from ..operators.roles import detect_roles
 from ..session import shared_folder
 from ..sinks import versions
 from ..sources import csv
+from ..sources.charset import opened
 from .registry import damaged_sql, defective, register, table
 
 
@@ -95,17 +96,55 @@ def encoded_folder_scan(spark, folder):
 
 @register("zip_csv_scan", CUSTOMER_SQL.format("customer"))
 def zip_csv_scan(spark, folder):
-    """One archive per thousand customers, each with a text file before its CSV member."""
+    """One archive per thousand customers in the shared folder, each with a text file before its CSV member."""
     bins = table(spark, folder, "customer").withColumn("bin", F.floor(F.col("c_custkey") / 1000).cast("string"))
+    path = _scratch(spark)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         packed = io.BytesIO()
         with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
             archive.writestr("about.txt", "customers")
             archive.writestr("customers.csv", rows[CUSTOMER].to_csv(index=False))
-        return pd.DataFrame({"path": [rows["bin"].iloc[0]], "content": [packed.getvalue()]})
+        return pd.DataFrame({"path": [put(path, f"{rows['bin'].iloc[0]}.zip", packed.getvalue())]})
+
+    written = bins.groupBy("bin").applyInPandas(pack, "path string").collect()
+    return csv.scan_zip_csv(spark, sorted(r["path"] for r in written))
+
+
+def put(folder: str, name: str, raw: bytes) -> str:
+    """Write a file of a task to the shared folder; a task that runs again writes the same file again."""
+    system, place = opened(f"{folder.rstrip('/')}/{name}")
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(place) as out:
+        out.write(raw)
+    return f"{folder.rstrip('/')}/{name}"
 
-    return csv.zip_table(bins.groupBy("bin").applyInPandas(pack, "path string, content binary"))
+
+@register("charset_folder_scan", "select doc_id, lang, replace(regexp_replace(text, '[\x80-\x9F]', '?', 'g'), chr(10), ' ') as line from documents")
+def charset_folder_scan(spark, folder):
+    """A third of the rows is written as UTF-16, a third as Windows-1252 and a third as UTF-8; all come back alike."""
+    clean = F.regexp_replace("text", "[\\x{80}-\\x{9f}]", "?")
+    rows = table(spark, folder, "documents").select("doc_id", "lang", F.replace(clean, F.lit("\n"), F.lit(" ")).alias("line"))
+    charset = F.element_at(F.array(F.lit("utf-16"), F.lit("windows-1252"), F.lit("utf-8")), F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int") + 1)
+    path = _scratch(spark)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        charset = rows["charset"].iloc[0]
+        cells = rows[["doc_id", "lang", "line"]]
+        if charset == "windows-1252":
+            # what the charset lacks stays in a file of its own, and the euro sign tells the charset
+            fits = cells["line"].map(lambda t: t is None or t.encode("cp1252", "ignore").decode("cp1252") == t)
+            cells, rest = cells[fits], cells[~fits]
+            if len(rest):
+                put(path, f"{rows['part'].iloc[0]}-rest.csv", rest.to_csv(index=False).encode())
+            cells = pd.concat([cells, pd.DataFrame({"doc_id": [-1], "lang": ["\u20ac"], "line": [""]})])
+        put(path, f"{rows['part'].iloc[0]}-{charset}.csv", cells.to_csv(index=False).encode("cp1252" if charset == "windows-1252" else charset))
+        return pd.DataFrame({"path": [charset]})
+
+    parted = rows.withColumn("charset", charset).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("string"))
+    parted.groupBy("charset", "part").applyInPandas(pack, "path string").collect()
+    found = csv.scan_csv_folder(spark, f"{path}/*.csv")
+    return found.filter("doc_id >= 0").select("doc_id", "lang", F.coalesce("line", F.lit("")).alias("line"))
 
 
 @register(

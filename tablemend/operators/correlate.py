@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import col
 from ..functions.moments import pearson
 from ..functions.schema import is_numeric, numeric_columns, target_of
+from ..session import settle
 from .lookup import attach_by_value
 from .ordering import RANGE, with_ranges
 from .profile import distinct_counts, number, per_column
@@ -134,14 +135,14 @@ def all_rank_correlations(df: DataFrame, target: str, features: list[str] | None
     parts = []
     if whole:
         first = plain.withColumn("column", F.lit(-1))
-        parts.append(cells(_attach_ranks(first, first, "y", row["n"]), whole, "rank_y"))
+        parts.append(cells(_attach_ranks(first, first, "y"), whole, "rank_y"))
     if holed:
         paired = cells(plain, holed, "y").filter(F.col("x").isNotNull())
-        parts.append(_attach_ranks(paired, paired, "y", row["n"] * len(holed)).select("column", "x", "rank_y"))
+        parts.append(_attach_ranks(paired, paired, "y").select("column", "x", "rank_y"))
     if not parts:
         return df.sparkSession.createDataFrame([], "column string, r double")
     paired = reduce(DataFrame.unionByName, parts)
-    ranked = _attach_ranks(paired, paired, "x", row["n"] * len(features))
+    ranked = _attach_ranks(paired, paired, "x")
     sums = ranked.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"),
         *[
@@ -157,13 +158,14 @@ def all_rank_correlations(df: DataFrame, target: str, features: list[str] | None
     return sums.select(named.alias("column"), r.alias("r"))
 
 
-def _attach_ranks(cells: DataFrame, base: DataFrame, side: str, bound: int) -> DataFrame:
+def _attach_ranks(cells: DataFrame, base: DataFrame, side: str) -> DataFrame:
     """Join the centred average rank of each value (shifted by half the count to keep sums small).
 
-    ``base`` holds the column numbers and values that are ranked, at most ``bound`` rows.
+    ``base`` holds the column numbers and values that are ranked. Their counts are written once, for
+    cuts, ranks and salts all come from them.
     """
-    counts = base.groupBy("column", side).agg(F.count(F.lit(1)).alias("n"))
-    ranged = with_ranges(counts, ["column", side], rows=bound)
+    counts = settle(base.groupBy("column", side).agg(F.count(F.lit(1)).alias("n")))
+    ranged = with_ranges(counts, ["column", side])
     inside = Window.partitionBy(RANGE, "column").orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
     # one row per range and column: small however long the table is
     sizes = ranged.groupBy(RANGE, "column").agg(F.sum("n").alias("size"))

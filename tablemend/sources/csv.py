@@ -3,17 +3,14 @@ and type inference over all rows (SRC1-SRC6, SRC11)."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import col, tidy_names
 from ..functions.schema import quoted
+from ..session import settle
+from .charset import charset_lines
 
 # Cell texts read as missing.
 NULL_TOKENS = [
@@ -21,8 +18,6 @@ NULL_TOKENS = [
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Encodings tried in turn; the last one reads any bytes.
-ENCODINGS = ["utf-8", "iso-8859-1"]
 SEPARATORS = [",", ";", "\t", "|"]
 RAGGED = "_corrupt_record"
 
@@ -43,15 +38,19 @@ def file_encodings(spark: SparkSession, path: str) -> DataFrame:
 
 def encoding_of(lines: DataFrame) -> DataFrame:
     """Encoding of each ``path`` from its lines (path, length, head): marked UTF-8 or UTF-16, valid UTF-8
-    throughout, else Latin-1. A mark can only begin a file's first line; the bytes FE and FF that start
+    throughout, else Windows-1252 if a line that is not valid UTF-8 has bytes that are control characters in
+    Latin-1 and letters there, else Latin-1. A mark can only begin a file's first line; the bytes FE and FF that start
     the UTF-16 mark never occur in UTF-8 text."""
     start = F.hex(F.substring("head", 1, 3))
     marked = start.startswith("FFFE") | start.startswith("FEFF")
     if "first_block" in lines.columns:
         marked = marked & F.col("first_block")
+    valid = F.is_valid_utf8(F.col("head").cast("string"))
+    letters = ~valid & F.hex("head").rlike("^(..)*[89]")
     encoding = (
         F.when(F.bool_or(marked), "utf-16")
-        .when(F.bool_and(F.is_valid_utf8(F.col("head").cast("string"))), "utf-8")
+        .when(F.bool_and(valid), "utf-8")
+        .when(F.bool_or(letters), "windows-1252")
         .otherwise("iso-8859-1")
     )
     return lines.groupBy("path").agg(F.max("length").alias("length"), encoding.alias("encoding"))
@@ -121,13 +120,17 @@ def scan_csv(
 def scan_csv_folder(spark: SparkSession, path: str, **options) -> DataFrame:
     """All CSV files under a path, each read in its own encoding, by name (SRC2).
 
-    Files are grouped by encoding: as many scans as there are encodings, not as there are files.
+    Files are grouped by encoding: as many scans as there are encodings, not as there are files. UTF-16 and Windows-1252
+    are read as lines in byte ranges, so a cell of such a file cannot hold a line end; files of one header are one scan.
     """
     groups = file_encodings(spark, path).groupBy("encoding").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    parts = [
-        scan_csv(spark, r["paths"], encoding=r["encoding"], multiline=r["encoding"] == "utf-16", infer=False, **options)
-        for r in groups.orderBy("encoding").collect()
-    ]
+    parts = []
+    for r in groups.orderBy("encoding").collect():
+        if r["encoding"] in ("utf-8", "iso-8859-1"):
+            parts.append(scan_csv(spark, r["paths"], encoding=r["encoding"], infer=False, **options))
+        else:
+            lines = settle(charset_lines(spark, r["paths"], r["encoding"]))
+            parts += line_tables(lines, options.get("sep", ","))
     if not parts:
         raise ValueError(f"no files under {path}")
     table = parts[0]
@@ -136,6 +139,15 @@ def scan_csv_folder(spark: SparkSession, path: str, **options) -> DataFrame:
     return infer_types(table)
 
 
+def line_tables(lines: DataFrame, sep: str) -> list[DataFrame]:
+    """The files of ``lines`` (path, split, number, value) as tables of text, one for each different header."""
+    first = (F.col("split") == 0) & (F.col("number") == 0)
+    heads = lines.filter(first).select("path", F.col("value").alias("__head"))
+    layouts = [r["__head"] for r in heads.select("__head").distinct().orderBy("__head").collect()]  # a row a layout
+    body = lines.filter(~first).join(heads, "path")
+    return [cells_of(body.filter(F.col("__head") == F.lit(head)).select("value"), head, sep) for head in layouts]
+
+
 def null_tokens(df: DataFrame) -> DataFrame:
     """Text cells that spell a missing value become null."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -187,13 +199,18 @@ def repaired_lines(lines: DataFrame) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, header: str, sep: str = ",") -> DataFrame:
-    """Repaired lines of one layout, without header lines, as a typed table; lines with too many cells leave."""
+    """Lines of one layout, without header lines, as a typed table; lines with too many cells leave."""
+    return infer_types(cells_of(lines, header, sep))
+
+
+def cells_of(lines: DataFrame, header: str, sep: str) -> DataFrame:
+    """The cells of lines as text, missing ones null."""
     names = [n.strip().strip('"') for n in header.split(sep)]
     spare = "__spare"
     schema = ", ".join(f"{quoted(n)} string" for n in [*names, spare])
     options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}
     parsed = lines.select(F.from_csv("value", schema, options).alias("row")).select("row.*")
-    return infer_types(null_tokens(tidy_names(parsed.filter(F.col(spare).isNull()).drop(spare))))
+    return null_tokens(tidy_names(parsed.filter(F.col(spare).isNull()).drop(spare)))
 
 
 def scan_broken_csv(
@@ -212,45 +229,15 @@ def scan_broken_csv(
     return parse_lines(lines.filter(F.col("value") != F.lit(header)).select("value").unionByName(rows), header, sep)
 
 
-def zip_lines(archives: DataFrame, encoding: str = "utf-8") -> DataFrame:
-    """Lines of the first CSV member of each archive (path, content): archive, number, value (SRC6).
+def scan_zip_csv(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", sep: str = ",") -> DataFrame:
+    """Typed table of the first CSV member of every archive under a path; they share one header line (SRC6).
 
-    An archive is opened by one task, for the format cannot be split; its lines are streamed out
-    in batches, so only the packed bytes are held.
+    Each archive is opened once, by the task that unpacks it: its lines are written, and header, types and rows come from
+    what was written.
     """
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
-                    if not members:
-                        continue
-                    with archive.open(members[0]) as member:
-                        lines, start = [], 0
-                        for line in io.TextIOWrapper(member, encoding=encoding, errors="replace"):
-                            lines.append(line.rstrip("\r\n"))
-                            if len(lines) == 10_000:
-                                yield _packed(name, start, lines)
-                                lines, start = [], start + len(lines)
-                        if lines:
-                            yield _packed(name, start, lines)
-
-    return archives.select("path", "content").mapInPandas(unpack, "archive string, number long, value string")
-
-
-def _packed(name: str, start: int, lines: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"archive": name, "number": range(start, start + len(lines)), "value": lines})
-
-
-def scan_zip_csv(spark: SparkSession, path: str, encoding: str = "utf-8", sep: str = ",") -> DataFrame:
-    """Typed table of the first CSV member of every archive; they share one header line."""
-    return zip_table(spark.read.format("binaryFile").load(path), encoding, sep)
-
-
-def zip_table(archives: DataFrame, encoding: str = "utf-8", sep: str = ",") -> DataFrame:
-    lines = zip_lines(archives, encoding)
-    header = repaired_lines(lines.filter("number = 0").select("value")).first()["value"]
+    paths = path if isinstance(path, list) else [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
+    lines = settle(charset_lines(spark, paths, encoding))
+    header = repaired_lines(lines.filter("number = 0").orderBy("path").limit(1).select("value")).first()["value"]
     return parse_lines(repaired_lines(lines.filter("number > 0").select("value")), header, sep)
 
 
