@@ -10,6 +10,7 @@ from ..functions.cells import col, missing
 from ..functions.moments import adjusted_kurtosis, adjusted_skew
 from ..session import settle
 from ..functions.schema import is_text, numeric_columns
+from .lookup import join_spread
 from .neighbours import attach_neighbours, nearest
 from .ordering import with_row_numbers
 from .profile import distinct_counts, duplicate_rows, number, per_column, rows_frame
@@ -210,13 +211,14 @@ def local_outlier_factor(
     near = settle(attach_neighbours(present, found, key, True, k).select(key, "neighbour", "distance"))
     reach = near.groupBy(key).agg(F.max("distance").alias("kdist"))
     density = (
-        near.join(reach.select(F.col(key).alias("neighbour"), "kdist"), "neighbour")
+        # a row may be near to very many others
+        join_spread(near, reach.select(F.col(key).alias("neighbour"), "kdist"), ["neighbour"], spread=F.xxhash64(key))
         .groupBy(key)
         .agg((1.0 / (F.avg(F.greatest("distance", "kdist")) + 1e-10)).alias("density"))
     )
     other = density.select(F.col(key).alias("neighbour"), F.col("density").alias("near_density"))
     lof = (
-        near.join(other, "neighbour")
+        join_spread(near, other, ["neighbour"], spread=F.xxhash64(key))
         .groupBy(key)
         .agg(F.avg("near_density").alias("mean_density"))
         .join(density, key)

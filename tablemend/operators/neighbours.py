@@ -88,10 +88,11 @@ def nearest(
     bounds = {r["cell"]: (r["n"], r["near"], r["far"]) for r in cells.collect()}
     sizes = {c: b[0] for c, b in bounds.items()}
     asked = settle(_assign(asked, centres))
-    own = settle(_search(asked.select("vec", *MARK, "cell"), donors.drop("reach"), k, payload, sizes, block))
+    # the chunks of a cell are merged before anything is written: at most k rows a query
+    own = settle(_first(_search(asked.select("vec", *MARK, "cell"), donors.drop("reach"), k, payload, sizes, block), k).drop("place"))
     kth = own.groupBy(*MARK).agg(
         F.count(F.lit(1)).alias("found"), F.array_sort(F.collect_list("distance")).alias("d")
-    )  # at most k rows per chunk of one cell
+    )  # at most k rows
     limits = kth.select(*MARK, F.when(F.col("found") >= k, F.get("d", F.lit(k - 1))).alias("limit"))
     routed = settle(_route(asked.join(limits, MARK, "left"), centres, bounds))
     others = _search(routed, donors.drop("reach"), k, payload, sizes, block)
