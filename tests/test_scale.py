@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablemend.operators import lookup, resample
+from tablemend.operators import lookup, near_duplicates, neighbours, resample
 from tablemend.plans import training
 
 
@@ -77,3 +77,16 @@ def test_text_targets_train(spark):
     df = spark.range(200).selectExpr("id", "(id % 2) * 10D + id % 3 as x", "element_at(array('no', 'yes'), cast(id % 2 + 1 as int)) as y")
     done = training.train_and_compare(df, "y", "id", training.TREE, options={training.TREE: {"maxDepth": 3}})
     assert done.best.scores["accuracy"] > 0.95
+
+
+def test_postings_stay_narrow(spark):
+    """A posting's size does not grow with the number of leading terms of its row, and near copies of long rows are found."""
+    rare = [" ".join(f"r{j}x{i}" for i in range(400)) for j in range(5)]
+    df = spark.createDataFrame([(2 * j + k, f"{r} w{k}") for j, r in enumerate(rare) for k in range(2)], "id long, text string")
+    vectors = near_duplicates._vectors(near_duplicates._folded(df, "id", ["text"]), cosine=0.97)
+    kinds = "term long, id long, mark long, nth int, left double, before binary, groups binary"
+    postings = vectors.select("id", "mark", "terms", "w").mapInArrow(near_duplicates._postings(0.97), kinds)
+    widest = postings.agg(F.max("nth").alias("nth"), F.max(F.length("before") + F.length("groups")).alias("bytes")).first()
+    assert widest["nth"] > near_duplicates.EARLIER and widest["bytes"] <= 8 * near_duplicates.EARLIER + 2 * near_duplicates.GROUPS
+    found = {r["id"]: r["near_id"] for r in near_duplicates.near_duplicate_rows(df, "id", ["text"]).collect()}
+    assert found == {i: i ^ 1 for i in range(10)}
