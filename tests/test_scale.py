@@ -90,3 +90,21 @@ def test_postings_stay_narrow(spark):
     assert widest["nth"] > near_duplicates.EARLIER and widest["bytes"] <= 8 * near_duplicates.EARLIER + 2 * near_duplicates.GROUPS
     found = {r["id"]: r["near_id"] for r in near_duplicates.near_duplicate_rows(df, "id", ["text"]).collect()}
     assert found == {i: i ^ 1 for i in range(10)}
+
+
+def test_blocks_where_cells_rule_out_little(spark, monkeypatch):
+    """Where nearly all cells are needed, a query is sent once to each block of rows, not to each cell."""
+    monkeypatch.setattr(neighbours, "CELLS", 2_000)
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (700, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    sent = []
+    search = neighbours._search
+    monkeypatch.setattr(neighbours, "_search", lambda asked, *rest: sent.append(asked.count()) or search(asked, *rest))
+    found = neighbours.nearest(df, df, 3, block=200)
+    got = {}
+    for r in neighbours.attach_neighbours(df, found, "id", False, 3).collect():
+        got.setdefault(r["id"], []).append((r["place"], r["neighbour"]))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert all([n for _, n in sorted(got[i])] == np.argsort(d[i], kind="stable")[:3].tolist() for i in range(700))
+    assert sent == [700, 700]
