@@ -1,6 +1,9 @@
 """The paths that only large tables take, with small tasks: salts, many classes, draws in blocks."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +111,36 @@ def test_blocks_where_cells_rule_out_little(spark, monkeypatch):
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     assert all([n for _, n in sorted(got[i])] == np.argsort(d[i], kind="stable")[:3].tolist() for i in range(700))
     assert sent == [700, 700]
+
+
+def test_distances_to_pivots_are_held_in_blocks(spark, monkeypatch):
+    """A batch of many rows against many pivots holds a bounded block of distances, and rules out only cells out of reach."""
+    tasks = []
+    made = F.struct(F.lit(0).alias("cell"), F.lit(0.0).alias("reach"))
+    monkeypatch.setattr(neighbours.F, "pandas_udf", lambda kind: lambda task: tasks.append(task) or (lambda *cells: made))
+    rng = np.random.default_rng(5)
+    centres, x = rng.normal(0, 1, (1_000, 3)), rng.normal(0, 1, (6_000, 3))
+    rows = spark.createDataFrame([], "vec array<double>, q1 long, q2 long")
+    neighbours._assign(rows, centres)
+    bounds = {c: (1, 0.0, 0.1) for c in range(999)}
+    neighbours._route(rows, centres, bounds)
+    vec = pd.Series(list(x))
+    tracemalloc.start()
+    placed = tasks[0](vec)
+    limit = pd.Series(np.where(np.arange(6_000) % 50, 0.05, np.nan))
+    cells = tasks[1](vec, placed["cell"], limit)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # all distances at once are 48 MB, several times
+    d = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(2))
+    assert (placed["cell"] == d.argmin(1)).all() and np.allclose(placed["reach"], d.min(1))
+    for i in range(0, 6_000, 25):
+        sure = set(np.flatnonzero(d[i, :999] <= 0.0) if i % 50 else range(999)) - {placed["cell"][i]}
+        assert sure <= set(cells[i]) <= (set(np.flatnonzero(d[i] <= 0.16)) if i % 50 else set(range(999)))
+
+
+def test_bound_of_the_nearest_cells():
+    """At least k cells of each row are within the bound, and few more."""
+    rough = np.random.default_rng(6).normal(0, 1, (50, 3_001))
+    within = (rough <= neighbours._edge(rough, 6)[:, None]).sum(1)
+    assert within.min() >= 6 and within.max() <= 6 * neighbours.FOLD
