@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablemend.operators import lookup, near_duplicates, neighbours, resample
+from tablemend.operators import lookup, near_duplicates, neighbours, ordering, resample
 from tablemend.plans import training
 
 
@@ -144,3 +144,13 @@ def test_bound_of_the_nearest_cells():
     rough = np.random.default_rng(6).normal(0, 1, (50, 3_001))
     within = (rough <= neighbours._edge(rough, 6)[:, None]).sum(1)
     assert within.min() >= 6 and within.max() <= 6 * neighbours.FOLD
+
+
+def test_cuts_are_passed_by_halving(spark):
+    """As many cuts as are not beyond the key, whatever their number."""
+    for n in (1, 2, 7, 8, 33):
+        cuts = F.array(*[F.struct(F.lit(str(c // 10)).alias("a"), F.lit(c).alias("b")) for c in range(10, 10 + 2 * n, 2)])
+        keys = spark.range(10, 90).select("id", F.struct((F.col("id") / 10).cast("int").cast("string").alias("a"), F.col("id").cast("int").alias("b")).alias("__key"))
+        passed = {r["id"]: r["at"] for r in keys.select("id", ordering._passed(cuts, n).alias("at")).collect()}
+        want = {i: sum((str(c // 10), c) <= (str(i // 10), i) for c in range(10, 10 + 2 * n, 2)) for i in range(10, 90)}
+        assert passed == want
