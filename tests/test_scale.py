@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablemend.operators import lookup, near_duplicates, neighbours, ordering, resample
+from tablemend.operators import correlate, lookup, near_duplicates, neighbours, ordering, resample
 from tablemend.plans import training
 
 
@@ -154,3 +154,21 @@ def test_cuts_are_passed_by_halving(spark):
         passed = {r["id"]: r["at"] for r in keys.select("id", ordering._passed(cuts, n).alias("at")).collect()}
         want = {i: sum((str(c // 10), c) <= (str(i // 10), i) for c in range(10, 10 + 2 * n, 2)) for i in range(10, 90)}
         assert passed == want
+
+
+def test_rank_sums_need_one_join_of_the_rows(spark, monkeypatch):
+    """Rows meet the target's ranks only, once with holes and once without; ties and holes count as they should."""
+    joins = []
+    attach = correlate.attach_by_value
+    monkeypatch.setattr(correlate, "attach_by_value", lambda *a: joins.append(1) or attach(*a))
+    rng = np.random.default_rng(8)
+    y = rng.normal(0, 1, 900).round(1)
+    cells = {"a": (y + rng.normal(0, 1, 900)).round(1), "b": rng.integers(0, 4, 900) * 1.0, "c": np.where(rng.random(900) < 0.3, np.nan, -y)}
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*cells.values(), y)]
+    found = {r["column"]: r["r"] for r in correlate.all_rank_correlations(spark.createDataFrame(rows, "a double, b double, c double, y double"), "y").collect()}
+    table = pd.DataFrame(cells)
+    for c in cells:
+        there = table[c].notna()
+        want = abs(np.corrcoef(table[c][there].rank(), pd.Series(y)[there].rank())[0, 1])
+        assert abs(found[c] - want) < 1e-9
+    assert len(joins) == 2
