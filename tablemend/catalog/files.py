@@ -1,6 +1,7 @@
 """Source and sink queries: the given tables written as text to the shared folder and read back."""
 
 import io
+import math
 import uuid
 import zipfile
 
@@ -120,6 +121,10 @@ def put(folder: str, name: str, raw: bytes) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
+#: Bytes of text of a written file; a task holds one file.
+FILE_BYTES = 4 << 20
+
+
 @register("charset_folder_scan", "select doc_id, lang, replace(regexp_replace(text, '[\x80-\x9F]', '?', 'g'), chr(10), ' ') as line from documents")
 def charset_folder_scan(spark, folder):
     """A third of the rows is written as UTF-16, a third as Windows-1252 and a third as UTF-8; all come back alike."""
@@ -141,7 +146,9 @@ def charset_folder_scan(spark, folder):
         put(path, f"{rows['part'].iloc[0]}-{charset}.csv", cells.to_csv(index=False).encode("cp1252" if charset == "windows-1252" else charset))
         return pd.DataFrame({"path": [charset]})
 
-    parted = rows.withColumn("charset", charset).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("string"))
+    size = table(spark, folder, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(4, math.ceil(size / (3 * FILE_BYTES)))
+    parted = rows.withColumn("charset", charset).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(files)).cast("string"))
     parted.groupBy("charset", "part").applyInPandas(pack, "path string").collect()
     found = csv.scan_csv_folder(spark, f"{path}/*.csv")
     return found.filter("doc_id >= 0").select("doc_id", "lang", F.coalesce("line", F.lit("")).alias("line"))

@@ -18,7 +18,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+#: Lines and characters of a batch; a line more may be over.
 LINES = 10_000
+CHARS = 4_000_000
 SCHEMA = "path string, split int, number bigint, value string"
 #: Byte order marks and the charsets they stand for.
 MARKS = [(b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xef\xbb\xbf", "utf-8")]
@@ -75,12 +77,13 @@ class CharsetReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         system, place = opened(partition.path)
         lines = self._members(system, place) if partition.stop is None else self._range(system, place, partition)
-        held, first = [], 0
+        held, first, chars = [], 0, 0
         for line in lines:
             held.append(line)
-            if len(held) == LINES:
+            chars += len(line)
+            if len(held) == LINES or chars >= CHARS:
                 yield _batch(partition, first, held)
-                held, first = [], first + len(held)
+                held, first, chars = [], first + len(held), 0
         if held:
             yield _batch(partition, first, held)
 

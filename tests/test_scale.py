@@ -1,5 +1,6 @@
 """The paths that only large tables take, with small tasks: salts, many classes, draws in blocks."""
 
+import json
 import tracemalloc
 
 import numpy as np
@@ -7,8 +8,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablemend.catalog import files
 from tablemend.operators import correlate, lookup, near_duplicates, neighbours, ordering, resample
 from tablemend.plans import training
+from tablemend.sources import charset
 
 
 def test_hot_values_are_spread(spark):
@@ -172,3 +175,26 @@ def test_rank_sums_need_one_join_of_the_rows(spark, monkeypatch):
         want = abs(np.corrcoef(table[c][there].rank(), pd.Series(y)[there].rank())[0, 1])
         assert abs(found[c] - want) < 1e-9
     assert len(joins) == 2
+
+
+def test_charset_files_stay_small(spark, monkeypatch):
+    """Larger tables are written as more files, not as larger ones, and all rows come back."""
+    monkeypatch.setattr(files, "FILE_BYTES", 3_000)
+    places = []
+    scan = files.csv.scan_csv_folder
+    monkeypatch.setattr(files.csv, "scan_csv_folder", lambda spark, path: places.append(path) or scan(spark, path))
+    folder = "/root/testdata/sf0.001"
+    back = files.charset_folder_scan(spark, folder).count()
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert back == documents.count()
+    assert spark.read.text(places[0]).select("_metadata.file_path").distinct().count() > max(12, size / 9_000)
+
+
+def test_batches_of_long_lines_are_short(tmp_path, monkeypatch):
+    monkeypatch.setattr(charset, "CHARS", 50)
+    (tmp_path / "a.csv").write_text("0123456789\n" * 23)
+    reader = charset.CharsetReader({"paths": json.dumps([str(tmp_path / "a.csv")])})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert max(len(b) for b in batches) == 5
+    assert [n for b in batches for n in b.column("number").to_pylist()] == list(range(23))
