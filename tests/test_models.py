@@ -145,3 +145,17 @@ def test_menu():
     with pytest.raises(ValueError):
         training.choose_models("regression", training.LOGISTIC)
     assert len(training.search_space(training.FOREST)) == 5
+
+
+def test_searched_settings_are_validated_once(spark, monkeypatch):
+    """The score of the chosen settings comes from the search; settings that override them are validated anew."""
+    asked = []
+    check = training.cross_validate
+    monkeypatch.setattr(training, "cross_validate", lambda *a: asked.append(check(*a)) or asked[-1])
+    df = spark.range(300).selectExpr("id", "cast(id % 17 as double) as x", "cast(id % 17 + id % 3 as double) as y")
+    data = training.prepare(df, "y", "id", task="regression")
+    for options, runs in (({}, training.SEARCH_SIZE), ({"maxBins": 16}, training.SEARCH_SIZE + 1)):
+        asked.clear()
+        done = training._train_one(training.TREE, data, options, True, True)
+        assert len(asked) == runs
+        assert done.scores["cv_mean"] == round(max(asked) if runs == training.SEARCH_SIZE else asked[-1], 4)
