@@ -159,3 +159,26 @@ def test_searched_settings_are_validated_once(spark, monkeypatch):
         done = training._train_one(training.TREE, data, options, True, True)
         assert len(asked) == runs
         assert done.scores["cv_mean"] == round(max(asked) if runs == training.SEARCH_SIZE else asked[-1], 4)
+
+
+def test_models_are_fitted_on_no_more_partitions_than_cores(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id as key", "cast(id % 7 as double) as label", "array(cast(id % 7 as double)) as vec", "cast(id % 3 as int) as fold")
+    rows = rows.repartition(60)
+    data = training.Prepared("regression", ["x"], rows, rows.drop("fold"), rows.select("label", "vec"), {"x": (0.0, 1.0)}, 0, 400, False)
+    seen, make = [], training.estimator
+
+    class Watched:
+        def __init__(self, real):
+            self.real = real
+
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return self.real.fit(df)
+
+    monkeypatch.setattr(training, "FIT_ROWS", 1)
+    monkeypatch.setattr(training, "estimator", lambda *a: Watched(make(*a)))
+    done = training._train_one(training.TREE, data, {"maxDepth": 3}, False, False)
+    assert done.scores["r2"] == 1.0 and seen == [spark.sparkContext.defaultParallelism]
+    monkeypatch.setattr(training, "FIT_MOST", 20)
+    assert training.fit_parts(spark, 400) == 20
+    assert training.fit_parts(spark, 0) == 1
