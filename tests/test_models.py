@@ -182,3 +182,20 @@ def test_models_are_fitted_on_no_more_partitions_than_cores(spark, monkeypatch):
     monkeypatch.setattr(training, "FIT_MOST", 20)
     assert training.fit_parts(spark, 400) == 20
     assert training.fit_parts(spark, 0) == 1
+
+
+def test_neighbour_model_searches_once_and_reads_the_table_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return float(x % 13)
+
+    width = F.udf(seen, "double").asNondeterministic()
+    df = spark.range(200).select(F.col("id"), width("id").alias("width"), (F.col("id") % 13 % 3).cast("string").alias("kind"))
+    calls, search = [], training.nearest
+    monkeypatch.setattr(training, "nearest", lambda *a, **k: calls.append(1) or search(*a, **k))
+    done = training.train_and_compare(df, "kind", "id", training.KNN, balance=False)
+    assert done.best.scores["accuracy"] == 1.0 and done.best.scores["train_accuracy"] == 1.0
+    assert len(calls) == 1
+    assert read.value == 200
