@@ -17,12 +17,14 @@ from .tokens import default_vocabulary, encoder
 from .worker import frugal
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+#: Words an encoder remembers: idle workers of earlier stages take turns with the others, and each holds its own.
+KEEP = 100_000
 SLOT = "length bigint, rank_from bigint, rank_to bigint, first_sequence bigint, each bigint, first_offset bigint"
 
 
 @frugal("encoder")
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
-    encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+    encode, end = encoder(path, KEEP), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for at in range(0, len(batch), 256):
             rows = []

@@ -111,9 +111,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = 250_000) -> Encoder:
     """The worker's encoder of a vocabulary file; it outlives the task."""
-    return held("encoder", path, lambda: Encoder(path))
+    return held("encoder", (path, keep), lambda: Encoder(path, keep))
 
 
 def default_vocabulary() -> str:

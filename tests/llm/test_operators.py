@@ -462,3 +462,14 @@ def test_close_licenses(spark):
         *enumerate(["GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0"]), *enumerate(["CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-NC-SA-4.0"], 5),
         (10, "MIT"), (11, "MIT"), (13, "LGPL-3.0"),
     ]
+
+
+def test_packing_remembers_fewer_words_than_the_encoder_may():
+    import pyarrow as pa
+
+    from tablemend.llm import packing, worker
+
+    batch = pa.record_batch([pa.array([1], pa.int64()), pa.array(["some words"])], ["doc_id", "text"])
+    assert len(list(packing._pieces(iter([batch]), default_vocabulary(), 0, 2048))) == 1
+    encoder = worker._HELD["encoder"][1]
+    assert encoder.words.keep <= 100_000 and encoder.pieces.keep <= 25_000
