@@ -2,12 +2,14 @@
 
 import json
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablemend import session
 from tablemend.catalog import files
 from tablemend.operators import correlate, lookup, near_duplicates, neighbours, ordering, resample
 from tablemend.plans import training
@@ -98,6 +100,37 @@ def test_postings_stay_narrow(spark):
     assert found == {i: i ^ 1 for i in range(10)}
 
 
+def test_pairs_are_multiplied_once(spark, monkeypatch):
+    """Long rows that share hundreds of leading terms are one pair, multiplied once; all near copies are found, and what was
+    written on the way is gone."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(3000)])
+    rows = []
+    for i in range(24):
+        own = rng.choice(words, 900)
+        rows.append((2 * i, " ".join([f"only{i}"] * 2 + list(own))))
+        # every third one has a near copy
+        rows.append((2 * i + 1, " ".join([f"copy{i}"] + list(own if i % 3 == 0 else rng.choice(words, 900)))))
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    cosine, pairs = 0.6, []
+    vectors = near_duplicates._vectors(near_duplicates._folded(df, "id", ["text"]), cosine=cosine)
+    real = near_duplicates._multiplied
+    monkeypatch.setattr(near_duplicates, "BLOCK_TERMS", 4_000)
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(near_duplicates, "_multiplied", lambda p, v, c: (pairs.append(p), real(p, v, c))[1])
+    with session.scratch(spark):
+        found = {r["id"]: (r["near_id"], r["cosine"]) for r in near_duplicates._linked(session.stored(vectors), cosine).collect()}
+        asked = [(r["id"], r["near_id"]) for r in pairs[0].collect()]
+        kept = [r.asDict() for r in vectors.collect()]
+        paths = list(session._WRITTEN.get()[-1])
+    assert asked and len(asked) == len({frozenset(p) for p in asked})
+    cells = {r["id"]: dict(zip(r["terms"], r["w"])) for r in kept}
+    like = {a: {b: sum(w * cells[b].get(t, 0.0) for t, w in cells[a].items()) for b in cells if b != a} for a in cells}
+    want = {a: (min(b for b, c in near.items() if c >= cosine), max(near.values())) for a, near in like.items() if max(near.values()) >= cosine}
+    assert len(want) >= 16 and found == {a: (b, pytest.approx(c)) for a, (b, c) in want.items()}
+    assert len(paths) > 2 and not any(Path(p.removeprefix("file:")).exists() for p in paths)
+
+
 def test_blocks_where_cells_rule_out_little(spark, monkeypatch):
     """Where nearly all cells are needed, a query is sent once to each block of rows, not to each cell."""
     monkeypatch.setattr(neighbours, "CELLS", 2_000)
