@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tablemend.catalog import models
 from tablemend.operators import labels
 from tablemend.plans import repair, training
 from tablemend.plans.policy import policy_for
@@ -73,6 +74,26 @@ def test_failing_model_is_a_row(spark, tmp_path):
     done.release()
 
 
+def test_lost_work_is_no_result(spark, monkeypatch, tmp_path):
+    """A job that Spark gave up ends the training, and results that do not name their models need all of them."""
+    df = spark.range(80).selectExpr("id as doc_id", "'en' as lang", "'web' as source", "id % 2 * 9 + id % 4 as n_chars", "concat('a b. ', id) as text")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    df.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    real = training._train_one
+    wrong = {training.TREE: {"maxDepth": -1}, training.FOREST: {"maxDepth": -1}}
+    monkeypatch.setattr(training, "_train_one", lambda name, data, options, *a: real(name, data, wrong.get(name, options), *a))
+    for query in (models.feature_importance, models.ensemble):
+        with pytest.raises(RuntimeError, match="failed: IllegalArgumentException"):
+            query(spark, str(tmp_path))
+
+    def lost(*_):
+        return spark.range(1).select(F.raise_error(F.lit("lost executor"))).collect()
+
+    monkeypatch.setattr(training, "_train_one", lost)
+    with pytest.raises(Exception, match="lost executor"):
+        models.model_compare(spark, str(tmp_path))
+
+
 def test_search_shares_folds(spark, monkeypatch):
     """Three fits a setting and one for the model; one neighbour search a fold."""
     df = spark.range(90).selectExpr("id", "(id % 3) * 9D + id % 5 as x", "cast(id % 3 as int) as y")
