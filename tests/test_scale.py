@@ -182,6 +182,40 @@ def test_bound_of_the_nearest_cells():
     assert within.min() >= 6 and within.max() <= 6 * neighbours.FOLD
 
 
+@pytest.mark.parametrize("limit", [np.inf, 0.05])
+def test_leaves_find_the_same_rows(monkeypatch, limit):
+    """Leaves of nearby rows find what all rows with all do, ties and limits included, on few pairs."""
+    rng = np.random.default_rng(3)
+    for make in (lambda n: rng.random((n, 3)), lambda n: rng.integers(0, 9, (n, 3)) / 9.0, lambda n: np.c_[np.arange(n) / n, np.zeros(n)]):
+        x, b = make(1_500), make(4_000)
+        want = neighbours._top(x, b, 5)
+        want = [c[want[2] <= limit] for c in want]
+        pairs, top = [], neighbours._top
+        monkeypatch.setattr(neighbours, "_top", lambda q, c, k: (pairs.append(len(q) * len(c)), top(q, c, k))[1])
+        found = neighbours._within(x, b, 5, np.full(len(x), limit))
+        monkeypatch.setattr(neighbours, "_top", top)
+        order, other = np.lexsort((want[1], want[0])), np.lexsort((found[1], found[0]))
+        assert all(np.array_equal(u[order], v[other]) for u, v in zip(want, found, strict=True))
+        assert sum(pairs) < len(x) * len(b) / 2
+    x[3] = np.nan  # as without leaves
+    assert all(np.array_equal(u, v) for u, v in zip(neighbours._within(x, b, 5, np.full(len(x), np.inf)), neighbours._top(x, b, 5), strict=True))
+
+
+def test_vectors_are_no_payload(spark, monkeypatch):
+    """SMOTE sends marks of neighbours through the search, and each synthetic row lies between its source and its partner."""
+    payloads, real = [], resample.nearest
+    monkeypatch.setattr(resample, "nearest", lambda q, b, k, payload=None, **o: (payloads.append(b.select(*payload).dtypes), real(q, b, k, payload, **o))[1])
+    rng = np.random.default_rng(4)
+    at = {i: [float(v) for v in rng.normal(0, 1, 2)] for i in range(60)}
+    df = spark.createDataFrame([(i, v, 0 if i < 45 else 1) for i, v in at.items()], "id long, vec array<double>, label int")
+    made = resample.smote(df, "id").collect()
+    assert len(made) == 30 and payloads and all(kind == "bigint" for _, kind in payloads[0])
+    for r in made:
+        a, b, v = (np.array(c) for c in (at[r["source"]], at[r["partner"]], r["vec"]))
+        step = ((v - a) @ (b - a)) / ((b - a) @ (b - a))
+        assert 0 <= step < 1 and np.allclose(v, a + step * (b - a))
+
+
 def test_cuts_are_passed_by_halving(spark):
     """As many cuts as are not beyond the key, whatever their number."""
     for n in (1, 2, 7, 8, 33):
