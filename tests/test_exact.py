@@ -1,6 +1,7 @@
 """Operators with their own distribution scheme against brute force on small tables."""
 
 from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tablemend.operators import correlate, labels, near_duplicates, neighbours, ordering, outliers, profile, quantiles, resample
 from tablemend.operators.lookup import attach_by_value, hot_values, join_spread, value_counts
+from tablemend.plans.diagnosis import diagnose_table
+from tablemend.session import shared_folder
 from tablemend.sources.sampling import seeded_sample
 
 
@@ -190,3 +193,25 @@ def test_sample_is_stable(spark):
     df = spark.range(5000)
     first = seeded_sample(df, 100).collect()
     assert len(first) == 100 and sorted(first) == sorted(seeded_sample(df.repartition(13), 100).collect())
+
+
+def test_diagnosis_writes_the_table_once_and_leaves_nothing(spark, tmp_path):
+    """Every check reads one written copy of the table, and its intermediates are gone when it ends."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(i):
+        read.add(1)
+        return i
+
+    df = spark.range(120).select(
+        seen("id").alias("n"), (F.col("id") % 7 * 1.5).alias("x"), F.concat(F.lit("t"), F.col("id") % 30).alias("words"), (F.col("id") % 3).cast("string").alias("y")
+    )
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    found = diagnose_table(df, "y")
+    metrics = found.metrics.first()
+    assert metrics["rows"] == 120 and None not in (metrics["near_duplicates"], metrics["isolation_outliers"], metrics["label_noise"])
+    assert found.issues.count() > 0
+    assert {p.name for p in folder.iterdir()} <= before
+    assert read.value == 120
